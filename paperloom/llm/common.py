@@ -187,3 +187,14 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         return links.select(F.col("a").alias("node"), F.col("b").alias("component")).limit(0)
     roots = found.select(F.col("root").alias("node")).distinct().join(found.select("node"), "node", "left_anti").withColumn("root", F.col("node"))
     return found.unionByName(roots).select("node", F.col("root").alias("component"))
+
+
+def attach(rows: DataFrame, values: DataFrame, key: str, by: str = "doc_id", of: int = 1024, how: str = "inner") -> DataFrame:
+    """rows joined with values (one row a key) by `key`, where any key may hold a large share of the rows.
+
+    The different (key, salt) of rows, combined before their shuffle, take the values first; rows
+    then join by key and salt, so that no task gets more than a salt's share of a key.
+    """
+    salted = rows.withColumn("_salt", salt(by, of))
+    spread = salted.select(key, "_salt").distinct().join(values, key)
+    return salted.join(spread, [key, "_salt"], how).drop("_salt")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, quality, toxicity
+from . import exact_dedup, jaccard_join, packing, quality, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
+    "op2_suffix_dedup": suffix_dedup.query,
     "op4_best_fit_packing": packing.query,
     "op5_quality_rules": quality.query,
+    "op6_jaccard_join": jaccard_join.query,
     "op10_toxicity": toxicity.query,
 }
 SQL = {"op1_exact_dedup": exact_dedup.SQL}
