@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from . import common as C
 
 CAPACITY, END = 4096, 1
-#: Words whose ids a worker remembers.
-MOST_CACHED = 150_000
+#: Different word parts whose ids a worker remembers; beyond that it starts anew.
+MOST_KNOWN = 1_500_000
 _SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -40,43 +40,108 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, end: int = END) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of every piece of every row.
+#: ASCII letters, digits and other marks; between two of different kinds the tokenizer's splitter always cuts. Apostrophes (contractions) and other characters are left to it.
+_KIND = np.zeros(256, np.uint8)
+_KIND[[*range(65, 91), *range(97, 123)]] = 1
+_KIND[48:58] = 2
+_KIND[[c for c in range(33, 127) if not chr(c).isalnum() and c != 39]] = 3
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+class Encoder:
+    """Token ids of texts by a `tokenizers` file, with each different part of a word encoded once.
 
-    The tokenizer's normaliser and splitter act on each run of non-space bytes alone, so each
-    different word is encoded once for a slice of text and remembered.
+    Parts are runs of non-space bytes, cut where the splitter cuts in any case; they are known again
+    by 64-bit hashes. A text with the opening of a special token in it is cut at white space alone.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def __init__(self, path: str):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks already use all cores
         from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_file(tokenizer or tokenizer_path())
-        known: dict[bytes, np.ndarray] = {}
+        self.tok = Tokenizer.from_file(path)
+        vocab = self.tok.get_vocab()
+        self.last = np.zeros(max(vocab.values()) + 1, bool)
+        self.last[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
+        self.roller = C.Roller(3)
+        self.forget()
+
+    def forget(self) -> None:
+        self.hash, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.at, self.n, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
+        self.ids, self.filled = np.zeros(1 << 18, np.uint32), 0
+
+    def _learn(self, words: list[str]) -> None:
+        plain = [i for i, w in enumerate(words) if w.isascii() and (w.isalpha() or not (any(map(str.isalnum, w)) or "'" in w))]
+        found: list = [None] * len(words)
+        for i in range(0, len(plain), 500):
+            part = plain[i : i + 500]
+            ids = np.array(self.tok.encode(" ".join(words[k] for k in part), add_special_tokens=False).ids, np.uint32)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(part):
+                for k, own in zip(part, np.split(ids, ends[:-1]), strict=True):
+                    found[k] = own
+        rest = [i for i, x in enumerate(found) if x is None]
+        for i in range(0, len(rest), 5000):
+            part = rest[i : i + 5000]
+            for k, e in zip(part, self.tok.encode_batch_fast([words[k] for k in part], add_special_tokens=False), strict=True):
+                found[k] = np.array(e.ids, np.uint32)
+        n = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.concatenate([*found, np.zeros(0, np.uint32)])
+        while self.used + len(n) > len(self.n):
+            self.at, self.n = np.resize(self.at, 2 * len(self.at)), np.resize(self.n, 2 * len(self.n))
+        while self.filled + len(flat) > len(self.ids):
+            self.ids = np.resize(self.ids, 2 * len(self.ids))
+        self.ids[self.filled : self.filled + len(flat)] = flat
+        self.at[self.used : self.used + len(n)] = self.filled + np.cumsum(n) - n
+        self.n[self.used : self.used + len(n)] = n
+        self.used, self.filled = self.used + len(n), self.filled + len(flat)
+
+    def __call__(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all rows, end to end, and where each row begins."""
+        lo, hi, row = C.word_bounds(data, at)
+        if b"<|" not in data.tobytes():
+            data = _LOWER[data]
+            kind = _KIND[data]
+            cut = np.zeros(len(data) + 1, bool)
+            cut[1:-1] = (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)
+            cut[at] = False  # between rows there is no word to cut
+            cut = np.flatnonzero(cut)
+            lo, hi = np.sort(np.concatenate((lo, cut))), np.sort(np.concatenate((hi, cut)))
+            row = np.searchsorted(at, lo, "right") - 1
+        h = self.roller.span(self.roller.prefix(data), lo, hi)
+        u, first, code = np.unique(h, return_index=True, return_inverse=True)
+        if self.used + len(u) > MOST_KNOWN:
+            self.forget()
+        pos = np.searchsorted(self.hash, u)
+        new = np.flatnonzero(np.append(self.hash, np.uint64(0))[pos] != u) if len(self.hash) else np.arange(len(u))
+        new = np.union1d(new, np.flatnonzero(pos == len(self.hash)))
+        if len(new):
+            body, slot = data.tobytes(), self.used
+            self._learn([body[a:b].decode() for a, b in zip(lo[first[new]].tolist(), hi[first[new]].tolist(), strict=True)])
+            self.hash, self.slot = np.insert(self.hash, pos[new], u[new]), np.insert(self.slot, pos[new], np.arange(slot, self.used))
+        own = self.slot[np.searchsorted(self.hash, u)][code]
+        n = self.n[own]
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = self.ids[np.arange(total) + np.repeat(self.at[own] - (ends - n), n)]
+        return ids, np.concatenate(([0], ends))[np.searchsorted(row, np.arange(len(at)))]
+
+
+def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, end: int = END) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 of every piece of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = Encoder(tokenizer or tokenizer_path())
         for batch in batches:
             for rows, data, at in C.slices(batch):
-                lo, hi, row = C.word_bounds(data, at)
-                coded = C.word_array(data, lo, hi).dictionary_encode()
-                words, code = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
-                if len(known) > MOST_CACHED:
-                    known.clear()
-                new = [w for w in words if w not in known]
-                for i in range(0, len(new), 20_000):
-                    part = new[i : i + 20_000]
-                    for w, e in zip(part, tok.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                        known[w] = np.array(e.ids, np.uint32)
-                own = [known[w] for w in words]
-                sizes = np.fromiter(map(len, own), np.int64, len(own))
-                flat = np.concatenate([*own, np.zeros(0, np.uint32)])
-                base = np.cumsum(sizes) - sizes
-                n = sizes[code]
-                ends = np.cumsum(n)
-                total = int(ends[-1]) if len(ends) else 0
-                ids = flat[np.arange(total) + np.repeat(base[code] - (ends - n), n)]
-                first = np.searchsorted(row, np.arange(rows.num_rows + 1))
-                token_at = np.concatenate(([0], ends))[first]
+                ids, begins = encode(data, at)
                 out: list[list] = [[], [], [], [], []]
                 for i, doc_id in enumerate(rows.column("doc_id").to_pylist()):
-                    whole = np.append(ids[token_at[i] : token_at[i + 1]], np.uint32(end)).astype("<u4")
+                    whole = np.append(ids[begins[i] : begins[i + 1]], np.uint32(end)).astype("<u4")
                     for k, s in enumerate(range(0, len(whole), capacity)):
                         part = whole[s : s + capacity]
                         for column, v in zip(out, (doc_id, k, s, len(part), zlib.crc32(part.tobytes())), strict=True):
