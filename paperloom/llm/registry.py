@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jaccard_join, packing, quality, suffix_dedup, toxicity
+from . import exact_dedup, jaccard_join, packing, quality, secret_scan, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
@@ -10,6 +10,8 @@ QUERIES = {
     "op4_best_fit_packing": packing.query,
     "op5_quality_rules": quality.query,
     "op6_jaccard_join": jaccard_join.query,
+    "op7_url_filters": url_filter.query,
+    "op9_secret_scans": secret_scan.query,
     "op10_toxicity": toxicity.query,
 }
 SQL = {"op1_exact_dedup": exact_dedup.SQL}
