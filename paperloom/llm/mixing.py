@@ -62,17 +62,20 @@ def train(docs: DataFrame, labelled: DataFrame, most: int = MOST_LABELLED) -> di
     return out or {"other": (0.0, [math.log(1 / len(LETTERS))] * len(LETTERS))}
 
 
-def profiles(docs: DataFrame, model: dict[str, tuple[float, list[float]]]) -> DataFrame:
-    """doc_id, tokens and the posterior q0, q1, ... of every row, in the order of the model."""
-    rows = _plain(docs).select("doc_id", F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("tokens"), *(c.alias(f"c{i}") for i, c in enumerate(_counts())))
+def profiles(docs: DataFrame, model: dict[str, tuple[float, list[float]]], *keep: str) -> DataFrame:
+    """The columns to keep of every row, tokens, and the posterior q0, q1, ... in the order of the model."""
+    text = F.col("_text")
+    low = F.lower(text)
+    rows = docs.select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
+    rows = rows.select(*keep, F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("tokens"), *((F.length(low) - F.length(F.replace(low, F.lit(c)))).cast("double").alias(f"c{i}") for i, c in enumerate(LETTERS)))
     total = sum((F.col(f"c{i}") for i in range(len(LETTERS))), F.lit(0.0))
     scale = F.least(F.lit(1.0), EVIDENCE / F.greatest(total, F.lit(1.0)))
-    rows = rows.select("doc_id", "tokens", *(F.round(prior + scale * sum((F.col(f"c{i}") * p for i, p in enumerate(logs)), F.lit(0.0)), 9).alias(f"s{k}") for k, (prior, logs) in enumerate(model.values())))
+    rows = rows.select(*keep, "tokens", *(F.round(prior + scale * sum((F.col(f"c{i}") * p for i, p in enumerate(logs)), F.lit(0.0)), 9).alias(f"s{k}") for k, (prior, logs) in enumerate(model.values())))
     scores = [F.col(f"s{k}") for k in range(len(model))]
     top = F.greatest(*scores) if len(scores) > 1 else scores[0]
-    rows = rows.select("doc_id", "tokens", *(F.exp(s - top).alias(f"e{k}") for k, s in enumerate(scores)))
+    rows = rows.select(*keep, "tokens", *(F.exp(s - top).alias(f"e{k}") for k, s in enumerate(scores)))
     whole = sum((F.col(f"e{k}") for k in range(len(model))), F.lit(0.0))
-    return rows.select("doc_id", "tokens", *((F.col(f"e{k}") / whole).alias(f"q{k}") for k in range(len(model))))
+    return rows.select(*keep, "tokens", *((F.col(f"e{k}") / whole).alias(f"q{k}") for k in range(len(model))))
 
 
 def rate(g: list[float]) -> Column:
@@ -101,19 +104,36 @@ def fit(made: DataFrame, targets: list[float], budget: float | None = None, step
     return g, now, want
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget: float | None = None) -> DataFrame:
-    """doc_id, tokens, domain (the likeliest), posterior (by domain), rate, copies of every row.
-
-    copies is the rate rounded up or down, with the chance of its fraction, by a hash of doc_id."""
+def fitted(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget: float | None = None) -> tuple[dict, list[float], DataFrame]:
+    """The classifier, g, and the written profiles by doc_id."""
     model = train(docs, labelled)
+    made = C.written(profiles(docs.withColumn("doc_id", F.col("doc_id").cast("long")), model, "doc_id"))
+    g, _, _ = fit(made, [targets.get(n, 0.0) for n in model], budget)
+    return model, g, made
+
+
+def copies(rate: Column, doc_id: Column) -> Column:
+    """The rate rounded up or down, with the chance of its fraction, by a hash of doc_id."""
+    toss = F.pmod(F.xxhash64(doc_id.cast("long"), F.lit("mix")), F.lit(1_000_000)) / 1_000_000
+    return (F.floor(rate) + F.when(toss < rate - F.floor(rate), 1).otherwise(0)).cast("long")
+
+
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget: float | None = None) -> DataFrame:
+    """doc_id, tokens, domain (the likeliest), posterior (by domain), rate, copies of every row."""
+    model, g, made = fitted(docs, labelled, targets, budget)
     names = list(model)
-    made = C.written(profiles(docs, model))
-    g, _, _ = fit(made, [targets.get(n, 0.0) for n in names], budget)
     posterior = F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*(F.round(f"q{k}", 6) for k in range(len(names)))))
     likeliest = F.array_max(F.array(*(F.struct(F.col(f"q{k}").alias("q"), F.lit(-k).alias("rank"), F.lit(n).alias("name")) for k, n in enumerate(names))))["name"]
-    toss = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1_000_000)) / 1_000_000
     rows = made.select("doc_id", "tokens", likeliest.alias("domain"), posterior.alias("posterior"), F.round(rate(g), 6).alias("rate"))
-    return rows.withColumn("copies", (F.floor("rate") + F.when(toss < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("long"))
+    return rows.withColumn("copies", copies(F.col("rate"), F.col("doc_id")))
+
+
+def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget: float | None = None) -> DataFrame:
+    """The rows of docs, each as often as its copies say, with its columns; rows that repeat a doc_id take its highest number."""
+    _, g, made = fitted(docs, labelled, targets, budget)
+    often = made.select(F.col("doc_id").alias("_id"), copies(F.round(rate(g), 6), F.col("doc_id")).alias("_n")).groupBy("_id").agg(F.max("_n").alias("_n"))
+    rows = docs.join(often, docs["doc_id"].cast("long") == often["_id"])
+    return rows.where("_n > 0").withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).drop("_id", "_n", "_k")
 
 
 def languages(docs: DataFrame, labels: DataFrame) -> DataFrame:
