@@ -6,6 +6,7 @@ does not grow with the batch; a single document larger than a slice is a slice o
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -124,13 +125,18 @@ def shared_folder(spark: SparkSession) -> str:
     return at or "file:///tmp/checkpoints"
 
 
-def written(df: DataFrame, *keys: str, parts: int | None = None) -> DataFrame:
-    """The rows, written once to the shared folder and read from there: later steps don't run what made them again, and a lost executor loses nothing."""
+def written(df: DataFrame, release: bool = False) -> DataFrame:
+    """The rows, written once to the shared folder and read from there: later steps don't run what made them again, and a lost executor loses nothing.
+
+    release: have the driver collect its garbage, so that Spark deletes the shuffle files of steps that are over."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/paperloom/{uuid.uuid4().hex}"
-    (df.repartition(parts, *keys) if parts else df).write.parquet(path)
+    df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._paperloom_path = path
+    if release:
+        gc.collect()
+        spark._jvm.System.gc()
     return out
 
 

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jaccard_join, packing, quality, secret_scan, suffix_dedup, toxicity, url_filter
+from . import exact_dedup, jaccard_join, mixing, packing, paragraph_dedup, quality, secret_scan, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
     "op2_suffix_dedup": suffix_dedup.query,
+    "op3_mixing": mixing.query,
     "op4_best_fit_packing": packing.query,
     "op5_quality_rules": quality.query,
     "op6_jaccard_join": jaccard_join.query,
     "op7_url_filters": url_filter.query,
+    "op8_substring_dedup": paragraph_dedup.query,
     "op9_secret_scans": secret_scan.query,
     "op10_toxicity": toxicity.query,
 }
