@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from . import common as C
 
 LENGTH, GRAM, _BITS = 400, 16, 28
+#: Rounds in which windows are ranked.
+PARTS = 3
 
 
 def _sampled(data: np.ndarray, at: np.ndarray, sums: np.ndarray, roller: C.Roller, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -83,20 +85,20 @@ def _windows(length: int):
         for batch in batches:
             for rows, data, at in C.slices(batch):
                 sums = roller.prefix(data)
-                out: list[list] = [[], [], [], [], []]
-                counts = []
-                ranks = []
-                for i, want in enumerate(rows.column("want").to_pylist()):
+                out: list[list] = [[], [], []]
+                counts, ranks = [], []
+                wants = rows.column("want").to_pylist()
+                for i, want in enumerate(wants):
                     for w in want:
-                        s = at[i] + w["a"] - np.arange(w["near"], w["far"] + 1)
-                        ranks.append(roller.span(sums, s, s + length))
+                        d = np.arange(w["near"], w["far"] + 1)
+                        s = at[i] + w["a"] - d
+                        ranks.append(C.mix64(roller.span(sums, s, s + length) + d.astype(np.uint64)))  # equal windows at the same distance
                         counts.append(len(s))
-                        for column, v in zip(out, (w["class"], w["name"], w["near"], w["settled"], w["a"]), strict=True):
+                        for column, v in zip(out, (w["class"], w["settled"], w["a"] - w["near"]), strict=True):
                             column.append(v)
-                kept = np.repeat(np.arange(rows.num_rows), [len(w) for w in rows.column("want").to_pylist()])
-                uid = rows.column("uid").to_numpy(zero_copy_only=False)[kept]
+                uid = rows.column("uid").to_numpy(zero_copy_only=False)[np.repeat(np.arange(rows.num_rows), [len(w) for w in wants])]
                 flat = np.concatenate([*ranks, np.zeros(0, np.uint64)]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(uid, pa.int64()), *(pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32()), strict=True)), C.lists(flat, np.array(counts, np.int64), pa.int64())], names=["uid", "class", "name", "near", "settled", "a", "ranks"])
+                yield pa.RecordBatch.from_arrays([pa.array(uid, pa.int64()), *(pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.bool_(), pa.int32()), strict=True)), C.lists(flat, np.array(counts, np.int64), pa.int64())], names=["uid", "class", "settled", "last", "ranks"])
 
     return run
 
@@ -135,24 +137,31 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """uid, lo, hi: byte spans of rows (doc_id, text, uid) that repeated strings cover; they may overlap."""
     positions = docs.select("uid", "text").mapInArrow(_positions(length), "uid long, a int, near int, far int, r0 long, r1 long, context long")
     # round 1: the first quarter of the length; round 2: pairs of ranks at that offset
-    again = positions.groupBy("r0").count().where("count > 1").select("r0")
-    left = C.written(positions.join(again, "r0", "left_semi"))
-    again = left.groupBy("r0", "r1").count().where("count > 1").select("r0", "r1")
-    left2 = C.written(left.join(again, ["r0", "r1"], "left_semi").withColumn("class", F.xxhash64("r0", "r1")).withColumn("name", F.xxhash64("r0", "r1", "near", "far", "context")).drop("r0", "r1", "context"))
+    # (ranks are written before they are joined, so that Spark can split a join on a rank that very many positions have)
+    again = C.written(positions.groupBy("r0").count().where("count > 1").select("r0"))
+    left = C.written(positions.join(again, "r0", "left_semi"), release=True)
+    again = C.written(left.groupBy("r0", "r1").count().where("count > 1").select("r0", "r1"))
+    named = left.join(again, ["r0", "r1"], "left_semi").select("uid", "a", "near", "far", F.xxhash64("r0", "r1").alias("class"), F.xxhash64("r0", "r1", "near", "far", "context").alias("name"))
+    left2 = C.written(named, release=True)
     C.forget(left)
     # full length: contexts that occur twice, then the windows of those that don't
     contexts = C.written(left2.groupBy("class", "name", "near", "far").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("uid", "a")).alias("at")))
     whole = contexts.where("n > 1").select("name")
-    settled = left2.join(whole, "name", "left_semi").select("uid", (F.col("a") - F.col("far")).alias("lo"), (F.col("a") - F.col("near") + length).alias("hi"))
+    settled = C.written(left2.join(whole, "name", "left_semi").select("uid", (F.col("a") - F.col("far")).alias("lo"), (F.col("a") - F.col("near") + length).alias("hi")), release=True)
+    C.forget(left2)
     mixed = contexts.groupBy("class").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least")).where("k > 1 AND least = 1").select("class")
-    want = contexts.join(mixed, "class", "left_semi").select(F.col("at.uid").alias("uid"), F.struct(F.col("at.a").alias("a"), "near", "far", "class", "name", (F.col("n") > 1).alias("settled")).alias("want"))
+    want = contexts.join(mixed, "class", "left_semi").select(F.col("at.uid").alias("uid"), F.struct(F.col("at.a").alias("a"), "near", "far", "class", (F.col("n") > 1).alias("settled")).alias("want"))
     want = want.groupBy("uid").agg(F.collect_list("want").alias("want"))  # of one document: as many as it has positions at most
-    ranked = C.written(docs.select("uid", "text").join(want, "uid").mapInArrow(_windows(length), "uid long, class long, name long, near int, settled boolean, a int, ranks array<long>"))
-    each = ranked.select("uid", "class", "near", "settled", "a", F.posexplode("ranks").alias("i", "rank")).withColumn("d", F.col("near") + F.col("i"))
-    key = ["class", "d", "rank"]
-    twice = each.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.max("settled").alias("some")).where("n > 1 OR some").select(*key)
-    found = each.where("NOT settled").join(twice, key, "left_semi").select("uid", (F.col("a") - F.col("d")).alias("lo")).withColumn("hi", F.col("lo") + length)
-    return settled.unionByName(found)
+    ranked = C.written(docs.select("uid", "text").join(want, "uid").mapInArrow(_windows(length), "uid long, class long, settled boolean, last int, ranks array<long>"), release=True)
+    C.forget(contexts)
+    found = settled
+    for part in range(PARTS):  # a part of the classes at a time: shuffle files of one are gone before the next
+        each = ranked.where(F.pmod("class", F.lit(PARTS)) == part).select("uid", "class", "settled", "last", F.posexplode("ranks").alias("i", "rank"))
+        twice = C.written(each.groupBy("class", "rank").agg(F.count(F.lit(1)).alias("n"), F.max("settled").alias("some")).where("n > 1 OR some").select("class", "rank"), release=True)
+        more = each.where("NOT settled").select("class", "rank", "uid", (F.col("last") - F.col("i")).alias("lo")).join(twice, ["class", "rank"], "left_semi").select("uid", "lo", (F.col("lo") + length).alias("hi"))
+        found = found.unionByName(C.written(more, release=True))
+    C.forget(ranked)
+    return found
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
