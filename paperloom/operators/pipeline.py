@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialized as keep
 from ..settings import DEFAULT, Settings
 from ..sources.providers import ModelProvider, OcrProvider
 from . import classify, extract, insights, layout, sections, validate, vision
@@ -25,17 +26,19 @@ class Result:
 
 
 def process(pages: DataFrame, ocr: OcrProvider, model: ModelProvider, old_actions: DataFrame | None = None, s: Settings = DEFAULT) -> Result:
-    """Gates stand before each provider: documents of an unknown type cost no call after classification."""
-    blocks = layout.lines(ocr.tokens(pages))
+    """Gates stand before each provider: documents of an unknown type cost no call after classification.
+
+    Every stage's rows are kept (written and read again) before the next: answers are asked for once."""
+    blocks = keep(layout.lines(ocr.tokens(pages)))
     texts = layout.page_texts(blocks)
-    classes = classify.classify(model.answer("classification", classify.prompts(blocks, texts, s)), s)
-    found = sections.detect(model.answer("section_detection", sections.prompts(blocks, classes, s)), classes, blocks)
+    classes = keep(classify.classify(model.answer("classification", classify.prompts(blocks, texts, s)), s))
+    found = keep(sections.detect(model.answer("section_detection", sections.prompts(blocks, classes, s)), classes, blocks))
     fields = extract.fields(found, model.answer("extraction", extract.prompts(found)))
     fields = fields.withColumns({c: F.lit(None).cast(t) for c, t in (("ocr_value", "string"), ("ocr_confidence", "double"), ("vision_value", "string"), ("vision_confidence", "double"), ("vision_source_text", "string"), ("fallback_reason", "string"))} | {"fallback_attempted": F.lit(False)})
-    checked = validate.validate(fields, s)
+    checked = keep(validate.validate(fields, s))
     asked = vision.prompts(vision.candidates(checked, s).withColumn("crop", F.lit(None).cast("string")))
-    checked = vision.run(checked, vision.clean(model.answer("vision_fallback", asked)), blocks, found, pages, s)
-    issues = validate.issues(checked)
+    checked = keep(vision.run(checked, vision.clean(model.answer("vision_fallback", asked)), blocks, found, pages, s))
+    issues = keep(validate.issues(checked))
     told = model.answer("summary", insights.context(checked, issues, s).withColumnRenamed("context", "prompt"))
     wanted = model.answer("action_extraction", insights.action_prompts(checked, s))
     return Result(blocks, classes, found, checked, issues, validate.summary(checked), insights.summaries(classes, checked, told, s), insights.actions(checked, issues, wanted, old_actions, s))

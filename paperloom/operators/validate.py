@@ -2,7 +2,8 @@
 
 Every rule computes its own flag; the last rule that speaks decides a field's status, in the order
 base, conflict, format, required, dates, line math, subtotal, tax, total. Rules on a name look at the
-last field of that name (field_ord). One shuffle by document serves conflicts, facts and line items.
+last field of that name (field_ord). Fields are shuffled once, by document; conflicts, facts and line
+items are windows over that, and placeholders come out of a document's first row.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ from ..settings import DEFAULT, Settings
 
 EMAIL = r"^[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+$"
 _LINE = r"^line_item_(\d+)_(quantity|unit_price|line_total)$"
-_FACTS = ["invoice_date", "due_date", "subtotal", "tax_rate", "tax_amount", "discount", "total", *REQUIRED_INVOICE[:2], "full_name", "email", "phone"]
+_FACTS = ["invoice_date", "due_date", "subtotal", "tax_rate", "tax_amount", "discount", "total", "vendor_name", "invoice_number", "full_name", "email", "phone"]
+_NO_CONTACT = "At least one contact method (email or phone) is required."
 
 
 def email_ok(v: Column) -> Column:
@@ -48,86 +50,72 @@ def normalize_fields(fields: DataFrame) -> DataFrame:
     return made.withColumns({"normalized_value": F.col("_n.value"), "_base": base, "_base_message": F.when(base != "valid", F.coalesce("_n.message", F.lit("Field format is invalid or ambiguous.")))}).drop("_n")
 
 
-def conflicts(rows: DataFrame, s: Settings = DEFAULT) -> DataFrame:
-    """Adds _values: the different normal forms of a document's fields of one name, sorted, where there are several."""
-    name = F.lower("field_name")
+def _conflicts(s: Settings) -> Column:
+    """The different normal forms of a document's fields of one name, sorted, where there are several."""
+    name = F.col("_lname")
     out = name.startswith("line_item_") | name.startswith("agreement_") | name.startswith("identity_doc_")
     if not s.legacy:
         out = out | name.startswith("id_doc_")
-    w = Window.partitionBy("document_id", "_lname")
-    values = F.array_sort(F.collect_set("normalized_value").over(w))
-    return rows.withColumn("_lname", name).withColumn("_values", F.when(~out & (F.size(values) > 1), values))
-
-
-def _facts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    last = lambda v, n: F.max_by(F.when(F.col("_lname") == n, v), F.when(F.col("_lname") == n, F.col("field_ord")))
-    one = [last(F.struct("normalized_value", "field_value"), n).alias(f"f_{n}") for n in _FACTS]
-    facts = rows.groupBy("document_id").agg(F.first("document_type").alias("_type"), *one)
-    part = lambda p: F.max_by(F.when(F.col("_prop") == p, F.col("normalized_value")), F.when(F.col("_prop") == p, F.col("field_ord"))).alias(p)
-    lines = rows.withColumns({"_idx": F.regexp_extract("_lname", _LINE, 1), "_prop": F.regexp_extract("_lname", _LINE, 2)}).where("_idx <> ''")
-    return facts, lines.groupBy("document_id", "_idx").agg(part("quantity"), part("unit_price"), part("line_total"))
+    values = F.array_sort(F.collect_set("normalized_value").over(Window.partitionBy("document_id", "_lname")))
+    return F.when(~out & (F.size(values) > 1), values)
 
 
 def validate(fields: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """The fields with normalized_value, validation_status and validation_message, and placeholders for what is missing."""
     columns = [c for c in fields.columns if c not in ("normalized_value", "validation_status", "validation_message")]
-    rows = conflicts(normalize_fields(fields), s)
-    facts, lines = _facts(rows)
-    math = lines.select("document_id", F.concat(F.lit("line_item_"), "_idx", F.lit("_line_total")).alias("_lname"), over(money(F.col("quantity")) * money(F.col("unit_price")), money(F.col("line_total")), s).alias("_math"))
-    sums = lines.groupBy("document_id").agg(F.sum(money(F.col("line_total"))).alias("_lines"))
+    document, named, line = Window.partitionBy("document_id"), Window.partitionBy("document_id", "_lname"), Window.partitionBy("document_id", "_idx")
+    name, order, normal = F.col("_lname"), F.col("field_ord"), F.col("normalized_value")
+    rows = normalize_fields(fields).withColumn("_lname", F.lower("field_name")).repartition("document_id")
+    rows = rows.withColumns({"_values": _conflicts(s), "_last": order.eqNullSafe(F.max(order).over(named)), "_idx": F.regexp_extract("_lname", _LINE, 1), "_prop": F.regexp_extract("_lname", _LINE, 2)})
+    part = lambda p: F.max_by(F.when(F.col("_prop") == p, normal), F.when(F.col("_prop") == p, order)).over(line)
+    fact = lambda n: F.max_by(F.when(name == n, F.struct("normalized_value", "field_value")), F.when(name == n, order)).over(document)
+    rows = rows.withColumns({f"_p_{p}": part(p) for p in ("quantity", "unit_price", "line_total")})
+    rows = rows.withColumns({f"f_{n}": fact(n) for n in _FACTS} | {"_lines": F.sum(F.when(F.col("_last") & (F.col("_prop") == "line_total"), money(normal))).over(document), "_first": F.row_number().over(document.orderBy("field_ord")) == 1})
     amount = lambda n: money(F.col(f"f_{n}.normalized_value"))
-    rate = F.col("f_tax_rate.normalized_value").try_cast("decimal(18,4)")
-    zero = F.lit(0).cast("decimal(18,2)")
-    facts = facts.join(sums, "document_id", "left").select(
-        "document_id", "_type", *(F.col(f"f_{n}.field_value").alias(f"_v_{n}") for n in (*REQUIRED_INVOICE, "full_name", "email", "phone")), *(F.col(f"f_{n}").isNotNull().alias(f"_h_{n}") for n in (*REQUIRED_INVOICE, "full_name", "email", "phone")),
-        (F.col("f_due_date.normalized_value") < F.col("f_invoice_date.normalized_value")).alias("_late"),
-        over(F.col("_lines"), amount("subtotal"), s).alias("_subtotal"),
-        F.when(rate > 0, over(tax_expected(amount("subtotal"), rate).cast("decimal(18,4)"), amount("tax_amount"), s)).alias("_tax"),
-        F.col("f_tax_rate.normalized_value").alias("_rate"),
-        over(amount("subtotal") + F.coalesce(amount("tax_amount"), zero) - F.coalesce(amount("discount"), zero), amount("total"), s).alias("_total"),
-    )
-    rows = rows.withColumn("_last", F.row_number().over(Window.partitionBy("document_id", "_lname").orderBy(F.desc("field_ord"))) == 1)
-    rows = rows.join(facts, "document_id").join(math, ["document_id", "_lname"], "left")
-    name, last = F.col("_lname"), F.col("_last")
-    invoice, onboarding = last & (F.col("_type") == "invoice"), last & (F.col("_type") == "onboarding_form")
+    has, value = lambda n: F.col(f"f_{n}").isNotNull(), lambda n: F.col(f"f_{n}.field_value")
+    rate, zero = F.col("f_tax_rate.normalized_value").try_cast("decimal(18,4)"), F.lit(0).cast("decimal(18,2)")
+    last = F.col("_last")
+    invoice, onboarding = last & (F.col("document_type") == "invoice"), last & (F.col("document_type") == "onboarding_form")
     empty = blank(F.col("field_value"))
     text = lambda *parts: F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts))
     listed = F.concat(F.lit("['"), F.array_join("_values", "', '"), F.lit("']"))
-    neither = (blank(F.col("_v_email"))) & (blank(F.col("_v_phone")))
+    neither = blank(value("email")) & blank(value("phone"))
+    math = (F.col("_prop") == "line_total") & over(money(F.col("_p_quantity")) * money(F.col("_p_unit_price")), money(F.col("_p_line_total")), s)
+    tax = F.when(rate > 0, over(tax_expected(amount("subtotal"), rate).cast("decimal(18,4)"), amount("tax_amount"), s))
+    total = over(amount("subtotal") + F.coalesce(amount("tax_amount"), zero) - F.coalesce(amount("discount"), zero), amount("total"), s)
     flags = [  # the last that speaks decides
         (F.col("_values").isNotNull(), "conflict", text("Multiple conflicting values detected for '", F.col("field_name"), "': ", listed)),
-        (name.contains("email") & ~email_ok(F.col("normalized_value")), "needs_review", F.lit("Email format is invalid.")),
-        (name.contains("phone") & ~phone_ok(F.col("normalized_value")), "needs_review", F.lit("Phone number must contain between 7 and 15 digits.")),
+        (name.contains("email") & ~email_ok(normal), "needs_review", F.lit("Email format is invalid.")),
+        (name.contains("phone") & ~phone_ok(normal), "needs_review", F.lit("Phone number must contain between 7 and 15 digits.")),
         (invoice & name.isin(REQUIRED_INVOICE) & empty, "needs_review", text("Required invoice field '", name, "' is missing.")),
-        (invoice & (name == "due_date") & F.col("_late"), "needs_review", F.lit("Due date is earlier than invoice date.")),
-        (invoice & F.col("_math"), "needs_review", F.lit("Line item total does not match quantity × unit price.")),
-        (invoice & (name == "subtotal") & F.col("_subtotal"), "needs_review", F.lit("Invoice subtotal does not match the sum of line items.")),
-        (invoice & (name == "tax_amount") & F.col("_tax"), "needs_review", text("Tax amount does not match expected tax from rate (", F.col("_rate"), "%).")),
-        (invoice & (name == "total") & F.col("_total"), "needs_review", F.lit("Invoice total does not match subtotal + tax - discount.")),
+        (invoice & (name == "due_date") & (F.col("f_due_date.normalized_value") < F.col("f_invoice_date.normalized_value")), "needs_review", F.lit("Due date is earlier than invoice date.")),
+        (invoice & math, "needs_review", F.lit("Line item total does not match quantity × unit price.")),
+        (invoice & (name == "subtotal") & over(F.col("_lines"), amount("subtotal"), s), "needs_review", F.lit("Invoice subtotal does not match the sum of line items.")),
+        (invoice & (name == "tax_amount") & tax, "needs_review", text("Tax amount does not match expected tax from rate (", F.col("f_tax_rate.normalized_value"), "%).")),
+        (invoice & (name == "total") & total, "needs_review", F.lit("Invoice total does not match subtotal + tax - discount.")),
         (onboarding & (name == "full_name") & empty, "needs_review", F.lit("Required full name is missing.")),
-        (onboarding & neither & ((name == "email") | (~F.col("_h_email") & (name == "phone"))), "needs_review", F.lit("At least one contact method (email or phone) is required.")),
+        (onboarding & neither & ((name == "email") | (~has("email") & (name == "phone"))), "needs_review", F.lit(_NO_CONTACT)),
     ]
+    rule = F.lit(-1)
+    for i, (hit, _, _) in enumerate(flags):
+        rule = F.when(F.coalesce(hit, F.lit(False)), i).otherwise(rule)
+    rows = rows.withColumn("_rule", rule)
     status, message = F.col("_base"), F.col("_base_message")
-    for hit, to, why in flags:
-        hit = F.coalesce(hit, F.lit(False))
-        status, message = F.when(hit, to).otherwise(status), F.when(hit, why).otherwise(message)
-    done = rows.select(*columns, "normalized_value", status.alias("validation_status"), message.alias("validation_message"))
-    return done.unionByName(_placeholders(facts, neither), allowMissingColumns=True)
-
-
-def _placeholders(facts: DataFrame, neither: Column) -> DataFrame:
-    row = lambda cond, name, section, why: F.when(cond, F.struct(F.lit(name).alias("field_name"), F.lit(section).alias("section_name"), F.lit(why).alias("message")))
-    invoice, form = F.col("_type") == "invoice", F.col("_type") == "onboarding_form"
-    missing = F.array(
-        *(row(invoice & ~F.col(f"_h_{n}"), n, "invoice_metadata", f"Required invoice field '{n}' is missing.") for n in REQUIRED_INVOICE),
-        row(form & ~F.col("_h_full_name"), "full_name", "personal_information", "Required full name is missing."),
-        row(form & neither & ~F.col("_h_email") & ~F.col("_h_phone"), "email", "contact_information", "At least one contact method (email or phone) is required."),
-    )
-    rows = facts.select("document_id", F.col("_type").alias("document_type"), F.posexplode(F.filter(missing, lambda x: x.isNotNull())).alias("i", "m"))
-    return rows.select(
-        "document_id", "document_type", (F.lit(1_000_000) + F.col("i")).alias("field_ord"), F.col("m.field_name").alias("field_name"), F.lit(1.0).alias("confidence"), F.lit("validation").alias("source"),
-        F.col("m.section_name").alias("section_name"), F.lit(1).alias("page_number"), F.lit("needs_review").alias("validation_status"), F.col("m.message").alias("validation_message"),
-    )
+    for i, (_, to, why) in enumerate(flags):
+        status, message = F.when(F.col("_rule") == i, to).otherwise(status), F.when(F.col("_rule") == i, why).otherwise(message)
+    out = [*columns, "normalized_value", "validation_status", "validation_message"]
+    own = rows.withColumns({"validation_status": status, "validation_message": message})
+    kinds = {f.name: f.dataType for f in own.select(*out).schema}
+
+    def missing(cond: Column, i: int, field: str, section: str, why: str) -> Column:
+        made = {"document_id": F.col("document_id"), "document_type": F.col("document_type"), "field_ord": F.lit(1_000_000 + i), "field_name": F.lit(field), "confidence": F.lit(1.0), "source": F.lit("validation"), "section_name": F.lit(section), "page_number": F.lit(1), "fallback_attempted": F.lit(False), "validation_status": F.lit("needs_review"), "validation_message": F.lit(why)}
+        return F.when(F.col("_first") & cond, F.struct(*(made.get(c, F.lit(None)).cast(kinds[c]).alias(c) for c in out)))
+
+    is_invoice, is_form = F.col("document_type") == "invoice", F.col("document_type") == "onboarding_form"
+    added = [missing(is_invoice & ~has(n), i, n, "invoice_metadata", f"Required invoice field '{n}' is missing.") for i, n in enumerate(REQUIRED_INVOICE)]
+    added += [missing(is_form & ~has("full_name"), 4, "full_name", "personal_information", "Required full name is missing."), missing(is_form & neither & ~has("email") & ~has("phone"), 5, "email", "contact_information", _NO_CONTACT)]
+    every = F.array_compact(F.array(F.struct(*out), *added))
+    return own.select(F.explode(every).alias("r")).select("r.*")
 
 
 def summary(validated: DataFrame) -> DataFrame:

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import os
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -19,6 +20,18 @@ def ensure_workers(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir of the session; one of our own only where that is unset."""
+    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """The rows, written once to the shared folder and read from there."""
+    path = f"{shared_folder(df.sparkSession)}/paperloom/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def local_session(cores: int | str = 8, memory: str = "8g", partitions: int = 8, **conf: str) -> SparkSession:
     """A session for tests and benchmarks on one machine."""
     made = {
