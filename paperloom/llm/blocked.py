@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from . import common as C
 
 BLOCK = 128
+#: Components up to this size are compared pair by pair: their candidates are few each.
+SMALL = 16
 
 
 def grouped(entries: DataFrame, found: DataFrame) -> DataFrame:
@@ -27,12 +29,12 @@ def grouped(entries: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def candidates(now: DataFrame, may: Column) -> DataFrame:
-    """Different (sid, to): rows and the components that they share a column with; of two components, the rows of the smaller one.
+    """Different (sid, to, to_size): rows and the components that they share a column with; of two components, the rows of the smaller one.
 
     may: whether row (n, at) may link with rows of the component that have n from n_min to n_max and at from at_min on in that column."""
     ends = now.groupBy("key", F.col("group").alias("to")).agg(F.first("size").alias("to_size"), F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.min("at").alias("at_min"))
     smaller = (F.col("size") < F.col("to_size")) | ((F.col("size") == F.col("to_size")) & (F.col("group") < F.col("to")))
-    return now.join(ends, "key").where((F.col("group") != F.col("to")) & smaller & may).select("sid", "to").distinct()
+    return now.join(ends, "key").where((F.col("group") != F.col("to")) & smaller & may).groupBy("sid", "to").agg(F.first("to_size").alias("to_size"))
 
 
 def members(near: DataFrame, found: DataFrame) -> DataFrame:
@@ -43,6 +45,16 @@ def members(near: DataFrame, found: DataFrame) -> DataFrame:
     return inside.select("sid", "to").unionByName(alone)
 
 
+def small(near: DataFrame, found: DataFrame, sizes: DataFrame, most: int = SMALL) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, na, b, nb) for candidates of components of up to `most` rows, the smaller row first, and the candidates of larger ones. sizes: sid, n."""
+    few = near.where(F.col("to_size") <= most).select("sid", "to")
+    n = lambda s: sizes.select(F.col("sid").alias(s), F.col("n").alias(f"n{s}"))
+    pairs = few.join(members(few, found).withColumnRenamed("sid", "y"), "to").select(F.col("sid").alias("x"), "y").join(n("x"), "x").join(n("y"), "y")
+    swap = F.struct("nx", "x") > F.struct("ny", "y")
+    pick = lambda x, y, name: F.when(swap, F.col(y)).otherwise(F.col(x)).alias(name)
+    return pairs.select(pick("x", "y", "a"), pick("nx", "ny", "na"), pick("y", "x", "b"), pick("ny", "nx", "nb")), near.where(F.col("to_size") > most).select("sid", "to")
+
+
 def _product(num: int, den: int):
     def run(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()

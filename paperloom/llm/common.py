@@ -6,6 +6,7 @@ does not grow with the batch; a single document larger than a slice is a slice o
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 from collections.abc import Iterator
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -27,14 +28,17 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
 class Roller:
-    """Hashes of any byte range from prefix sums: sum of table[byte] * base^i, modulo 2^64."""
+    """Hashes of any byte range from prefix sums: sum of table[byte] * base^i, modulo 2^64. Powers are kept by the process."""
 
     def __init__(self, seed: int):
         self.table = mix64(np.arange(256, dtype=np.uint64) + np.uint64(seed << 20))
         self.base = int(mix64(np.array([seed], np.uint64))[0]) | 5
         self.inverse = pow(self.base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, np.uint64)
+        self.up, self.down = _POWERS.get(self.base, (np.ones(1, np.uint64),) * 2)
 
     def _grow(self, n: int) -> None:
         if len(self.up) < n:
@@ -43,6 +47,8 @@ class Roller:
                 steps = np.full(size, base, np.uint64)
                 steps[0] = 1
                 setattr(self, name, np.multiply.accumulate(steps))
+            if size <= SLICE_BYTES + 1:
+                _POWERS[self.base] = self.up, self.down
 
     def prefix(self, data: np.ndarray) -> np.ndarray:
         self._grow(len(data) + 1)
@@ -78,6 +84,16 @@ def slices(batch: pa.RecordBatch, text: str = "text", most: int = SLICE_BYTES) -
         j = max(i + 1, int(np.searchsorted(at, at[i] + most, "right")) - 1)
         yield batch.slice(i, j - i), data[at[i] : at[j]], at[i : j + 1] - at[i]
         i = j
+    tidy()
+
+
+def tidy() -> None:
+    """Give freed memory back to the system: workers are kept, and what they hold counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
 
 
 def is_space(data: np.ndarray) -> np.ndarray:
@@ -130,6 +146,7 @@ def written(df: DataFrame, release: bool = False) -> DataFrame:
 
     release: have the driver collect its garbage, so that Spark deletes the shuffle files of steps that are over."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_folder(spark)}/paperloom/{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -149,7 +166,19 @@ def forget(df: DataFrame | None) -> None:
         where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
+#: Rows that a Python worker gets at once. Texts are long: Spark's default of 10,000 rows is tens of MB or more, held several times.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the rows of an Arrow batch for this session, unless it has a setting of its own."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -9,8 +9,9 @@ the product is accumulated for the remaining pairs alone, exactly.
 
 How rare a column is comes from a count sketch of fixed size; any global order gives the same
 result. A column that many rows share is not expanded to all its pairs: its rows are first compared
-with few pivots and neighbours by size, links so found are merged to components, and only pairs
-between different components are formed after that. Components need no other link.
+with a pivot and their neighbours by size, and links so found are merged to components. Then rows
+are multiplied, in blocks, with the other components that they share a leading column with; links
+within a component are not needed.
 
 Defined results: null and empty texts have no n-grams, link with nothing and are their own
 component; a text of fewer words than an n-gram has all its words as one; rows that repeat a doc_id
@@ -27,13 +28,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import blocked
 from . import common as C
 
 N, NUM, DEN = 5, 4, 5  # words of an n-gram; the threshold as a fraction
 #: Places of the sketch, and the parts it is summed in.
 PLACES, PARTS = 1 << 20, 64
-#: Rounds of pivots before pairs between components are formed.
-PIVOT_ROUNDS = 2
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -137,23 +137,30 @@ def _least(a: str, b: str) -> Column:
     return F.floor((NUM * (F.col(a) + F.col(b)) + (NUM + DEN - 1)) / (NUM + DEN)).cast("long")
 
 
+def _sets(nodes: DataFrame, docs: DataFrame, reps: DataFrame, levels_sent) -> DataFrame:
+    """sid, keys: the whole sets of these rows."""
+    need = reps.join(nodes, "sid", "left_semi").select("sid", "doc_id")
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(need, "doc_id").select("sid", "text")
+    return C.written(texts.mapInArrow(_leading(levels_sent, True), "sid long, keys array<long>").dropDuplicates(["sid"]), release=True)
+
+
+def _nodes(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    return pairs.select(F.col(a).alias("sid")).union(pairs.select(F.col(b).alias("sid"))).distinct()
+
+
 def _verified(pairs: DataFrame, led: DataFrame, docs: DataFrame, reps: DataFrame, levels_sent) -> DataFrame:
     """The links among pairs (a, na, b, nb): first block, bound, rest of the product."""
     pairs = C.written(pairs.distinct())
-    nodes = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
-    own = C.written(led.join(nodes, "sid", "left_semi").groupBy("sid").agg(F.first("keys").alias("keys")))
+    own = C.written(led.join(_nodes(pairs, "a", "b"), "sid", "left_semi").groupBy("sid").agg(F.first("keys").alias("keys")))
     side = lambda rows, s: rows.select(F.col("sid").alias(s), F.col("keys").alias(f"k{s}"))
     both = pairs.join(side(own, "a"), "a").join(side(own, "b"), "b")
     last = F.least(F.element_at("ka", -1), F.element_at("kb", -1))
     after = lambda s: F.col(f"n{s}") - F.size(F.filter(f"k{s}", lambda v: v <= F.col("last")))
     both = both.withColumn("last", last).where(F.size(F.array_intersect("ka", "kb")) + F.least(after("a"), after("b")) >= _least("na", "nb"))
     left = C.written(both.select("a", "na", "b", "nb"))
-    nodes = left.select(F.col("a").alias("sid")).union(left.select(F.col("b").alias("sid"))).distinct()
-    need = reps.join(nodes, "sid", "left_semi").select("sid", "doc_id")
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(need, "doc_id").select("sid", "text")
-    whole = C.written(texts.mapInArrow(_leading(levels_sent, True), "sid long, keys array<long>"))
+    whole = _sets(_nodes(left, "a", "b"), docs, reps, levels_sent)
     both = left.join(side(whole, "a"), "a").join(side(whole, "b"), "b")
-    out = C.written(both.where(F.size(F.array_intersect("ka", "kb")) >= _least("na", "nb")).select("a", "b"))
+    out = C.written(both.where(F.size(F.array_intersect("ka", "kb")) >= _least("na", "nb")).select("a", "b"), release=True)
     for x in (pairs, own, left, whole):
         C.forget(x)
     return out
@@ -184,36 +191,34 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     w = Window.partitionBy("key").orderBy("n", "sid")
     before, after = F.lag("sid").over(w), F.lead("sid").over(w)
     entry = entry.withColumn("before", before).withColumn("after", after).where("before IS NOT NULL OR after IS NOT NULL").select("key", "sid", "n", "at")
-    entry = C.written(entry)
-
-    found: DataFrame | None = None
-    links: DataFrame | None = None
-    fits = (DEN * F.col("na") >= NUM * F.col("nb")) & (F.col("ia") + F.col("ib") <= F.col("na") + F.col("nb") - 2 * _least("na", "nb")) & (F.col("a") != F.col("b"))
-    for step in range(PIVOT_ROUNDS + 1):
-        now = entry
-        if found is not None:
-            now = now.join(found, "sid", "left").withColumn("group", F.coalesce("component", "sid")).drop("component")
-            several = now.groupBy("key").agg(F.min("group").alias("x"), F.max("group").alias("y")).where("x <> y").select("key")
-            now = now.join(several, "key")
-        else:
-            now = now.withColumn("group", F.col("sid"))
-        if step < PIVOT_ROUNDS:
-            # the pivot of a column: its first row in an order of the round's own; its neighbour: the row before by size
-            first = now.groupBy("key").agg(F.min_by(F.struct("sid", "n", "at", "group"), F.xxhash64("sid", F.lit(step)) if step else F.struct("n", "sid")).alias("p"))
-            star = now.join(first, "key").select(F.col("p.sid").alias("a"), F.col("p.n").alias("na"), F.col("p.at").alias("ia"), F.col("p.group").alias("ga"), F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"), F.col("group").alias("gb"))
-            ordered = Window.partitionBy("key").orderBy("n", "sid")
-            prior = F.lag(F.struct("sid", "n", "at", "group")).over(ordered)
-            chain = now.withColumn("p", prior).where("p IS NOT NULL").select(F.col("p.sid").alias("a"), F.col("p.n").alias("na"), F.col("p.at").alias("ia"), F.col("p.group").alias("ga"), F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"), F.col("group").alias("gb"))
-            pairs = star.unionByName(chain)
-        else:
-            side = lambda s: now.select("key", F.col("sid").alias(s), F.col("n").alias(f"n{s}"), F.col("at").alias(f"i{s}"), F.col("group").alias(f"g{s}"))  # noqa: E731, B023
-            pairs = side("a").join(side("b"), "key").where((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))))
-        swap = F.col("na") > F.col("nb")
-        pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))  # noqa: E731, B023
-        pairs = pairs.where("ga <> gb").select(pick("a", "b").alias("a"), pick("na", "nb").alias("na"), pick("ia", "ib").alias("ia"), pick("b", "a").alias("b"), pick("nb", "na").alias("nb"), pick("ib", "ia").alias("ib")).where(fits)
-        new = _verified(pairs.select("a", "na", "b", "nb"), led, docs, reps, sent)
-        links = new if links is None else links.unionByName(new)
-        found = C.written(C.components(links).select(F.col("node").alias("sid"), "component"))
+    entry = C.written(entry, release=True)
+    # how much of a row other rows share: the source of a group of edited copies has nothing of its own
+    shared = entry.groupBy("sid").agg((F.count(F.lit(1)) / F.max("n")).alias("shared"))
+    entry = C.written(entry.join(shared, "sid"))
+
+    # the pivot of a column: the row that shares most; its rows' neighbours: the rows before them by size
+    pivot = entry.groupBy("key").agg(F.min_by(F.struct("sid", "n", "at"), F.struct(-F.col("shared"), "sid")).alias("p"))
+    ordered = Window.partitionBy("key").orderBy("n", "sid")
+    prior = entry.withColumn("p", F.lag(F.struct("sid", "n", "at")).over(ordered)).where("p IS NOT NULL")
+    pairs = entry.join(pivot, "key").select("p", "sid", "n", "at").unionByName(prior.select("p", "sid", "n", "at"))
+    pairs = pairs.select(F.col("p.sid").alias("a"), F.col("p.n").alias("na"), F.col("p.at").alias("ia"), F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"))
+    swap = F.struct("na", "a") > F.struct("nb", "b")
+    pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x)).alias(x)
+    pairs = pairs.where("a <> b").select(pick("a", "b"), pick("na", "nb"), pick("ia", "ib"), pick("b", "a"), pick("nb", "na"), pick("ib", "ia"))
+    fits = (DEN * F.col("na") >= NUM * F.col("nb")) & (F.col("ia") + F.col("ib") <= F.col("na") + F.col("nb") - 2 * _least("na", "nb"))
+    links = _verified(pairs.where(fits).select("a", "na", "b", "nb"), led, docs, reps, sent)
+    named = lambda links: C.written(C.components(links).select(F.col("node").alias("sid"), "component"))
+    found = named(links)
+    may = (DEN * F.col("n") >= NUM * F.col("n_min")) & (NUM * F.col("n") <= DEN * F.col("n_max")) & ((NUM + DEN) * (F.col("at") + F.col("at_min")) <= (DEN - NUM) * (F.col("n") + F.col("n_max")))
+    near = C.written(blocked.candidates(blocked.grouped(entry, found), may), release=True)
+    C.forget(entry)
+    pairs, wide = blocked.small(near, found, reps)
+    links = links.unionByName(_verified(pairs.where(DEN * F.col("na") >= NUM * F.col("nb")), led, docs, reps, sent))
+    inside = C.written(blocked.members(wide, found))
+    sets = _sets(wide.select("sid").union(inside.select("sid")).distinct(), docs, reps, sent)
+    found = named(links.unionByName(C.written(blocked.links(wide, inside, sets, NUM, DEN), release=True)))
+    for x in (near, inside, sets, led):
+        C.forget(x)
 
     of = reps.join(found, "sid", "left").select("sid", "doc_id", F.coalesce("component", "sid").alias("component"))
     smallest = of.groupBy("component").agg(F.min("doc_id").alias("component_id"))
