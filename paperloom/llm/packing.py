@@ -30,7 +30,7 @@ from . import common as C
 
 CAPACITY, END = 4096, 1
 #: Different word parts whose ids a worker remembers; beyond that it starts anew.
-MOST_KNOWN = 1_500_000
+MOST_KNOWN = 600_000
 _SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
