@@ -1,8 +1,8 @@
 """Overlaps of sets in blocks: the rows of one component against the rows that may link to it.
 
 Rows that share a column are candidates. Instead of a record for every pair, a candidate is a row
-and a component; both sides are dealt to blocks of about BLOCK rows, and every pair of blocks is one
-product of two small incidence matrices. Records grow with rows, and a block's size has a bound.
+and a component; both sides are dealt to blocks of about BLOCK_ITEMS entries, and every pair of blocks
+is one product of two small incidence matrices. Records grow with rows, and a block's size has a bound.
 """
 
 from __future__ import annotations
@@ -14,13 +14,13 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-BLOCK = 128
+BLOCK_ITEMS = 1 << 17
 #: Components up to this size are compared pair by pair: their candidates are few each.
 SMALL = 16
 
 
 def grouped(entries: DataFrame, found: DataFrame) -> DataFrame:
-    """entries (key, sid, ...) with the row's component and its size; only of columns with several components. found: sid, component."""
+    """entries (key, sid, n, at, rank, pivot) with the row's component and its size; only of columns with several components. found: sid, component."""
     sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     own = found.join(sizes, "component").select("sid", F.col("component").alias("group"), "size")
     now = entries.join(own, "sid", "left").withColumn("group", F.coalesce("group", "sid")).withColumn("size", F.coalesce("size", F.lit(1)))
@@ -31,10 +31,13 @@ def grouped(entries: DataFrame, found: DataFrame) -> DataFrame:
 def candidates(now: DataFrame, may: Column) -> DataFrame:
     """Different (sid, to, to_size): rows and the components that they share a column with; of two components, the rows of the smaller one.
 
+    rank and pivot (whether the row is the column's pivot) say what has been compared: two single rows of
+    which one is the pivot, or which are neighbours, are no candidates again.
     may: whether row (n, at) may link with rows of the component that have n from n_min to n_max and at from at_min on in that column."""
-    ends = now.groupBy("key", F.col("group").alias("to")).agg(F.first("size").alias("to_size"), F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.min("at").alias("at_min"))
+    ends = now.groupBy("key", F.col("group").alias("to")).agg(F.first("size").alias("to_size"), F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.min("at").alias("at_min"), F.max("pivot").alias("to_pivot"), F.min("rank").alias("to_rank"))
     smaller = (F.col("size") < F.col("to_size")) | ((F.col("size") == F.col("to_size")) & (F.col("group") < F.col("to")))
-    return now.join(ends, "key").where((F.col("group") != F.col("to")) & smaller & may).groupBy("sid", "to").agg(F.first("to_size").alias("to_size"))
+    done = (F.col("to_size") == 1) & (F.col("pivot") | F.col("to_pivot") | (F.abs(F.col("rank") - F.col("to_rank")) <= 1))
+    return now.join(ends, "key").where((F.col("group") != F.col("to")) & smaller & ~done & may).groupBy("sid", "to").agg(F.first("to_size").alias("to_size"))
 
 
 def members(near: DataFrame, found: DataFrame) -> DataFrame:
@@ -83,9 +86,13 @@ def _product(num: int, den: int):
     return run
 
 
-def links(near: DataFrame, inside: DataFrame, sets: DataFrame, num: int, den: int, block: int = BLOCK) -> DataFrame:
-    """Pairs (a, b), a of near and b of the component that near names, with overlap / union >= num / den; sets: sid, keys."""
-    deal = lambda rows, name: rows.join(rows.groupBy("to").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(f"n_{name}")), "to")
+def links(near: DataFrame, inside: DataFrame, sets: DataFrame, sizes: DataFrame, num: int, den: int, block: int = BLOCK_ITEMS) -> DataFrame:
+    """Pairs (a, b), a of near and b of the component that near names, with overlap / union >= num / den; sets: sid, keys; sizes: sid, n."""
+
+    def deal(rows: DataFrame, name: str) -> DataFrame:
+        weighed = rows.join(sizes.select("sid", "n"), "sid").groupBy("to").agg(F.ceil(F.sum("n") / block).cast("int").alias(f"n_{name}"))
+        return rows.join(weighed, "to")
+
     spot = lambda name: F.pmod(F.xxhash64("sid"), F.col(f"n_{name}")).cast("int").alias(name)
     xs, ys = deal(near, "x"), deal(inside, "y")
     x_many, y_many = xs.select("to", "n_x").distinct(), ys.select("to", "n_y").distinct()

@@ -194,13 +194,14 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     entry = C.written(entry, release=True)
     # how much of a row other rows share: the source of a group of edited copies has nothing of its own
     shared = entry.groupBy("sid").agg((F.count(F.lit(1)) / F.max("n")).alias("shared"))
-    entry = C.written(entry.join(shared, "sid"))
-
-    # the pivot of a column: the row that shares most; its rows' neighbours: the rows before them by size
-    pivot = entry.groupBy("key").agg(F.min_by(F.struct("sid", "n", "at"), F.struct(-F.col("shared"), "sid")).alias("p"))
+    entry = entry.join(shared, "sid")
+    # the pivot of a column: the row that shares most; a row's neighbour: the one before it by size
+    pivot = C.written(entry.groupBy("key").agg(F.min_by(F.struct("sid", "n", "at"), F.struct(-F.col("shared"), "sid")).alias("p")))
+    entry = C.written(entry.join(pivot, "key").select("key", "sid", "n", "at", "p", (F.col("sid") == F.col("p.sid")).alias("pivot")))
     ordered = Window.partitionBy("key").orderBy("n", "sid")
-    prior = entry.withColumn("p", F.lag(F.struct("sid", "n", "at")).over(ordered)).where("p IS NOT NULL")
-    pairs = entry.join(pivot, "key").select("p", "sid", "n", "at").unionByName(prior.select("p", "sid", "n", "at"))
+    entry = C.written(entry.withColumns({"before": F.lag(F.struct("sid", "n", "at")).over(ordered), "rank": F.row_number().over(ordered)}), release=True)
+    side = lambda p: entry.where(f"{p} IS NOT NULL").select(F.col(p).alias("p"), "sid", "n", "at")
+    pairs = side("p").unionByName(side("before"))
     pairs = pairs.select(F.col("p.sid").alias("a"), F.col("p.n").alias("na"), F.col("p.at").alias("ia"), F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"))
     swap = F.struct("na", "a") > F.struct("nb", "b")
     pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x)).alias(x)
@@ -210,13 +211,13 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     named = lambda links: C.written(C.components(links).select(F.col("node").alias("sid"), "component"))
     found = named(links)
     may = (DEN * F.col("n") >= NUM * F.col("n_min")) & (NUM * F.col("n") <= DEN * F.col("n_max")) & ((NUM + DEN) * (F.col("at") + F.col("at_min")) <= (DEN - NUM) * (F.col("n") + F.col("n_max")))
-    near = C.written(blocked.candidates(blocked.grouped(entry, found), may), release=True)
+    near = C.written(blocked.candidates(blocked.grouped(entry.drop("p", "before"), found), may), release=True)
     C.forget(entry)
     pairs, wide = blocked.small(near, found, reps)
     links = links.unionByName(_verified(pairs.where(DEN * F.col("na") >= NUM * F.col("nb")), led, docs, reps, sent))
     inside = C.written(blocked.members(wide, found))
     sets = _sets(wide.select("sid").union(inside.select("sid")).distinct(), docs, reps, sent)
-    found = named(links.unionByName(C.written(blocked.links(wide, inside, sets, NUM, DEN), release=True)))
+    found = named(links.unionByName(C.written(blocked.links(wide, inside, sets, reps, NUM, DEN), release=True)))
     for x in (near, inside, sets, led):
         C.forget(x)
 

@@ -85,6 +85,14 @@ def _units(bands: int, rows_: int):
                 whole = (new[which] == pa_) & (ends[which] == pb) if len(pa_) else np.zeros(0, bool)
                 good = (pb - pa_ >= LEAST_PASSAGE) & ~whole & (ends[which] - new[which] >= LONG) if len(pa_) else np.zeros(0, bool)
                 pa_, pb = pa_[good], pb[good]
+                # how many different shingles a paragraph has: repeats of one in it count once
+                span = b - N + 1 - a
+                which_line = np.repeat(np.arange(len(a)), span)
+                grams = g[np.arange(int(span.sum())) + np.repeat(a - (np.cumsum(span) - span), span)] if len(a) else np.zeros(0, np.uint64)
+                by = np.lexsort((grams, which_line))
+                once = np.ones(len(by), bool)
+                once[1:] = (grams[by][1:] != grams[by][:-1]) | (which_line[by][1:] != which_line[by][:-1])
+                different = np.bincount(which_line[by][once], minlength=len(a))
                 # names of word sequences
                 series._grow(len(h) + 1)
                 sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * series.up[: len(h)], dtype=np.uint64)))
@@ -112,7 +120,7 @@ def _units(bands: int, rows_: int):
                 begin = at[own]
                 value = pa.StructArray.from_arrays(
                     [
-                        pa.array((lo[first[order]] - begin).astype(np.int32)), pa.array((hi[last[order] - 1] - begin).astype(np.int32)), pa.array((last - first)[order].astype(np.int32)),
+                        pa.array((lo[first[order]] - begin).astype(np.int32)), pa.array((hi[last[order] - 1] - begin).astype(np.int32)), pa.array(np.concatenate((different, pb - pa_))[order].astype(np.int32)),
                         pa.array(keys[order].view(np.int64)), pa.array(passage[order]), C.lists(flat[pick[pick >= 0]].ravel().view(np.int64), band_counts, pa.int64()),
                     ],
                     names=["lo", "hi", "n", "key", "passage", "bands"],
@@ -172,15 +180,20 @@ def repeated(docs: DataFrame, num: int = NUM, den: int = DEN, recall: float = RE
     entry = entry.withColumn("before", F.lag("sid").over(w)).withColumn("after", F.lead("sid").over(w)).where("before IS NOT NULL OR after IS NOT NULL")
     entry = C.written(entry.select("key", "sid", "n", F.lit(0).alias("at"), "before"), release=True)
     many = entry.groupBy("sid").agg(F.count(F.lit(1)).alias("shared"))  # the source of a group of edited copies shares most bands
-    pivot = entry.join(many, "sid").groupBy("key").agg(F.min_by("sid", F.struct(-F.col("shared"), "sid")).alias("p"))
-    pairs = entry.join(pivot, "key").select("p", "sid").unionByName(entry.where("before IS NOT NULL").select(F.col("before").alias("p"), "sid"))
+    pivot = C.written(entry.join(many, "sid").groupBy("key").agg(F.min_by("sid", F.struct(-F.col("shared"), "sid")).alias("p")))
+    entry = C.written(entry.join(pivot, "key").select("*", (F.col("sid") == F.col("p")).alias("pivot"), F.row_number().over(w).alias("rank")), release=True)
+    side = lambda p: entry.where(f"{p} IS NOT NULL").select(F.col(p).alias("p"), "sid")
+    pairs = side("p").unionByName(side("before"))
     links = _verified(pairs.where("p <> sid").select(F.least("p", "sid").alias("a"), F.greatest("p", "sid").alias("b")), docs, first, num, den)
     named = lambda links: C.written(C.components(links).select(F.col("node").alias("sid"), "component"))
     found = named(links)
-    near = C.written(blocked.candidates(blocked.grouped(entry.drop("before"), found), F.lit(True)))
-    inside = C.written(blocked.members(near, found))
-    sets = _whole(near.select("sid").union(inside.select("sid")).distinct(), docs, first)
-    found = named(links.unionByName(C.written(blocked.links(near, inside, sets, num, den), release=True)))
+    may = (den * F.col("n") >= num * F.col("n_min")) & (num * F.col("n") <= den * F.col("n_max"))
+    near = C.written(blocked.candidates(blocked.grouped(entry.drop("before", "p"), found), may), release=True)
+    pairs, wide = blocked.small(near, found, first)
+    links = links.unionByName(_verified(pairs.where(den * F.col("na") >= num * F.col("nb")).select("a", "b"), docs, first, num, den))
+    inside = C.written(blocked.members(wide, found))
+    sets = _whole(wide.select("sid").union(inside.select("sid")).distinct(), docs, first)
+    found = named(links.unionByName(C.written(blocked.links(wide, inside, sets, first, num, den), release=True)))
     group = first.select("sid", "count", "doc_id", "uid", "lo").join(found, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     heads = group.groupBy("component").agg(F.min(F.struct("doc_id", "uid", "lo")).alias("head"), F.sum("count").alias("all")).where("all > 1")
     keyed = C.written(group.join(heads, "component").select("sid", "head"))
