@@ -17,6 +17,8 @@ from . import common as C
 BLOCK_ITEMS = 1 << 17
 #: Components up to this size are compared pair by pair: their candidates are few each.
 SMALL = 16
+#: Columns of more rows are multiplied as a whole.
+LONG = 256
 
 
 def grouped(entries: DataFrame, found: DataFrame) -> DataFrame:
@@ -28,6 +30,17 @@ def grouped(entries: DataFrame, found: DataFrame) -> DataFrame:
     return now.join(several, "key")
 
 
+def by_length(now: DataFrame, most: int = LONG) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows of columns with up to `most` rows; and of longer ones, (sid, to) with the column as `to`: the rows outside of its largest component, and all.
+
+    In a long column single rows may be many that don't link with each other; they are multiplied
+    with the whole column in blocks, where candidates would be their pairs."""
+    size = now.groupBy("key").agg(F.count(F.lit(1)).alias("_rows"), F.max_by("group", F.struct("size", "group")).alias("_top"))
+    rows = C.written(now.join(size, "key"))
+    long = rows.where(F.col("_rows") > most)
+    return rows.where(F.col("_rows") <= most).drop("_rows", "_top"), long.where(F.col("group") != F.col("_top")).select("sid", F.col("key").alias("to")), long.select("sid", F.col("key").alias("to"))
+
+
 def candidates(now: DataFrame, may: Column) -> DataFrame:
     """Different (sid, to, to_size): rows and the components that they share a column with; of two components, the rows of the smaller one.
 

@@ -188,12 +188,13 @@ def repeated(docs: DataFrame, num: int = NUM, den: int = DEN, recall: float = RE
     named = lambda links: C.written(C.components(links).select(F.col("node").alias("sid"), "component"))
     found = named(links)
     may = (den * F.col("n") >= num * F.col("n_min")) & (num * F.col("n") <= den * F.col("n_max"))
-    near = C.written(blocked.candidates(blocked.grouped(entry.drop("before", "p"), found), may), release=True)
+    short, some, every = blocked.by_length(blocked.grouped(entry.drop("before", "p"), found))
+    near = C.written(blocked.candidates(short, may), release=True)
     pairs, wide = blocked.small(near, found, first)
     links = links.unionByName(_verified(pairs.where(den * F.col("na") >= num * F.col("nb")).select("a", "b"), docs, first, num, den))
-    inside = C.written(blocked.members(wide, found))
+    wide, inside = C.written(wide.unionByName(some)), C.written(blocked.members(wide, found).unionByName(every))
     sets = _whole(wide.select("sid").union(inside.select("sid")).distinct(), docs, first)
-    found = named(links.unionByName(C.written(blocked.links(wide, inside, sets, first, num, den), release=True)))
+    found = named(links.unionByName(C.written(blocked.links(wide, inside, sets, first, num, den).where("a <> b"), release=True)))
     group = first.select("sid", "count", "doc_id", "uid", "lo").join(found, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     heads = group.groupBy("component").agg(F.min(F.struct("doc_id", "uid", "lo")).alias("head"), F.sum("count").alias("all")).where("all > 1")
     keyed = C.written(group.join(heads, "component").select("sid", "head"))
