@@ -47,7 +47,7 @@ def document_texts(pages: DataFrame) -> DataFrame:
 
 def metrics(blocks: DataFrame) -> DataFrame:
     """Blocks, pages and the mean confidence of blocks, by document."""
-    return blocks.groupBy("document_id").agg(F.count(F.lit(1)).alias("block_count"), F.countDistinct("page_number").alias("page_count"), F.round(F.avg("confidence"), 2).alias("average_confidence"))
+    return blocks.groupBy("document_id").agg(F.count(F.lit(1)).alias("block_count"), F.countDistinct("page_number").alias("page_count"), F.round(F.avg(F.col("confidence").cast("decimal(10,2)")), 2).cast("double").alias("average_confidence"))
 
 
 def crop_box(box: Column, width: Column, height: Column, s: Settings = DEFAULT) -> Column:

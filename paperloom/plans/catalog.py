@@ -297,7 +297,7 @@ def tokens_to_lines(spark, d):
     return layout.lines(tokens(spark, d)).select("document_id", "block_index", "text", "confidence", "bbox.*")
 
 
-@query(f"SELECT document_id, count(*) AS block_count, CAST(1 AS BIGINT) AS page_count, round(avg(confidence), 2) AS average_confidence FROM ({_BLOCKS}) GROUP BY document_id")
+@query(f"SELECT document_id, count(*) AS block_count, CAST(1 AS BIGINT) AS page_count, CAST((2 * sum(CAST(round(confidence * 100) AS BIGINT)) + count(confidence)) // (2 * count(confidence)) AS DOUBLE) / 100 AS average_confidence FROM ({_BLOCKS}) GROUP BY document_id")
 def ocr_metrics(spark, d):
     return layout.metrics(layout.lines(tokens(spark, d)))
 
