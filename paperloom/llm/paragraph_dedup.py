@@ -1,14 +1,19 @@
 """Substring dedup by paragraph MinHash banding.
 
-Paragraphs are lines of LEAST_WORDS words or more. Long ones are also cut into passages after some of
-their sentences, where the words at the cut say so, so that a passage inside different paragraphs is
-cut alike in each. Equal paragraphs and passages are one, whatever their number, before anything is
-compared. For paragraphs, minima of hashed five-word shingles are combined to bands, tuned so that a
+Paragraphs are lines of LEAST_WORDS words or more. Equal ones are one, whatever their number, before
+anything is compared. Minima of hashed five-word shingles are combined to bands, tuned so that a
 pair at the threshold collides with probability RECALL or more; colliding paragraphs are compared by
 the exact Jaccard of their shingles, first with a pivot and a neighbour in each band, then, in blocks,
 with the other components that they share a band with. In every component the first paragraph (by doc_id, then
 place) stays and the others are removed.
 
+Passages are runs of words of LEAST_PASSAGE words or more, across line ends, in what the removed
+paragraphs leave. Texts are cut at the least hashed shingle (of SEED words) of every WINDOW shingles
+in a row, so that two equal runs of 2 * WINDOW + SEED - 1 words are cut alike at two places at least;
+a piece goes from a cut to the end of the shingle at the next. Of equal pieces the first stays. Pieces
+to be removed that touch are one run, and its ends are moved outwards over all words that are equal
+beside the first occurrence too. Shorter runs are found if two cuts fall inside.
+
 Defined results: null and empty texts have no paragraphs; words are compared with A-Z lower-cased;
 a paragraph that repeats within its own document is removed there too; rows that repeat a doc_id are
 documents of their own if their texts differ, and share one result otherwise; an empty table gives
@@ -28,11 +33,16 @@ from . import blocked
 from . import common as C
 
 N, NUM, DEN, RECALL = 5, 4, 5, 0.999
-#: Words of a paragraph, of one that is cut to passages, and of a passage, at least.
-LEAST_WORDS, LONG, LEAST_PASSAGE = 12, 40, 15
+#: Words of a paragraph and of a passage, at least.
+LEAST_WORDS, LEAST_PASSAGE = 12, 15
+#: Shingles of which the least is a cut (a power of 2), and words of such a shingle.
+WINDOW, SEED = 16, LEAST_PASSAGE - 1
+#: Words that are compared beside a run: of 2 * WINDOW more equal ones, some would be a piece.
+BESIDE = 2 * WINDOW
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_UNIT = "struct<lo:int,hi:int,n:int,key:long,passage:boolean,bands:array<long>>"
+_UNIT = "struct<lo:int,hi:int,n:int,key:long,bands:array<long>>"
+_PIECE = "struct<lo:int,hi:int,key:long>"
 
 
 def tune(threshold: float = NUM / DEN, recall: float = RECALL, most: int = 256) -> tuple[int, int]:
@@ -54,6 +64,26 @@ def _grams(h: np.ndarray, n: int = N) -> np.ndarray:
     return g
 
 
+def _cuts(g: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Where the least of every WINDOW hashes in a row is, and the first and last of every row; g has one for each word that begins a shingle, row those of all words."""
+    n = len(g)
+    own = row[:n] == row[SEED - 1 : SEED - 1 + n]  # the shingle ends in its row
+    least, at, step = g, np.arange(n), 1
+    while step < WINDOW and len(least) > step:
+        later = least[step:] < least[:-step]
+        least, at = np.where(later, least[step:], least[:-step]), np.where(later, at[step:], at[:-step])
+        step *= 2
+    out = np.zeros(n, bool)
+    if n >= WINDOW:
+        out[at[own[WINDOW - 1 :] & (row[: n - WINDOW + 1] == row[WINDOW - 1 : n])]] = True
+    edge = np.ones(n, bool)
+    edge[1:] = row[1:n] != row[: n - 1]
+    out |= edge
+    edge = np.ones(n, bool)
+    edge[:-1] = ~own[1:]
+    return np.flatnonzero((out | edge) & own)
+
+
 def _units(bands: int, rows_: int):
     rng = C.mix64(np.arange(bands * rows_, dtype=np.uint64) + np.uint64(1 << 50))
 
@@ -73,18 +103,6 @@ def _units(bands: int, rows_: int):
                 lines_of = np.bincount(row[new], minlength=k) if len(new) else np.zeros(k, np.int64)
                 keep = ends - new >= LEAST_WORDS
                 a, b = new[keep], ends[keep]
-                # passages: runs of a long line's words between chosen sentence ends
-                stop = np.isin(data[hi - 1], np.frombuffer(b".!?", np.uint8)) if len(hi) else np.zeros(0, bool)
-                stop &= (h >> np.uint64(63)) == 0
-                inner = np.zeros(len(lo) + 1, bool)
-                inner[1:][stop] = True
-                inner[new] = True
-                pa_ = np.flatnonzero(inner[:-1])
-                pb = np.append(pa_[1:], len(lo)) if len(pa_) else pa_
-                which = np.searchsorted(new, pa_, "right") - 1
-                whole = (new[which] == pa_) & (ends[which] == pb) if len(pa_) else np.zeros(0, bool)
-                good = (pb - pa_ >= LEAST_PASSAGE) & ~whole & (ends[which] - new[which] >= LONG) if len(pa_) else np.zeros(0, bool)
-                pa_, pb = pa_[good], pb[good]
                 # how many different shingles a paragraph has: repeats of one in it count once
                 span = b - N + 1 - a
                 which_line = np.repeat(np.arange(len(a)), span)
@@ -110,23 +128,19 @@ def _units(bands: int, rows_: int):
                     flat = np.stack(made, 1)
                 else:
                     flat = np.zeros((0, bands), np.uint64)
-                first, last = np.concatenate((a, pa_)), np.concatenate((b, pb))
-                passage = np.concatenate((np.zeros(len(a), bool), np.ones(len(pa_), bool)))
-                keys = np.concatenate((name(a, b, 0), name(pa_, pb, 1)))
-                order = np.argsort(first, kind="stable")
-                own = row[first[order]] if len(first) else np.zeros(0, np.int64)
-                band_counts = np.where(passage[order], 0, bands)
-                pick = np.concatenate((np.arange(len(a)), np.full(len(pa_), -1)))[order]
-                begin = at[own]
+                keys, own = name(a, b, 0), row[a]
                 value = pa.StructArray.from_arrays(
-                    [
-                        pa.array((lo[first[order]] - begin).astype(np.int32)), pa.array((hi[last[order] - 1] - begin).astype(np.int32)), pa.array(np.concatenate((different, pb - pa_))[order].astype(np.int32)),
-                        pa.array(keys[order].view(np.int64)), pa.array(passage[order]), C.lists(flat[pick[pick >= 0]].ravel().view(np.int64), band_counts, pa.int64()),
-                    ],
-                    names=["lo", "hi", "n", "key", "passage", "bands"],
+                    [pa.array((lo[a] - at[own]).astype(np.int32)), pa.array((hi[b - 1] - at[own]).astype(np.int32)), pa.array(different.astype(np.int32)), pa.array(keys.view(np.int64)), C.lists(flat.ravel().view(np.int64), np.full(len(a), bands), pa.int64())],
+                    names=["lo", "hi", "n", "key", "bands"],
                 )
-                offsets = np.concatenate(([0], np.cumsum(np.bincount(own, minlength=k)))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("uid"), pa.array(np.diff(at)), pa.array(lines_of), pa.ListArray.from_arrays(pa.array(offsets), value)], names=["doc_id", "uid", "n_bytes", "n_paragraphs", "units"])
+                starts = np.arange(max(0, len(h) - SEED + 1))
+                cut = _cuts(name(starts, starts + SEED, 2), row)
+                p, q = cut[:-1], cut[1:]
+                same = row[p] == row[q]
+                p, q = p[same], q[same]
+                piece = pa.StructArray.from_arrays([pa.array((lo[p] - at[row[p]]).astype(np.int32)), pa.array((hi[q + SEED - 1] - at[row[p]]).astype(np.int32)), pa.array(name(p, q + SEED, 1).view(np.int64))], names=["lo", "hi", "key"])
+                by_row = lambda own, value: pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.bincount(own, minlength=k)))).astype(np.int32)), value)  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("uid"), pa.array(np.diff(at)), pa.array(lines_of), by_row(own, value), by_row(row[p], piece)], names=["doc_id", "uid", "n_bytes", "n_paragraphs", "units", "pieces"])
 
     return run
 
@@ -169,13 +183,110 @@ def _verified(pairs: DataFrame, docs: DataFrame, first: DataFrame, num: int, den
     return out
 
 
+def _free(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pieces that no removed paragraph touches."""
+    for batch in batches:
+        for r in batch.to_pylist():
+            p = np.array([(x["lo"], x["hi"], x["key"]) for x in r["pieces"]], np.int64).reshape(-1, 3)
+            gone = np.array([(x["lo"], x["hi"]) for x in r["gone"] or []], np.int64).reshape(-1, 2)
+            p = p[np.searchsorted(gone[:, 1], p[:, 0], "right") == np.searchsorted(gone[:, 0], p[:, 1], "left")]
+            yield pa.RecordBatch.from_arrays([pa.array([r["doc_id"]] * len(p), pa.int64()), pa.array([r["uid"]] * len(p), pa.int64()), *(pa.array(p[:, i].astype(t)) for i, t in ((2, np.int64), (0, np.int32), (1, np.int32)))], names=["doc_id", "uid", "key", "lo", "hi"])
+
+
+_RUN = "uid long, lo int, hi int, lu long, ll int, lh int, ru long, rh int"
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces that touch as runs: their bytes, and where the first occurrence of their first piece begins and ends and that of their last one ends. A run never overlaps its own first occurrence."""
+    names = [x.split(" ")[0] for x in _RUN.split(", ")]
+    for batch in batches:
+        out = []
+        for r in batch.to_pylist():
+            now = None
+            for x in sorted(r["hits"], key=lambda x: (x["lo"], x["hi"])):
+                h = x["head"]
+                lo = max(x["lo"], h["hi"]) if h["uid"] == r["uid"] else x["lo"]
+                if now and lo <= now[2]:
+                    if x["hi"] > now[2]:
+                        now[2], now[6], now[7] = x["hi"], h["uid"], h["hi"]
+                else:
+                    now = [r["uid"], lo, x["hi"], h["uid"] if lo == x["lo"] else None, h["lo"], h["hi"], h["uid"], h["hi"]]
+                    out.append(now)
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64() if n in ("uid", "lu", "ru") else pa.int32()) for i, n in enumerate(names)], names=names)
+
+
+def _beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The hashes of the words beside wanted places, outwards up to BESIDE or a removed paragraph, and the places after each."""
+    roller = C.Roller(5)
+    for batch in batches:
+        for rows, data, at in C.slices(batch):
+            low = _LOWER[data]
+            lo, hi, row = C.word_bounds(low, at)
+            h = roller.span(roller.prefix(low), lo, hi)
+            keep = np.ones(len(lo) + 1, bool)
+            bounds = np.searchsorted(row, np.arange(rows.num_rows + 1))
+            uids, places, lefts, words, ends, counts = [], [], [], [], [], []
+            for i, (uid, want, gone) in enumerate(zip(rows.column("uid").to_pylist(), rows.column("want").to_pylist(), rows.column("gone").to_pylist(), strict=True)):
+                for x in gone or []:
+                    keep[slice(*np.searchsorted(lo, (at[i] + x["lo"], at[i] + x["hi"])))] = False
+                for w in want:
+                    k = int(np.searchsorted(lo, at[i] + w["at"]))
+                    own = np.arange(k - 1, max(bounds[i], k - BESIDE) - 1, -1) if w["left"] else np.arange(k, min(bounds[i + 1], k + BESIDE))
+                    own = own[np.logical_and.accumulate(keep[own])]
+                    uids.append(uid)
+                    places.append(w["at"])
+                    lefts.append(w["left"])
+                    words.append(h[own])
+                    ends.append((lo if w["left"] else hi)[own] - at[i])
+                    counts.append(len(own))
+            n = np.array(counts, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(uids, pa.int64()), pa.array(places, pa.int32()), pa.array(lefts, pa.bool_()), C.lists(np.concatenate([np.zeros(0, np.uint64), *words]).view(np.int64), n, pa.int64()), C.lists(np.concatenate([np.zeros(0, np.int64), *ends]).astype(np.int32), n, pa.int32())],
+                names=["uid", "at", "left", "words", "ends"],
+            )
+
+
+def _passages(docs: DataFrame, made: DataFrame, lines: DataFrame) -> DataFrame:
+    """uid, lo, hi of the passages that repeat an earlier one; made has doc_id, uid, pieces, and lines the removed paragraphs."""
+    gone = C.written(lines.groupBy("uid").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("gone")))
+    piece = made.select("doc_id", "uid", F.explode("pieces").alias("p")).select("doc_id", "uid", "p.*")
+    place = F.struct("uid", "lo")
+    several = piece.groupBy("key").agg(F.min(place).alias("x"), F.max(place).alias("y")).where("x <> y").select("key")
+    some = C.written(C.attach(piece, C.written(several, release=True), "key", by="uid"), release=True)
+    some = some.groupBy("uid").agg(F.min("doc_id").alias("doc_id"), F.collect_set(F.struct("lo", "hi", "key")).alias("pieces")).join(gone, "uid", "left")
+    free = C.written(some.select("doc_id", "uid", "pieces", "gone").mapInArrow(_free, "doc_id long, uid long, key long, lo int, hi int"))
+    place = F.struct("doc_id", "uid", "lo", "hi")
+    heads = C.written(free.groupBy("key").agg(F.min(place).alias("head"), F.max(place).alias("last")).where("head <> last").select("key", "head"))
+    hits = C.attach(free, heads, "key", by="uid").where(~place.eqNullSafe(F.col("head")))
+    runs = C.written(hits.groupBy("uid").agg(F.collect_list(F.struct("lo", "hi", F.struct("head.uid", "head.lo", "head.hi").alias("head"))).alias("hits")).mapInArrow(_runs, _RUN), release=True)
+    edge = lambda uid, at, left: runs.where(f"{uid} IS NOT NULL").select(F.col(uid).alias("uid"), F.col(at).alias("at"), F.lit(left).alias("left"))
+    want = edge("uid", "lo", True).union(edge("lu", "ll", True)).union(edge("uid", "hi", False)).union(edge("ru", "rh", False)).distinct()
+    want = want.groupBy("uid").agg(F.collect_list(F.struct("at", "left")).alias("want")).join(gone, "uid", "left")
+    code = lambda uid, at, left: F.xxhash64(uid, at, left)
+    made_beside = docs.select("uid", "text").join(want, "uid").select("uid", "text", "want", "gone").mapInArrow(_beside, "uid long, at int, left boolean, words array<long>, ends array<int>")
+    beside = C.written(made_beside.withColumn("place", code("uid", "at", "left")).select("place", "words", "ends").dropDuplicates(["place"]), release=True)
+    for left, uid, at, own in ((True, "lu", "ll", "lo"), (False, "ru", "rh", "hi")):
+        rows = runs.withColumn("place", code("uid", own, F.lit(left))).join(beside, "place", "left").drop("place").withColumnRenamed("words", "mine")
+        rows = rows.withColumn("place", code(uid, at, F.lit(left)))
+        rows = C.attach(rows, beside.select("place", F.col("words").alias("theirs")), "place", by="uid", how="left")
+        unlike = F.array_position(F.zip_with("mine", "theirs", lambda x, y: x.eqNullSafe(y)), False)
+        n = F.when(F.col(uid).isNull(), 0).when(unlike > 0, unlike - 1).otherwise(F.size("mine")).cast("int")
+        more = F.when(n > 0, F.try_element_at("ends", n)).otherwise(F.col(own))
+        if left:  # never into the first occurrence itself
+            more = F.when(F.col("lu") == F.col("uid"), F.least(F.greatest(more, F.col("lh")), F.col("lo"))).otherwise(more)
+        runs = C.written(rows.withColumn(own, F.coalesce(more, F.col(own)).cast("int")).select(*(x.split(" ")[0] for x in _RUN.split(", "))))
+    w = Window.partitionBy("uid").orderBy("lo", "hi")
+    before = F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    return runs.distinct().withColumn("lo", F.greatest("lo", F.coalesce(before, F.col("lo")))).where("lo < hi").select("uid", "lo", "hi")
+
+
 def repeated(docs: DataFrame, num: int = NUM, den: int = DEN, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, uid, n_bytes, n_paragraphs) and removed units (uid, lo, hi, passage); docs has doc_id, text, uid."""
     bands, rows = tune(num / den, recall)
-    made = C.written(docs.mapInArrow(_units(bands, rows), f"doc_id long, uid long, n_bytes long, n_paragraphs long, units array<{_UNIT}>"))
+    made = C.written(docs.mapInArrow(_units(bands, rows), f"doc_id long, uid long, n_bytes long, n_paragraphs long, units array<{_UNIT}>, pieces array<{_PIECE}>"))
     unit = made.select("doc_id", "uid", F.explode("units").alias("u")).select("doc_id", "uid", "u.*").withColumnRenamed("key", "sid")
-    first = C.written(unit.groupBy("sid").agg(F.min(F.struct("doc_id", "uid", "lo", "hi", "n", "passage", "bands")).alias("f"), F.count(F.lit(1)).alias("count")).select("sid", "count", "f.*"), release=True)
-    entry = first.where("NOT passage").select("sid", F.col("n").cast("long").alias("n"), F.explode("bands").alias("key"))
+    first = C.written(unit.groupBy("sid").agg(F.min(F.struct("doc_id", "uid", "lo", "hi", "n", "bands")).alias("f"), F.count(F.lit(1)).alias("count")).select("sid", "count", "f.*"), release=True)
+    entry = first.select("sid", F.col("n").cast("long").alias("n"), F.explode("bands").alias("key"))
     w = Window.partitionBy("key").orderBy("n", "sid")
     entry = entry.withColumn("before", F.lag("sid").over(w)).withColumn("after", F.lead("sid").over(w)).where("before IS NOT NULL OR after IS NOT NULL")
     entry = C.written(entry.select("key", "sid", "n", F.lit(0).alias("at"), "before"), release=True)
@@ -198,8 +309,10 @@ def repeated(docs: DataFrame, num: int = NUM, den: int = DEN, recall: float = RE
     group = first.select("sid", "count", "doc_id", "uid", "lo").join(found, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     heads = group.groupBy("component").agg(F.min(F.struct("doc_id", "uid", "lo")).alias("head"), F.sum("count").alias("all")).where("all > 1")
     keyed = C.written(group.join(heads, "component").select("sid", "head"))
-    hit = C.attach(unit.select("uid", "doc_id", "lo", "hi", "passage", "sid"), keyed, "sid", by="uid")
-    return made.drop("units"), hit.where(~F.struct("doc_id", "uid", "lo").eqNullSafe(F.col("head"))).select("uid", "lo", "hi", "passage")
+    hit = C.attach(unit.select("uid", "doc_id", "lo", "hi", "sid"), keyed, "sid", by="uid")
+    lines = C.written(hit.where(~F.struct("doc_id", "uid", "lo").eqNullSafe(F.col("head"))).select("uid", "lo", "hi").distinct(), release=True)
+    gone = lines.withColumn("passage", F.lit(False)).unionByName(_passages(docs, made, lines).withColumn("passage", F.lit(True)))
+    return made.drop("units", "pieces"), gone
 
 
 def _keyed(docs: DataFrame) -> DataFrame:

@@ -250,6 +250,19 @@ def test_paragraphs(docs, texts):
     assert 1 - (1 - 0.8**rows) ** bands >= 0.999
 
 
+def test_passages_across_lines(spark):
+    passage = words(50, 500)
+    hard = lambda t, n: "\n".join(" ".join(t.split()[i : i + n]) for i in range(0, len(t.split()), n))
+    whole = [words(70, 600 + k) + " " + passage + " " + words(60, 700 + k) for k in range(6)]  # no sentence ends at all
+    texts = whole[:3] + [hard(t, 7) for t in whole[3:]] + [words(150, 800), hard("tick tock " * 80, 7)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], KINDS)
+    got = {r.doc_id: r for r in paragraph_dedup.paragraph_dedup(docs).collect()}
+    cut = lambda i: [texts[i].encode()[slice(*map(int, x.split(":")))].decode().split() for x in got[i].spans.split(",") if x]
+    assert [cut(i) for i in range(6)] == [[]] + [[passage.split()]] * 5 and cut(6) == []
+    assert [got[i].n_passages for i in range(7)] == [0, 1, 1, 1, 1, 1, 0]
+    assert 15 <= 160 - sum(map(len, cut(7))) <= 32  # the first occurrence of a text that repeats itself stays
+
+
 def test_mixing(spark):
     rng, rows = np.random.default_rng(1), []
     for i in range(300):
