@@ -1,7 +1,7 @@
 """Mixing sources to target weights with soft membership.
 
 A table of labelled documents (doc_id, domain) trains a multinomial naive Bayes classifier over the
-LETTERS of a text (few, as each is a pass over it); it gives every document a posterior over the domains, also those whose own domain
+words of a text, lower-cased and hashed to PLACES; it gives every document a posterior over the domains, also those whose own domain
 is missing or wrong. With rate r a document counts r times, so a domain's expected tokens are the sum
 of rate, tokens and posterior over all documents. Nonnegative rates are fitted by projected gradient
 on the squared distance of these totals from the targets, in its lazy form: steps accumulate in the
@@ -11,11 +11,12 @@ miss over its untouched total, which is below the inverse of the curvature, so s
 Rates start at 1 and stay as near to it as the targets allow.
 
 Only DataFrame expressions are used; what reaches the driver is one row of sums over all documents,
-of a size set by the number of domains.
+of a size set by the number of domains, and once the counts of PLACES by domain.
 
 Defined results: null and empty texts have no tokens and the prior as posterior; labels that are
 null or contradict each other are left out; without labels there is one domain, "other", and rates
-are 1; target weights of domains without documents can't be met and are dropped, the rest scaled up;
+are 1; of more than MOST_DOMAINS domains those with the fewest labels are one domain, REST, with the
+sum of their targets; characters of scripts without spaces are words; target weights of domains without documents can't be met and are dropped, the rest scaled up;
 domains without a target get none (rates of pure members go to 0); rows that repeat a doc_id are
 documents of their own; an empty table gives an empty result; other columns are not looked at.
 """
@@ -29,47 +30,61 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-LETTERS = "ehknoquwzéñóßü"
-#: Labelled documents that training takes at most, those with the smallest hash of doc_id; domains at most, those with the most labels.
-MOST_LABELLED, MOST_DOMAINS = 50_000, 24
-#: Letters are not independent: the evidence of a text counts as that of so many letters at most.
-EVIDENCE = 30.0
+PLACES = 4096
+#: What is between words; after each character of scripts without spaces a word ends.
+BETWEEN = r"[^\p{L}\p{M}]+|(?<=[\u0E00-\u0E7F\u3040-\u30FF\u3400-\u9FFF])"
+#: Labelled documents that training takes at most, those with the smallest hash of doc_id; domains with a class of their own at most, those with the most labels; the others are REST.
+MOST_LABELLED, MOST_DOMAINS, REST = 50_000, 24, "(rest)"
+#: Words are not independent: the evidence of a text counts as that of so many words at most.
+EVIDENCE = 60.0
 STEPS, TOLERANCE = 60, 1e-4
 #: Target weights of the registered query, by language.
 TARGETS = {"en": 0.40, "de": 0.25, "fr": 0.20, "es": 0.15}
 
 
-def _counts() -> list[Column]:
-    text = F.col("text")
-    return [(F.length(text) - F.length(F.replace(text, F.lit(c)))).cast("double") for c in LETTERS]
+def _places(text: Column) -> Column:
+    """The place of each word."""
+    words = F.array_remove(F.split(F.lower(text), BETWEEN), "")
+    return F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(PLACES)).cast("int"))
 
 
 def _plain(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
 
 
+def _logs(counts: list[float]) -> list[float]:
+    whole = sum(counts)
+    return [round(math.log(x / whole), 9) for x in counts]
+
+
 def train(docs: DataFrame, labelled: DataFrame, most: int = MOST_LABELLED) -> dict[str, tuple[float, list[float]]]:
-    """Domain: log prior and log probabilities of LETTERS."""
+    """Domain: log prior and log probabilities of PLACES."""
     clear = labelled.where("doc_id IS NOT NULL AND domain IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("domain").alias("domain"), F.max("domain").alias("other")).where("domain = other").select("doc_id", "domain")
     sample = C.written(clear.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))
-    rows = _plain(docs).join(sample, "doc_id").select("domain", *(c.alias(f"c{i}") for i, c in enumerate(_counts())))
-    sums = rows.groupBy("domain").agg(F.count(F.lit(1)).alias("n"), *(F.sum(f"c{i}").alias(f"c{i}") for i in range(len(LETTERS)))).orderBy(F.desc("n"), "domain").limit(MOST_DOMAINS).collect()
-    n = sum(r["n"] for r in sums)
-    out = {}
-    for r in sums:
-        own = [r[f"c{i}"] + 1.0 for i in range(len(LETTERS))]
-        out[r["domain"]] = (math.log(r["n"] / n), [math.log(x / sum(own)) for x in own])
-    return out or {"other": (0.0, [math.log(1 / len(LETTERS))] * len(LETTERS))}
+    rows = C.written(_plain(docs).join(sample, "doc_id").select("domain", _places(F.col("text")).alias("places")))
+    sizes = rows.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "domain")
+    own = {r["domain"]: r["n"] for r in sizes.limit(MOST_DOMAINS).collect()}
+    n = rows.count()
+    if n > sum(own.values()):
+        own[REST] = own.get(REST, 0) + n - sum(own.values())
+    domain = F.when(F.col("domain").isin(list(own)), F.col("domain")).otherwise(REST).alias("domain")
+    counts = {name: [1.0] * PLACES for name in own}
+    for r in rows.select(domain, F.explode("places").alias("place")).groupBy("domain", "place").count().toLocalIterator():
+        counts[r["domain"]][r["place"]] += r["count"]
+    C.forget(rows)
+    out = {name: (math.log(own[name] / n), _logs(counts[name])) for name in own}
+    return out or {"other": (0.0, [math.log(1 / PLACES)] * PLACES)}
 
 
 def profiles(docs: DataFrame, model: dict[str, tuple[float, list[float]]], *keep: str) -> DataFrame:
     """The columns to keep of every row, tokens, and the posterior q0, q1, ... in the order of the model."""
     text = F.col("_text")
     rows = docs.select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
-    rows = rows.select(*keep, F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("tokens"), *((F.length(text) - F.length(F.replace(text, F.lit(c)))).cast("double").alias(f"c{i}") for i, c in enumerate(LETTERS)))
-    total = sum((F.col(f"c{i}") for i in range(len(LETTERS))), F.lit(0.0))
-    scale = F.least(F.lit(1.0), EVIDENCE / F.greatest(total, F.lit(1.0)))
-    rows = rows.select(*keep, "tokens", *(F.round(prior + scale * sum((F.col(f"c{i}") * p for i, p in enumerate(logs)), F.lit(0.0)), 9).alias(f"s{k}") for k, (prior, logs) in enumerate(model.values())))
+    rows = rows.select(*keep, F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("tokens"), _places(text).alias("_places"))
+    scale = F.least(F.lit(1.0), EVIDENCE / F.greatest(F.size("_places"), F.lit(1)))
+    table = lambda logs: F.split(F.lit(",".join(map(repr, logs))), ",").cast("array<double>")
+    evidence = lambda logs: F.aggregate("_places", F.lit(0.0), lambda s, x: s + F.get(table(logs), x))
+    rows = rows.select(*keep, "tokens", *(F.round(prior + scale * evidence(logs), 9).alias(f"s{k}") for k, (prior, logs) in enumerate(model.values())))
     scores = [F.col(f"s{k}") for k in range(len(model))]
     top = F.greatest(*scores) if len(scores) > 1 else scores[0]
     rows = rows.select(*keep, "tokens", *(F.exp(s - top).alias(f"e{k}") for k, s in enumerate(scores)))
@@ -107,7 +122,11 @@ def fitted(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budg
     """The classifier, g, and the written profiles by doc_id."""
     model = train(docs, labelled)
     made = C.written(profiles(docs.withColumn("doc_id", F.col("doc_id").cast("long")), model, "doc_id"))
-    g, _, _ = fit(made, [targets.get(n, 0.0) for n in model], budget)
+    wanted = {n: targets.get(n, 0.0) for n in model}
+    if REST in model:
+        merged = labelled.where(F.col("domain").isin([n for n in targets if n not in model])).select("domain").distinct().collect()
+        wanted[REST] += sum(targets[r["domain"]] for r in merged)
+    g, _, _ = fit(made, list(wanted.values()), budget)
     return model, g, made
 
 

@@ -278,6 +278,19 @@ def test_mixing(spark):
     assert out.columns == docs.columns and collections.Counter(r.doc_id for r in out.collect()) == collections.Counter({r.doc_id: r.copies for r in got if r.copies})
 
 
+def test_mixing_reads_capitals_and_any_words(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    bags = {"law": "court judge claim", "sea": "boat wave fish", "ru": "это было там", "zh": "海 山 水", "few": "lamp chair desk"}
+    rows = [(i, " ".join(rng.choice(bags[d].split(), 40)), d, "s", 0) for i, d in enumerate(list(bags)[:4] * 30)]
+    rows += [(200 + i, t.upper(), d, s, n) for i, (_, t, d, s, n) in enumerate(rows)] + [(900, bags["few"] * 5, "few", "s", 0)]
+    docs = spark.createDataFrame(rows, KINDS)
+    labelled = docs.where("doc_id < 100 OR doc_id = 900").select("doc_id", F.col("lang").alias("domain"))
+    monkeypatch.setattr(mixing, "MOST_DOMAINS", 4)
+    got = {r.doc_id: r for r in mixing.mix(docs, labelled, {"law": 0.5, "few": 0.5}).collect()}
+    assert all(got[i].domain == (mixing.REST if d == "few" else d) for i, _, d, _, _ in rows)
+    assert got[900].rate > 1 > got[1].rate
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], KINDS)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
