@@ -1,8 +1,9 @@
 """URL filters: host rules first, and link-graph propagation for what no rule decides.
 
-Trust spreads from hosts whose pages the rules mostly allow, by personalised PageRank along the
-links between hosts; distrust spreads from hosts whose pages the rules mostly block, along the
-reversed links (who links to bad hosts is suspect). Links are counted by pair of hosts before
+Trust spreads from hosts with pages that the rules allow, by personalised PageRank along the links
+between hosts; distrust spreads from hosts with pages that the rules block, along the reversed links
+(who links to bad hosts is suspect). Both are counted in pages: each such page is one unit of mass on
+its host, so verdicts don't depend on how many pages there are elsewhere. Links are counted by pair of hosts before
 anything else, so the graph has host pairs, not pages. A host is blocked if its distrust exceeds
 both a floor and its trust times a factor; hosts that neither reaches are allowed.
 
@@ -24,7 +25,8 @@ from . import common as C
 #: (verdict, host and path) of the rules.
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 DAMPING, STEPS, TOLERANCE = 0.85, 20, 1e-9
-#: A host is blocked with distrust above FLOOR (of all seeds' mass) and above FACTOR times its trust.
+#: A host is blocked with distrust above FLOOR (in pages) and above FACTOR times its trust.
+#: TOLERANCE is of each host's own score.
 FLOOR, FACTOR = 1e-6, 1.0
 LINK = r"""(?i)(?:href|src)\s*=\s*["']?((?:https?:)?//[^"'\s<>]+)"""
 
@@ -59,19 +61,20 @@ def links(pages: DataFrame) -> DataFrame:
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, steps: int = STEPS, tolerance: float = TOLERANCE) -> DataFrame:
-    """Personalised PageRank: host, score; edges a, b, n and seeds host, mass (in all 1). What a host without links holds goes back to the seeds."""
+    """Personalised PageRank: host, score; edges a, b, n and seeds host, mass. What a host without links holds goes back to the seeds."""
     total = edges.groupBy("a").agg(F.sum("n").alias("all"))
     shares = C.written(edges.join(total, "a").select(F.col("a").alias("host"), "b", (F.col("n") / F.col("all")).alias("share")))
     now = C.written(seeds.select("host", F.col("mass").alias("score")))
+    whole = now.agg(F.sum("score")).first()[0] or 1.0
     if shares.isEmpty() or now.isEmpty():
         return now
     for _ in range(steps):
         flow = now.join(shares, "host").groupBy(F.col("b").alias("host")).agg(F.sum(F.col("score") * F.col("share")).alias("flow"))
-        back = seeds.select("host", F.col("mass").alias("seed"))
+        back = seeds.select("host", (F.col("mass") / whole).alias("seed"))
         moved = flow.agg(F.sum("flow")).first()[0] or 0.0
-        new = flow.join(back, "host", "full_outer").select("host", (damping * F.coalesce("flow", F.lit(0.0)) + (1 - damping * moved) * F.coalesce("seed", F.lit(0.0))).alias("score"))
+        new = flow.join(back, "host", "full_outer").select("host", (damping * F.coalesce("flow", F.lit(0.0)) + (whole - damping * moved) * F.coalesce("seed", F.lit(0.0))).alias("score"))
         new = C.written(new)
-        change = new.join(now.withColumnRenamed("score", "old"), "host", "left").agg(F.sum(F.abs(F.col("score") - F.coalesce("old", F.lit(0.0))))).first()[0] or 0.0
+        change = new.join(now.withColumnRenamed("score", "old"), "host", "left").agg(F.max(F.try_divide(F.abs(F.col("score") - F.coalesce("old", F.lit(0.0))), "score"))).first()[0] or 0.0
         C.forget(now)
         now = new
         if change < tolerance:
@@ -90,9 +93,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, floor: float =
     hosts = C.written(own.where("host <> ''").groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.count_if(allows).alias("good"), F.count_if(fit.isNotNull() & ~allows).alias("bad")))
 
     def seeds(rows: DataFrame, column: str) -> DataFrame:
-        rows = rows.where(2 * F.col(column) > F.col("n")).select("host", F.col(column).alias("m"))
-        whole = rows.agg(F.sum("m")).first()[0]
-        return rows.select("host", (F.col("m") / F.lit(float(whole or 1))).alias("mass"))
+        return rows.where(F.col(column) > 0).select("host", F.col(column).cast("double").alias("mass"))
 
     edges = C.written(links(own.select("host", "html")))
     trust = propagate(edges, seeds(hosts, "good")).withColumnRenamed("score", "trust")

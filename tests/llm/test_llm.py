@@ -239,6 +239,15 @@ def test_urls(spark):
     assert (by[1], by[3], by[6], by[8]) == (("www.example.com", "/en/1"), ("x.net", "/es/1"), ("", ""), ("com", ""))
 
 
+def test_urls_whatever_the_size(spark):
+    schema = "page_id long, url string, html string"
+    small = [(1, "http://shady.org/a", '<a href="http://bad.net/x">'), (2, "http://bad.net/es/1", ""), (3, "http://part.net/es/1", ""), (4, "http://part.net/a", ""), (5, "http://part.net/b", ""), (6, "http://far.org/", "")]
+    large = spark.range(1000, 1_501_000).select(F.col("id").alias("page_id"), F.lit("http://big.net/es/1").alias("url"), F.lit("").alias("html"))
+    few = spark.createDataFrame(small, schema)
+    got = {r.page_id: r.verdict for r in url_filter.judge(few.unionByName(large)).where("page_id < 1000").collect()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "block", 5: "block", 6: "allow"}
+
+
 def test_paragraphs(docs, texts):
     units = [(i, j, w) for i, t in enumerate(texts) for j, x in enumerate((t or "").split("\n")) if len(w := tuple(WORD.findall(x.translate(LOW)))) >= paragraph_dedup.LEAST_WORDS]
     sets = [{u[2][k : k + 5] for k in range(len(u[2]) - 4)} for u in units]
