@@ -21,13 +21,33 @@ def ensure_workers(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir of the session; one of our own only where that is unset."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+    """The folder that all executors share: spark.checkpoint.dir of the session. Where that is unset, one of our own if there is one machine only; on a cluster an error, as executors don't see each other's disks."""
+    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if at:
+        return at
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return "file:///tmp/checkpoints"
+
+
+def own_folder(spark: SparkSession) -> str:
+    """Where this application keeps tables in between."""
+    return f"{shared_folder(spark)}/paperloom/{spark.sparkContext.applicationId}"
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables in between of this application; results that were not written yet are lost with them."""
+    delete(spark, own_folder(spark))
 
 
 def materialized(df: DataFrame) -> DataFrame:
     """The rows, written once to the shared folder and read from there."""
-    path = f"{shared_folder(df.sparkSession)}/paperloom/{uuid.uuid4().hex}"
+    path = f"{own_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
