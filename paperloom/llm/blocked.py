@@ -1,8 +1,10 @@
-"""Overlaps of sets in blocks: the rows of one component against the rows that may link to it.
+"""Overlaps of sets in blocks: the rows of one component or column against the rows that may link to it.
 
-Rows that share a column are candidates. Instead of a record for every pair, a candidate is a row
-and a component; both sides are dealt to blocks of about BLOCK_ITEMS entries, and every pair of blocks
-is one product of two small incidence matrices. Records grow with rows, and a block's size has a bound.
+Rows that share a column are candidates. Of short columns, a candidate is a row and a component;
+long columns, in which single rows may be many, are multiplied as a whole. Both sides are dealt to
+blocks of about BLOCK_ITEMS entries, and every pair of blocks is one product of two small incidence
+matrices, of which the links that join what was apart are the result: fewer than the rows of the
+block. Records grow with rows, and a block's size has a bound.
 """
 
 from __future__ import annotations
@@ -17,12 +19,27 @@ from . import common as C
 BLOCK_ITEMS = 1 << 17
 #: Components up to this size are compared pair by pair: their candidates are few each.
 SMALL = 16
-#: Columns of more rows are multiplied as a whole.
-LONG = 256
+#: Columns of more rows are multiplied as a whole; shorter ones make no more candidates of a row than that.
+LONG = 32
+#: Rows of a column that are put in order together.
+RUN = 4096
+
+
+def in_runs(entries: DataFrame) -> DataFrame:
+    """entries (key, sid, n, ...) with run: the rows of a long column are dealt to runs of about RUN, each of which can be put in order by one task."""
+    sizes = entries.groupBy("key").agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > RUN)
+    some = entries.join(C.written(sizes), "key", "left")
+    return some.withColumn("run", F.coalesce(F.pmod(F.xxhash64("sid"), F.ceil(F.col("_rows") / RUN)), F.lit(0)).cast("int")).drop("_rows")
+
+
+def shared(entries: DataFrame, source) -> DataFrame:
+    """The entries of keys that several rows have; source() makes the same entries for a count, which is combined before its shuffle."""
+    several = C.written(source().groupBy("key").agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1").select("key"), release=True)
+    return entries.join(several, "key", "left_semi")
 
 
 def grouped(entries: DataFrame, found: DataFrame) -> DataFrame:
-    """entries (key, sid, n, at, rank, pivot) with the row's component and its size; only of columns with several components. found: sid, component."""
+    """entries (key, sid, n, at, run, rank, pivot) with the row's component and its size; only of columns with several components. found: sid, component."""
     sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     own = found.join(sizes, "component").select("sid", F.col("component").alias("group"), "size")
     now = entries.join(own, "sid", "left").withColumn("group", F.coalesce("group", "sid")).withColumn("size", F.coalesce("size", F.lit(1)))
@@ -30,26 +47,26 @@ def grouped(entries: DataFrame, found: DataFrame) -> DataFrame:
     return now.join(several, "key")
 
 
-def by_length(now: DataFrame, most: int = LONG) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The rows of columns with up to `most` rows; and of longer ones, (sid, to) with the column as `to`: the rows outside of its largest component, and all.
+def by_length(now: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows with long (whether their column has more than LONG rows); and, with the column as `to`, (sid, to) of the rows in long columns whose component has up to SMALL rows.
 
-    In a long column single rows may be many that don't link with each other; they are multiplied
-    with the whole column in blocks, where candidates would be their pairs."""
-    size = now.groupBy("key").agg(F.count(F.lit(1)).alias("_rows"), F.max_by("group", F.struct("size", "group")).alias("_top"))
-    rows = C.written(now.join(size, "key"))
-    long = rows.where(F.col("_rows") > most)
-    return rows.where(F.col("_rows") <= most).drop("_rows", "_top"), long.where(F.col("group") != F.col("_top")).select("sid", F.col("key").alias("to")), long.select("sid", F.col("key").alias("to"))
+    In a long column such rows may be many that don't link with each other; they are multiplied with
+    one another in blocks, where candidates would be their pairs."""
+    size = now.groupBy("key").agg(F.count(F.lit(1)).alias("_rows"))
+    rows = C.written(now.join(size, "key").withColumn("long", F.col("_rows") > LONG).drop("_rows"))
+    return rows, rows.where(F.col("long") & (F.col("size") <= SMALL)).select("sid", F.col("key").alias("to"))
 
 
 def candidates(now: DataFrame, may: Column) -> DataFrame:
-    """Different (sid, to, to_size): rows and the components that they share a column with; of two components, the rows of the smaller one.
+    """Different (sid, to, to_size): rows and the components that they share a column with, in long columns those of more than SMALL rows; of two components, the rows of the smaller one.
 
-    rank and pivot (whether the row is the column's pivot) say what has been compared: two single rows of
+    run, rank in it, and pivot (whether the row is the column's pivot) say what has been compared: two single rows of
     which one is the pivot, or which are neighbours, are no candidates again.
     may: whether row (n, at) may link with rows of the component that have n from n_min to n_max and at from at_min on in that column."""
-    ends = now.groupBy("key", F.col("group").alias("to")).agg(F.first("size").alias("to_size"), F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.min("at").alias("at_min"), F.max("pivot").alias("to_pivot"), F.min("rank").alias("to_rank"))
+    ends = now.where(~F.col("long") | (F.col("size") > SMALL)).groupBy("key", F.col("group").alias("to")).agg(F.first("size").alias("to_size"), F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.min("at").alias("at_min"), F.max("pivot").alias("to_pivot"), F.min("rank").alias("to_rank"), F.min("run").alias("to_run"))
     smaller = (F.col("size") < F.col("to_size")) | ((F.col("size") == F.col("to_size")) & (F.col("group") < F.col("to")))
-    done = (F.col("to_size") == 1) & (F.col("pivot") | F.col("to_pivot") | (F.abs(F.col("rank") - F.col("to_rank")) <= 1))
+    beside = (F.col("run") == F.col("to_run")) & (F.abs(F.col("rank") - F.col("to_rank")) <= 1)
+    done = (F.col("to_size") == 1) & (F.col("pivot") | F.col("to_pivot") | beside)
     return now.join(ends, "key").where((F.col("group") != F.col("to")) & smaller & ~done & may).groupBy("sid", "to").agg(F.first("to_size").alias("to_size"))
 
 
@@ -85,14 +102,20 @@ def _product(num: int, den: int):
         flat, owner = ids[~left[row]], np.repeat(np.arange(len(right)), counts[right])
         seen = np.zeros(int(ids.max()) + 1 if len(ids) else 1, bool)
         a, b = [], []
+        part = np.arange(len(sid))  # which rows are linked so far
+        _, same = np.unique(sid, return_inverse=True)
         for i in np.flatnonzero(left).tolist():
             own = ids[begin[i] : begin[i] + counts[i]]
             seen[own] = True
             both = np.bincount(owner[seen[flat]], minlength=len(right))
             seen[own] = False
-            hit = right[(both > 0) & (den * both >= num * (counts[i] + counts[right] - both))]
-            b.append(sid[hit])
-            a.append(np.full(len(hit), sid[i]))
+            hit = right[(both > 0) & (den * both >= num * (counts[i] + counts[right] - both)) & (same[right] != same[i])]
+            parts, first = np.unique(part[hit], return_index=True)
+            new = parts != part[i]
+            if new.any():
+                b.append(sid[hit[first[new]]])
+                a.append(np.full(int(new.sum()), sid[i]))
+                part[np.isin(part, parts)] = part[i]
         none = np.zeros(0, np.int64)
         return pa.table({"a": pa.array(np.concatenate([*a, none]), pa.int64()), "b": pa.array(np.concatenate([*b, none]), pa.int64())})
 
@@ -100,7 +123,7 @@ def _product(num: int, den: int):
 
 
 def links(near: DataFrame, inside: DataFrame, sets: DataFrame, sizes: DataFrame, num: int, den: int, block: int = BLOCK_ITEMS) -> DataFrame:
-    """Pairs (a, b), a of near and b of the component that near names, with overlap / union >= num / den; sets: sid, keys; sizes: sid, n."""
+    """Pairs (a, b), a of near and b of inside with the same `to`, with overlap / union >= num / den, as many as it takes to link all rows of a block that such pairs link; sets: sid, keys; sizes: sid, n."""
 
     def deal(rows: DataFrame, name: str) -> DataFrame:
         weighed = rows.join(sizes.select("sid", "n"), "sid").groupBy("to").agg(F.ceil(F.sum("n") / block).cast("int").alias(f"n_{name}"))

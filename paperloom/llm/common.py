@@ -8,14 +8,18 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import hashlib
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperloom.session import delete, own_folder
+
 SLICE_BYTES = 1 << 20
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -28,37 +32,59 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_PAIR = np.uint64(0x9FB21C651E98DF25)
+_FIRST = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+#: Byte ranges of more than that are hashed one by one by a digest.
+LONG_RANGE = 64
+
+
+def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One hash of two, in this order."""
+    return mix64(a * _PAIR + b)
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place on as a number; zeros follow the end."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    return np.lib.stride_tricks.as_strided(padded[:8].view(np.uint64), (len(data) + 1,), (1,))
 
 
-class Roller:
-    """Hashes of any byte range from prefix sums: sum of table[byte] * base^i, modulo 2^64. Powers are kept by the process."""
+def hashes(data: np.ndarray, lo: np.ndarray, hi: np.ndarray, seed: int = 0, most: int = LONG_RANGE) -> np.ndarray:
+    """A hash of each byte range: eight bytes after eight are mixed in, so texts have no structure that makes ranges collide."""
+    n, at8 = hi - lo, eights(data)
+    out = mix64(n.astype(np.uint64) + (np.uint64(seed) << np.uint64(40)))
+    left, k = np.flatnonzero((n > 0) & (n <= most)), 0
+    while len(left):
+        rest = n[left] - k
+        out[left] = pair(out[left], at8[lo[left] + k] & _FIRST[np.minimum(rest, 8)])
+        left, k = left[rest > 8], k + 8
+    long = np.flatnonzero(n > most)
+    if len(long):
+        body, key = memoryview(np.ascontiguousarray(data)), seed.to_bytes(8, "little")
+        for i in long.tolist():
+            out[i] = int.from_bytes(hashlib.blake2b(body[lo[i] : hi[i]], digest_size=8, key=key).digest(), "little")
+    return out
 
-    def __init__(self, seed: int):
-        self.table = mix64(np.arange(256, dtype=np.uint64) + np.uint64(seed << 20))
-        self.base = int(mix64(np.array([seed], np.uint64))[0]) | 5
-        self.inverse = pow(self.base, -1, 1 << 64)
-        self.up, self.down = _POWERS.get(self.base, (np.ones(1, np.uint64),) * 2)
 
-    def _grow(self, n: int) -> None:
-        if len(self.up) < n:
-            size = max(n, SLICE_BYTES + 1)
-            for name, base in (("up", self.base), ("down", self.inverse)):
-                steps = np.full(size, base, np.uint64)
-                steps[0] = 1
-                setattr(self, name, np.multiply.accumulate(steps))
-            if size <= SLICE_BYTES + 1:
-                _POWERS[self.base] = self.up, self.down
+def windows(h: np.ndarray, n: int) -> np.ndarray:
+    """The hash of the n values from every place on, by prefix doubling."""
+    have = 1
+    while have < n:
+        step = min(have, n - have)
+        h = pair(h[: max(0, len(h) - step)], h[step:])
+        have += step
+    return h
 
-    def prefix(self, data: np.ndarray) -> np.ndarray:
-        self._grow(len(data) + 1)
-        out = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(self.table[data] * self.up[: len(data)], out=out[1:])
-        return out
 
-    def span(self, prefix: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        self._grow(len(prefix))
-        return mix64((prefix[hi] - prefix[lo]) * self.down[lo])
+def run_hashes(h: np.ndarray, lo: np.ndarray, hi: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A hash of each run of values h[lo:hi], of any length from 1 on: the sum of what each value and its place in the run hash to."""
+    n = hi - lo
+    if not len(n):
+        return np.zeros(0, np.uint64)
+    first = np.cumsum(n) - n
+    place = np.arange(int(n.sum())) - np.repeat(first, n)
+    each = mix64(h[place + np.repeat(lo, n)] + mix64(place.astype(np.uint64) + (np.uint64(seed) << np.uint64(40))))
+    return mix64(np.add.reduceat(each, first) + n.astype(np.uint64))
 
 
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -135,10 +161,19 @@ def lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, kind))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir of the session; one of our own only where that is unset."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return at or "file:///tmp/checkpoints"
+#: Tables written in each open scratch().
+_SCRATCH: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside are deleted at the end, when what was made of them has been written elsewhere."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            delete(spark, path)
 
 
 def written(df: DataFrame, release: bool = False) -> DataFrame:
@@ -147,7 +182,9 @@ def written(df: DataFrame, release: bool = False) -> DataFrame:
     release: have the driver collect its garbage, so that Spark deletes the shuffle files of steps that are over."""
     spark = df.sparkSession
     small_batches(spark)
-    path = f"{shared_folder(spark)}/paperloom/{uuid.uuid4().hex}"
+    path = f"{own_folder(spark)}/{uuid.uuid4().hex}"
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._paperloom_path = path
@@ -161,9 +198,7 @@ def forget(df: DataFrame | None) -> None:
     """Delete what written() made for a table that no later step reads."""
     path = getattr(df, "_paperloom_path", None)
     if path:
-        jvm, spark = df.sparkSession._jvm, df.sparkSession
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+        delete(df.sparkSession, path)
 
 
 #: Rows that a Python worker gets at once. Texts are long: Spark's default of 10,000 rows is tens of MB or more, held several times.
@@ -182,6 +217,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: What tells rows apart: doc_id (the least number stands for null) and a hash of the text. Rows that share both have equal texts, but for one chance in 2^64 among the rows of one doc_id.
+ROW = ["_k", "_h"]
+
+
+def row_key(doc_id: Column, text: Column) -> list[Column]:
+    return [F.coalesce(doc_id.cast("long"), F.lit(-(1 << 63))).alias("_k"), F.xxhash64(F.coalesce(text.cast("string"), F.lit(""))).alias("_h")]
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text (null is empty) and the key of every row."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *row_key(F.col("doc_id"), F.col("text")))
+
+
+def keep_rows(docs: DataFrame, kept: DataFrame, often: str | None = None) -> DataFrame:
+    """The rows of docs whose key is in kept (one row a key), with the columns of docs. Of rows with the same key one stays;
+    with `often`, a column of kept, each comes as many times as that says."""
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    own = lambda name: F.col(names[docs.columns.index(name)])
+    rows = docs.toDF(*names).select("*", *row_key(own("doc_id"), own("text")))
+    if often is None:
+        rows = rows.join(kept.select(*ROW), ROW, "left_semi").dropDuplicates(ROW)
+    else:
+        rows = rows.join(kept.select(*ROW, often), ROW).where(F.col(often) > 0).withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col(often))))
+    return rows.select(*names).toDF(*docs.columns)
+
+
+def at_most(rows: DataFrame, most: int, column: str = "doc_id") -> DataFrame:
+    """The rows whose `column` hashes least, `most` at most: all of them where there are no more. The sort is Spark's top-k, a list of `most` a task; only larger tables get one."""
+    rows = written(rows)
+    return rows if rows.count() <= most else written(rows.orderBy(F.xxhash64(column), column).limit(most))
+
+
 def salt(column: str, of: int = 256) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(of)).cast("int")
 

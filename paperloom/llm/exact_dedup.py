@@ -7,8 +7,9 @@ documents holding one that stands for two digests carry the digests themselves.
 recipes move: documents are equal when their ordered lists are. Long documents are never shuffled.
 
 Defined results: null text is the empty text; empty texts are equal to each other; of equal texts
-the one with most code points stays, then the smallest doc_id, then (rows that repeat a doc_id) all
-of that doc_id; an empty table gives an empty result; other columns are not looked at.
+the one with most code points stays, then the smallest doc_id (null is the last), then (rows that
+repeat a doc_id) all of that doc_id are marked as kept, of which drop_copies leaves one; an empty
+table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from . import common as C
 #: A cut about every 2^CUT_BITS bytes; no chunk is longer than MOST_CHUNK.
 CUT_BITS, MOST_CHUNK, SALTS = 10, 1 << 14, 1024
 _GEAR = C.mix64(np.arange(256, dtype=np.uint64)).astype(np.uint32)
-_SCHEMA = "doc_id long, code_points long, text_sha256 string, recipe array<long>, digests array<binary>"
+_SCHEMA = "doc_id long, _h long, code_points long, text_sha256 string, recipe array<long>, digests array<binary>"
 
 
 def cuts(data: np.ndarray) -> np.ndarray:
@@ -60,32 +61,39 @@ def _recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 counts.append(n)
                 shas.append(hashlib.sha256(body).hexdigest())
             ends = pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32())
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(points[at[1:]] - points[at[:-1]]), pa.array(shas), pa.ListArray.from_arrays(ends, pa.array(ids, pa.int64())), pa.ListArray.from_arrays(ends, pa.array(digests, pa.binary()))], names=["doc_id", "code_points", "text_sha256", "recipe", "digests"])
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("_h"), pa.array(points[at[1:]] - points[at[:-1]]), pa.array(shas), pa.ListArray.from_arrays(ends, pa.array(ids, pa.int64())), pa.ListArray.from_arrays(ends, pa.array(digests, pa.binary()))], names=["doc_id", "_h", "code_points", "text_sha256", "recipe", "digests"])
 
 
 def recipes(docs: DataFrame) -> DataFrame:
-    """doc_id, code_points, text_sha256, recipe, digests of each row."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_recipes, _SCHEMA)
+    """doc_id, _h, code_points, text_sha256, recipe, digests of each row."""
+    return C.keyed(docs).select("doc_id", "_h", "text").mapInArrow(_recipes, _SCHEMA)
 
 
-def exact_dedup(docs: DataFrame) -> DataFrame:
-    """For each row: doc_id, keep_id, group_size, kept, text_sha256, n_chunks."""
+def _groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every row with its recipe, and one row for each group of equal texts and salt: group_size and best, the row that stays."""
     made = C.written(recipes(docs))
     chunks = made.select(F.explode(F.arrays_zip("recipe", "digests")).alias("c")).select("c.recipe", "c.digests").distinct()
     clash = chunks.groupBy(F.col("recipe").alias("id")).count().where("count > 1").select("id")
-    unsure = made.select("doc_id", "text_sha256", F.explode("recipe").alias("id")).join(clash, "id", "left_semi").select("doc_id", "text_sha256").distinct().withColumn("unsure", F.lit(True))
-    own = made.join(unsure, ["doc_id", "text_sha256"], "left").select("doc_id", "code_points", "text_sha256", "recipe", F.when(F.col("unsure"), F.col("digests")).otherwise(F.array().cast("array<binary>")).alias("verified"), C.salt("doc_id", SALTS).alias("salt"))
+    near = F.coalesce("doc_id", F.lit(0)).alias("_near")
+    unsure = made.select(near, "text_sha256", F.explode("recipe").alias("id")).join(clash, "id", "left_semi").select("_near", "text_sha256").distinct().withColumn("unsure", F.lit(True))
+    own = made.select("*", near).join(unsure, ["_near", "text_sha256"], "left").select("doc_id", "_h", "code_points", "text_sha256", "recipe", F.when(F.col("unsure"), F.col("digests")).otherwise(F.array().cast("array<binary>")).alias("verified"), C.salt("doc_id", SALTS).alias("salt"))
+    return own, own.groupBy("recipe", "verified", "salt").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("code_points", (-F.col("doc_id")).alias("neg"), "_h")).alias("best"))
+
+
+def exact_dedup(docs: DataFrame) -> DataFrame:
+    """For each row: doc_id, keep_id, group_size, kept, text_sha256, n_chunks."""
+    own, parts = _groups(docs)
     key = ["recipe", "verified"]
-    best = lambda c: F.max(c).alias("best")
-    parts = own.groupBy(*key, "salt").agg(F.count(F.lit(1)).alias("n"), best(F.struct("code_points", (-F.col("doc_id")).alias("neg"))))
-    whole = parts.groupBy(*key).agg(F.sum("n").alias("group_size"), best("best"))
+    whole = parts.groupBy(*key).agg(F.sum("n").alias("group_size"), F.max("best").alias("best"))
     spread = parts.select(*key, "salt").join(whole, key).select(*key, "salt", "group_size", (-F.col("best.neg")).alias("keep_id"))
     return own.join(spread, [*key, "salt"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", F.size("recipe").cast("long").alias("n_chunks"))
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows that stay, with the columns of docs; rows that repeat a doc_id share its fate."""
-    return docs.join(exact_dedup(docs).where("kept").select("doc_id").distinct(), "doc_id", "left_semi")
+    """One row of each group of equal texts, with the columns of docs: the one that exact_dedup keeps; of several of its doc_id, one of them."""
+    _, parts = _groups(docs)
+    best = parts.groupBy("recipe", "verified").agg(F.max("best").alias("best"))
+    return C.keep_rows(docs, best.select(F.coalesce(-F.col("best.neg"), F.lit(-(1 << 63))).alias("_k"), F.col("best._h").alias("_h")))
 
 
 def query(spark, sf_dir):

@@ -9,14 +9,17 @@ the product is accumulated for the remaining pairs alone, exactly.
 
 How rare a column is comes from a count sketch of fixed size; any global order gives the same
 result. A column that many rows share is not expanded to all its pairs: its rows are first compared
-with a pivot and their neighbours by size, and links so found are merged to components. Then rows
+with a pivot and a neighbour by size, and links so found are merged to components. Then rows
 are multiplied, in blocks, with the other components that they share a leading column with; links
 within a component are not needed.
 
+Rows are known by their sets, never by doc_id: the pass that reads a text names its set.
+
 Defined results: null and empty texts have no n-grams, link with nothing and are their own
 component; a text of fewer words than an n-gram has all its words as one; rows that repeat a doc_id
-are one document if their texts are equal, and each takes its own component otherwise; an empty
-table gives an empty result; other columns are not looked at.
+are one document if their texts are equal, and each takes the component of its own text otherwise;
+rows of a null doc_id link as others do, and a component's number is its smallest doc_id that isn't
+null (null if there is none); an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -38,27 +41,20 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def ngrams(data: np.ndarray, at: np.ndarray, roller: C.Roller, n: int = N) -> tuple[np.ndarray, np.ndarray]:
+def ngrams(data: np.ndarray, at: np.ndarray, n: int = N) -> tuple[np.ndarray, np.ndarray]:
     """The different n-grams of every row: (row, hash), by row."""
     clean = _LOWER[data]
     lo, hi, row = C.word_bounds(clean, at)
     if not len(lo):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h = roller.span(roller.prefix(clean), lo, hi)
+    h = C.hashes(clean, lo, hi)
     words = np.bincount(row, minlength=len(at) - 1)
     full = np.flatnonzero(row[: max(0, len(row) - n + 1)] == row[n - 1 :]) if len(row) >= n else np.zeros(0, np.int64)
-    g = np.full(len(full), n, np.uint64)
-    for k in range(n):
-        g = C.mix64(g ^ h[full + k])
-    rows = row[full]
+    rows, g = row[full], C.windows(h, n)[full]
     short = np.flatnonzero((words > 0) & (words < n))
     if len(short):
         first = np.searchsorted(row, short)
-        s = words[short].astype(np.uint64)
-        for k in range(n - 1):
-            on = words[short] > k
-            s[on] = C.mix64(s[on] ^ h[first[on] + k])
-        rows, g = np.concatenate((rows, short)), np.concatenate((g, s))
+        rows, g = np.concatenate((rows, short)), np.concatenate((g, C.run_hashes(h, first, first + words[short])))
     order = np.lexsort((g, rows))
     rows, g = rows[order], g[order]
     new = np.ones(len(g), bool)
@@ -73,23 +69,29 @@ def _per_row(values: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     return total[ends[1:]] - total[ends[:-1]]
 
 
+def _names(r: np.ndarray, g: np.ndarray, k: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The size and the identifier of every row's set."""
+    n = np.bincount(r, minlength=k)
+    return n, C.mix64(_per_row(C.mix64(g ^ np.uint64(seed + 1)), r, k) + n.astype(np.uint64)).view(np.int64)
+
+
 def _profiles(seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roller, counts, some = C.Roller(5), np.zeros(PLACES, np.int64), False
-        names = ["doc_id", "n", "sid", "check", "part", "counts"]
+        counts, some = np.zeros(PLACES, np.int64), False
+        names = ["doc_id", "_h", "n", "sid", "check", "part", "counts"]
         none = lambda k, t: pa.nulls(k, t)
         for batch in batches:
             for rows, data, at in C.slices(batch):
-                r, g = ngrams(data, at, roller)
+                r, g = ngrams(data, at)
                 k, some = rows.num_rows, True
                 counts += np.bincount((g >> np.uint64(44)).astype(np.int64), minlength=PLACES)
-                n = np.bincount(r, minlength=k)
-                sid, check = _per_row(C.mix64(g ^ np.uint64(seed + 1)), r, k), _per_row(C.mix64(g + np.uint64(77)), r, k)
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(C.mix64(sid + n.astype(np.uint64)).view(np.int64)), pa.array(check.view(np.int64)), none(k, pa.int32()), none(k, pa.binary())], names=names)
+                n, sid = _names(r, g, k, seed)
+                check = _per_row(C.mix64(g + np.uint64(77)), r, k)
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("_h"), pa.array(n.astype(np.int64)), pa.array(sid), pa.array(check.view(np.int64)), none(k, pa.int32()), none(k, pa.binary())], names=names)
         if some:
             kind = np.uint16 if counts.max() < 1 << 16 else np.int64
             parts = [p.astype(kind).tobytes() for p in np.split(counts, PARTS)]
-            yield pa.RecordBatch.from_arrays([*(none(PARTS, pa.int64()) for _ in range(4)), pa.array(range(PARTS), pa.int32()), pa.array(parts, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([*(none(PARTS, pa.int64()) for _ in range(5)), pa.array(range(PARTS), pa.int32()), pa.array(parts, pa.binary())], names=names)
 
     return run
 
@@ -114,51 +116,59 @@ def keys(g: np.ndarray, levels: np.ndarray) -> np.ndarray:
     return ((levels[(g >> np.uint64(44)).astype(np.int64)].astype(np.uint64) << np.uint64(58)) | (g >> np.uint64(6))).astype(np.int64)
 
 
-def _leading(levels_sent, whole: bool):
+def _leading(levels_sent, seed: int, whole: bool):
+    """sid, n and the leading keys, or all, of every set; rows of equal sets in a slice are one."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roller, levels = C.Roller(5), np.frombuffer(levels_sent.value, np.uint8)
+        levels = np.frombuffer(levels_sent.value, np.uint8)
         for batch in batches:
             for rows, data, at in C.slices(batch):
-                r, g = ngrams(data, at, roller)
+                r, g = ngrams(data, at)
+                n, sid = _names(r, g, rows.num_rows, seed)
+                once = np.zeros(len(n), bool)
+                once[np.unique(sid, return_index=True)[1]] = True
+                once &= n > 0
+                r, g = r[once[r]], g[once[r]]
                 key = keys(g, levels)
                 order = np.lexsort((key, r))
-                key, k = key[order], rows.num_rows
-                n = np.bincount(r, minlength=k)
-                take = n if whole else np.where(n > 0, n - (-(-NUM * n // DEN)) + 1, 0)
+                key = key[order]
+                take = n if whole else n - (-(-NUM * n // DEN)) + 1
                 rank = np.arange(len(r)) - np.searchsorted(r, r)
-                out = C.lists(key[rank < take[r]], take, pa.int64())
-                yield pa.RecordBatch.from_arrays([rows.column(0), out], names=[rows.schema.names[0], "keys"])
+                yield pa.RecordBatch.from_arrays([pa.array(sid[once]), pa.array(n[once].astype(np.int64)), C.lists(key[rank < take[r]], take[once], pa.int64())], names=["sid", "n", "keys"])
 
     return run
 
 
+_SET = "sid long, n long, keys array<long>"
+
+
 def _least(a: str, b: str) -> Column:
     """Overlap that a pair of these sizes needs: ceil(NUM (a + b) / (NUM + DEN))."""
     return F.floor((NUM * (F.col(a) + F.col(b)) + (NUM + DEN - 1)) / (NUM + DEN)).cast("long")
 
 
-def _sets(nodes: DataFrame, docs: DataFrame, reps: DataFrame, levels_sent) -> DataFrame:
-    """sid, keys: the whole sets of these rows."""
-    need = reps.join(nodes, "sid", "left_semi").select("sid", "doc_id")
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(need, "doc_id").select("sid", "text")
-    return C.written(texts.mapInArrow(_leading(levels_sent, True), "sid long, keys array<long>").dropDuplicates(["sid"]), release=True)
+def _sets(nodes: DataFrame, rows: DataFrame, reps: DataFrame, read) -> DataFrame:
+    """sid, keys: the whole sets of these rows. A text is fetched by its row key and names its set itself."""
+    need = reps.join(nodes, "sid", "left_semi").select(*C.ROW)
+    texts = rows.join(need, C.ROW, "left_semi").select("text")
+    return C.written(texts.mapInArrow(read(True), _SET).select("sid", "keys").dropDuplicates(["sid"]), release=True)
 
 
 def _nodes(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.select(F.col(a).alias("sid")).union(pairs.select(F.col(b).alias("sid"))).distinct()
 
 
-def _verified(pairs: DataFrame, led: DataFrame, docs: DataFrame, reps: DataFrame, levels_sent) -> DataFrame:
+def _verified(pairs: DataFrame, led: DataFrame, rows: DataFrame, reps: DataFrame, read) -> DataFrame:
     """The links among pairs (a, na, b, nb): first block, bound, rest of the product."""
     pairs = C.written(pairs.distinct())
-    own = C.written(led.join(_nodes(pairs, "a", "b"), "sid", "left_semi").groupBy("sid").agg(F.first("keys").alias("keys")))
+    own = C.written(led.join(_nodes(pairs, "a", "b"), "sid", "left_semi").select("sid", "keys"))
     side = lambda rows, s: rows.select(F.col("sid").alias(s), F.col("keys").alias(f"k{s}"))
     both = pairs.join(side(own, "a"), "a").join(side(own, "b"), "b")
     last = F.least(F.element_at("ka", -1), F.element_at("kb", -1))
     after = lambda s: F.col(f"n{s}") - F.size(F.filter(f"k{s}", lambda v: v <= F.col("last")))
     both = both.withColumn("last", last).where(F.size(F.array_intersect("ka", "kb")) + F.least(after("a"), after("b")) >= _least("na", "nb"))
     left = C.written(both.select("a", "na", "b", "nb"))
-    whole = _sets(_nodes(left, "a", "b"), docs, reps, levels_sent)
+    whole = _sets(_nodes(left, "a", "b"), rows, reps, read)
     both = left.join(side(whole, "a"), "a").join(side(whole, "b"), "b")
     out = C.written(both.where(F.size(F.array_intersect("ka", "kb")) >= _least("na", "nb")).select("a", "b"), release=True)
     for x in (pairs, own, left, whole):
@@ -166,13 +176,13 @@ def _verified(pairs: DataFrame, led: DataFrame, docs: DataFrame, reps: DataFrame
     return out
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
+def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every row (doc_id, _h, n, sid), and for every set sid, n, row (the key of its first row, those of a null doc_id last), first_id (its smallest doc_id) and component."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows = C.keyed(docs)
     for seed in range(1, 9):
-        made = C.written(rows.mapInArrow(_profiles(seed), "doc_id long, n long, sid long, check long, part int, counts binary"))
-        own = made.where("part IS NULL").select("doc_id", "n", "sid", "check")
+        made = C.written(rows.select("doc_id", "_h", "text").mapInArrow(_profiles(seed), "doc_id long, _h long, n long, sid long, check long, part int, counts binary"))
+        own = made.where("part IS NULL").select("doc_id", "_h", "n", "sid", "check")
         if own.groupBy("sid").agg(F.min("check").alias("x"), F.max("check").alias("y")).where("x <> y").isEmpty():
             break
         C.forget(made)
@@ -182,24 +192,22 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     summed = made.where("part IS NOT NULL").select("part", "counts").groupBy("part").applyInArrow(lambda t: pa.Table.from_batches(_levels(total / PLACES)(iter(t.to_batches()))), "part int, levels binary")
     parts = {r[0]: bytes(r[1]) for r in summed.collect()}  # PLACES bytes in all
     sent = spark.sparkContext.broadcast(b"".join(parts.get(i, bytes(PLACES // PARTS)) for i in range(PARTS)))
-
-    reps = own.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
-    reps = C.written(reps)
-    led = rows.mapInArrow(_leading(sent, False), "doc_id long, keys array<long>").where(F.size("keys") > 0)
-    led = C.written(led.join(reps, "doc_id", "inner").select("sid", "n", "keys"))
-    entry = led.select("sid", "n", F.posexplode("keys").alias("at", "key"))
-    w = Window.partitionBy("key").orderBy("n", "sid")
-    before, after = F.lag("sid").over(w), F.lead("sid").over(w)
-    entry = entry.withColumn("before", before).withColumn("after", after).where("before IS NOT NULL OR after IS NOT NULL").select("key", "sid", "n", "at")
-    entry = C.written(entry, release=True)
+    read = lambda whole: _leading(sent, seed, whole)
+
+    place = F.struct(F.col("doc_id").isNull().alias("null"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_k"), "_h")
+    reps = own.where("n > 0").groupBy("sid").agg(F.min(place).alias("row"), F.max("n").alias("n"), F.min("doc_id").alias("first_id"))
+    reps = C.written(reps.select("sid", "n", "first_id", "row", "row._k", "row._h"))
+    led = C.written(rows.select("text").mapInArrow(read(False), _SET).groupBy("sid").agg(F.first("n").alias("n"), F.first("keys").alias("keys")), release=True)
+    entries = lambda: led.select("sid", "n", F.posexplode("keys").alias("at", "key"))
+    entry = C.written(blocked.shared(entries(), entries).select("key", "sid", "n", "at"), release=True)
     # how much of a row other rows share: the source of a group of edited copies has nothing of its own
     shared = entry.groupBy("sid").agg((F.count(F.lit(1)) / F.max("n")).alias("shared"))
     entry = entry.join(shared, "sid")
-    # the pivot of a column: the row that shares most; a row's neighbour: the one before it by size
+    # the pivot of a column: the row that shares most; a row's neighbour: one before it by size
     pivot = C.written(entry.groupBy("key").agg(F.min_by(F.struct("sid", "n", "at"), F.struct(-F.col("shared"), "sid")).alias("p")))
     entry = C.written(entry.join(pivot, "key").select("key", "sid", "n", "at", "p", (F.col("sid") == F.col("p.sid")).alias("pivot")))
-    ordered = Window.partitionBy("key").orderBy("n", "sid")
-    entry = C.written(entry.withColumns({"before": F.lag(F.struct("sid", "n", "at")).over(ordered), "rank": F.row_number().over(ordered)}), release=True)
+    ordered = Window.partitionBy("key", "run").orderBy("n", "sid")
+    entry = C.written(blocked.in_runs(entry).withColumns({"before": F.lag(F.struct("sid", "n", "at")).over(ordered), "rank": F.row_number().over(ordered)}), release=True)
     side = lambda p: entry.where(f"{p} IS NOT NULL").select(F.col(p).alias("p"), "sid", "n", "at")
     pairs = side("p").unionByName(side("before"))
     pairs = pairs.select(F.col("p.sid").alias("a"), F.col("p.n").alias("na"), F.col("p.at").alias("ia"), F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"))
@@ -207,31 +215,38 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x)).alias(x)
     pairs = pairs.where("a <> b").select(pick("a", "b"), pick("na", "nb"), pick("ia", "ib"), pick("b", "a"), pick("nb", "na"), pick("ib", "ia"))
     fits = (DEN * F.col("na") >= NUM * F.col("nb")) & (F.col("ia") + F.col("ib") <= F.col("na") + F.col("nb") - 2 * _least("na", "nb"))
-    links = _verified(pairs.where(fits).select("a", "na", "b", "nb"), led, docs, reps, sent)
+    links = _verified(pairs.where(fits).select("a", "na", "b", "nb"), led, rows, reps, read)
     named = lambda links: C.written(C.components(links).select(F.col("node").alias("sid"), "component"))
     found = named(links)
     may = (DEN * F.col("n") >= NUM * F.col("n_min")) & (NUM * F.col("n") <= DEN * F.col("n_max")) & ((NUM + DEN) * (F.col("at") + F.col("at_min")) <= (DEN - NUM) * (F.col("n") + F.col("n_max")))
-    near = C.written(blocked.candidates(blocked.grouped(entry.drop("p", "before"), found), may), release=True)
+    now, alone = blocked.by_length(blocked.grouped(entry.drop("p", "before"), found))
+    near = C.written(blocked.candidates(now, may), release=True)
     C.forget(entry)
     pairs, wide = blocked.small(near, found, reps)
-    links = links.unionByName(_verified(pairs.where(DEN * F.col("na") >= NUM * F.col("nb")), led, docs, reps, sent))
-    inside = C.written(blocked.members(wide, found))
-    sets = _sets(wide.select("sid").union(inside.select("sid")).distinct(), docs, reps, sent)
+    links = links.unionByName(_verified(pairs.where(DEN * F.col("na") >= NUM * F.col("nb")), led, rows, reps, read))
+    wide, inside = C.written(wide.unionByName(alone)), C.written(blocked.members(wide, found).unionByName(alone))
+    sets = _sets(wide.select("sid").union(inside.select("sid")).distinct(), rows, reps, read)
     found = named(links.unionByName(C.written(blocked.links(wide, inside, sets, reps, NUM, DEN), release=True)))
-    for x in (near, inside, sets, led):
+    for x in (now, near, wide, inside, sets, led):
         C.forget(x)
+    return own, reps.join(found, "sid", "left").select("sid", "n", "row", "first_id", F.coalesce("component", "sid").alias("component"))
 
-    of = reps.join(found, "sid", "left").select("sid", "doc_id", F.coalesce("component", "sid").alias("component"))
-    smallest = of.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row."""
+    own, of = _components(docs)
+    smallest = of.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = of.join(smallest, "component").select("sid", "component_id")
     out = C.attach(own.select("doc_id", "sid", F.col("n").alias("n_shingles")), named, "sid", how="left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component, with the columns of docs: the one of the smallest doc_id."""
-    stay = jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(stay, "doc_id", "left_semi")
+    """One row of each component, with the columns of docs: that of the smallest doc_id; texts without n-grams stay, repeated rows of them once."""
+    own, of = _components(docs)
+    stay = of.groupBy("component").agg(F.min("row").alias("row")).select("row._k", "row._h")
+    empty = own.where("n = 0").select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_k"), "_h").distinct()
+    return C.keep_rows(docs, stay.unionByName(empty))
 
 
 def query(spark, sf_dir):

@@ -1,8 +1,10 @@
 """Mixing sources to target weights with soft membership.
 
 A table of labelled documents (doc_id, domain) trains a multinomial naive Bayes classifier over the
-words of a text, lower-cased and hashed to PLACES; it gives every document a posterior over the domains, also those whose own domain
-is missing or wrong. With rate r a document counts r times, so a domain's expected tokens are the sum
+words of a text, lower-cased and hashed to PLACES; it gives every document a posterior over the domains
+that have a target, also those whose own domain is missing or wrong. Words are not independent, so the
+evidence of a text is counted as that of a number of words at most; that number is the one under which a
+held-out fifth of the labelled documents is likeliest, each word of a text having its share. With rate r a document counts r times, so a domain's expected tokens are the sum
 of rate, tokens and posterior over all documents. Nonnegative rates are fitted by projected gradient
 on the squared distance of these totals from the targets, in its lazy form: steps accumulate in the
 unprojected point, which is one number a domain (g), and a document's rate is the projection
@@ -14,16 +16,19 @@ Only DataFrame expressions are used; what reaches the driver is one row of sums
 of a size set by the number of domains, and once the counts of PLACES by domain.
 
 Defined results: null and empty texts have no tokens and the prior as posterior; labels that are
-null or contradict each other are left out; without labels there is one domain, "other", and rates
-are 1; of more than MOST_DOMAINS domains those with the fewest labels are one domain, REST, with the
-sum of their targets; characters of scripts without spaces are words; target weights of domains without documents can't be met and are dropped, the rest scaled up;
-domains without a target get none (rates of pure members go to 0); rows that repeat a doc_id are
-documents of their own; an empty table gives an empty result; other columns are not looked at.
+null or contradict each other are left out; without labels there is one domain, REST, and rates
+are 1; domains without a target are one class together, REST, and get none (rates of pure members go
+to 0); characters of scripts without spaces are words; target weights of domains without labelled
+documents can't be met and are dropped, the rest scaled up; targets that no rates meet are
+approached, the rest is told by Fit.missed and a warning; rows that repeat a doc_id are documents
+of their own; an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,11 +38,13 @@ from . import common as C
 PLACES = 4096
 #: What is between words; after each character of scripts without spaces a word ends.
 BETWEEN = r"[^\p{L}\p{M}]+|(?<=[\u0E00-\u0E7F\u3040-\u30FF\u3400-\u9FFF])"
-#: Labelled documents that training takes at most, those with the smallest hash of doc_id; domains with a class of their own at most, those with the most labels; the others are REST.
-MOST_LABELLED, MOST_DOMAINS, REST = 50_000, 24, "(rest)"
-#: Words are not independent: the evidence of a text counts as that of so many words at most.
-EVIDENCE = 60.0
+#: Labelled documents that training takes at most, those with the smallest hash of doc_id; the class of all domains without a target.
+MOST_LABELLED, REST = 50_000, "(rest)"
+#: Words that a text's evidence may count as, to choose from; the first where nothing is labelled.
+EVIDENCE = (60.0, 7.5, 15.0, 30.0, 120.0, 240.0, 480.0, 1e12)
 STEPS, TOLERANCE = 60, 1e-4
+#: Share of all tokens that may be missed without a warning.
+MISS = 0.01
 #: Target weights of the registered query, by language.
 TARGETS = {"en": 0.40, "de": 0.25, "fr": 0.20, "es": 0.15}
 
@@ -48,8 +55,31 @@ def _places(text: Column) -> Column:
     return F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(PLACES)).cast("int"))
 
 
-def _plain(docs: DataFrame, *more: str) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
+@dataclass
+class Model:
+    """By class: log priors and log probabilities of PLACES; and the words that a text's evidence counts as at most."""
+
+    priors: dict[str, float]
+    logs: dict[str, list[float]]
+    evidence: float = EVIDENCE[0]
+
+    @property
+    def names(self) -> list[str]:
+        return list(self.priors)
+
+
+@dataclass
+class Fit:
+    """The dual point, and the totals of every class reached and wanted."""
+
+    g: list[float]
+    reached: list[float]
+    wanted: list[float]
+
+    @property
+    def missed(self) -> float:
+        """The share of wanted tokens that is missed."""
+        return sum(abs(a - b) for a, b in zip(self.reached, self.wanted, strict=True)) / max(1.0, sum(self.wanted))
 
 
 def _logs(counts: list[float]) -> list[float]:
@@ -57,47 +87,65 @@ def _logs(counts: list[float]) -> list[float]:
     return [round(math.log(x / whole), 9) for x in counts]
 
 
-def train(docs: DataFrame, labelled: DataFrame, most: int = MOST_LABELLED) -> dict[str, tuple[float, list[float]]]:
-    """Domain: log prior and log probabilities of PLACES."""
+def _evidence(logs: list[float]) -> Column:
+    """The sum of the logs of all words in _places."""
+    table = F.split(F.lit(",".join(map(repr, logs))), ",").cast("array<double>")
+    return F.aggregate("_places", F.lit(0.0), lambda s, x: s + F.get(table, x))
+
+
+def _words(limit: float) -> Column:
+    """How far a text's evidence counts."""
+    return F.least(F.lit(1.0), limit / F.greatest(F.size("_places"), F.lit(1)))
+
+
+def train(docs: DataFrame, labelled: DataFrame, domains: list[str], most: int = MOST_LABELLED) -> Model:
+    """The classifier of these domains and the rest. docs: C.keyed rows."""
     clear = labelled.where("doc_id IS NOT NULL AND domain IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("domain").alias("domain"), F.max("domain").alias("other")).where("domain = other").select("doc_id", "domain")
-    sample = C.written(clear.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))
-    rows = C.written(_plain(docs).join(sample, "doc_id").select("domain", _places(F.col("text")).alias("places")))
-    sizes = rows.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "domain")
-    own = {r["domain"]: r["n"] for r in sizes.limit(MOST_DOMAINS).collect()}
-    n = rows.count()
-    if n > sum(own.values()):
-        own[REST] = own.get(REST, 0) + n - sum(own.values())
-    domain = F.when(F.col("domain").isin(list(own)), F.col("domain")).otherwise(REST).alias("domain")
-    counts = {name: [1.0] * PLACES for name in own}
-    for r in rows.select(domain, F.explode("places").alias("place")).groupBy("domain", "place").count().toLocalIterator():
-        counts[r["domain"]][r["place"]] += r["count"]
+    sample = C.at_most(clear, most)
+    own = F.when(F.col("domain").isin(domains), F.col("domain")).otherwise(REST) if domains else F.lit(REST)
+    held = F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(5)) == 0
+    rows = C.written(docs.select("doc_id", "text").join(sample, "doc_id").select(own.alias("domain"), held.alias("held"), _places(F.col("text")).alias("_places")))
+    size = {(r["domain"], r["held"]): r["count"] for r in rows.groupBy("domain", "held").count().collect()}
+    names = sorted({d for d, _ in size})
+    if not names:
+        return Model({REST: 0.0}, {REST: [math.log(1 / PLACES)] * PLACES})
+    counts = {(n, h): [0] * PLACES for n in names for h in (False, True)}
+    for r in rows.select("domain", "held", F.explode("_places").alias("place")).groupBy("domain", "held", "place").count().toLocalIterator():  # PLACES by class at most
+        counts[r["domain"], r["held"]][r["place"]] += r["count"]
+    n = sum(size.values())
+    priors = {d: math.log((size.get((d, False), 0) + size.get((d, True), 0)) / n) for d in names}
+    made = Model(priors, {d: _logs([1.0 + a + b for a, b in zip(counts[d, False], counts[d, True], strict=True)]) for d in names})
+    if len(names) > 1 and any(h for _, h in size) and all(size.get((d, False)) for d in names):
+        tried = rows.where("held").select("domain", "_places", *(_evidence(_logs([1.0 + x for x in counts[d, False]])).alias(f"e{k}") for k, d in enumerate(names)))
+        losses = []
+        for i, limit in enumerate(EVIDENCE):
+            scores = [F.lit(priors[d]) + _words(limit) * F.col(f"e{k}") for k, d in enumerate(names)]
+            top = F.greatest(*scores)
+            mine = sum((F.when(F.col("domain") == d, s).otherwise(0.0) for d, s in zip(names, scores, strict=True)), F.lit(0.0))
+            losses.append(F.sum(top + F.log(sum((F.exp(s - top) for s in scores), F.lit(0.0))) - mine).alias(f"l{i}"))
+        loss = tried.agg(*losses).first()
+        made.evidence = min(zip(loss, EVIDENCE, strict=True))[1]
     C.forget(rows)
-    out = {name: (math.log(own[name] / n), _logs(counts[name])) for name in own}
-    return out or {"other": (0.0, [math.log(1 / PLACES)] * PLACES)}
-
-
-def profiles(docs: DataFrame, model: dict[str, tuple[float, list[float]]], *keep: str) -> DataFrame:
-    """The columns to keep of every row, tokens, and the posterior q0, q1, ... in the order of the model."""
-    text = F.col("_text")
-    rows = docs.select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
-    rows = rows.select(*keep, F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("tokens"), _places(text).alias("_places"))
-    scale = F.least(F.lit(1.0), EVIDENCE / F.greatest(F.size("_places"), F.lit(1)))
-    table = lambda logs: F.split(F.lit(",".join(map(repr, logs))), ",").cast("array<double>")
-    evidence = lambda logs: F.aggregate("_places", F.lit(0.0), lambda s, x: s + F.get(table(logs), x))
-    rows = rows.select(*keep, "tokens", *(F.round(prior + scale * evidence(logs), 9).alias(f"s{k}") for k, (prior, logs) in enumerate(model.values())))
-    scores = [F.col(f"s{k}") for k in range(len(model))]
+    return made
+
+
+def profiles(rows: DataFrame, model: Model, *keep: str) -> DataFrame:
+    """The columns to keep of C.keyed rows, tokens, and the posterior q0, q1, ... in the order of the model."""
+    rows = rows.select(*keep, F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("tokens"), _places(F.col("text")).alias("_places"))
+    rows = rows.select(*keep, "tokens", *(F.round(F.lit(model.priors[d]) + _words(model.evidence) * _evidence(model.logs[d]), 9).alias(f"s{k}") for k, d in enumerate(model.names)))
+    scores = [F.col(f"s{k}") for k in range(len(model.names))]
     top = F.greatest(*scores) if len(scores) > 1 else scores[0]
     rows = rows.select(*keep, "tokens", *(F.exp(s - top).alias(f"e{k}") for k, s in enumerate(scores)))
-    whole = sum((F.col(f"e{k}") for k in range(len(model))), F.lit(0.0))
-    return rows.select(*keep, "tokens", *((F.col(f"e{k}") / whole).alias(f"q{k}") for k in range(len(model))))
+    whole = sum((F.col(f"e{k}") for k in range(len(scores))), F.lit(0.0))
+    return rows.select(*keep, "tokens", *((F.col(f"e{k}") / whole).alias(f"q{k}") for k in range(len(scores))))
 
 
 def rate(g: list[float]) -> Column:
     return F.greatest(F.lit(0.0), 1 - sum((F.col(f"q{k}") * F.lit(x) for k, x in enumerate(g)), F.lit(0.0)))
 
 
-def fit(made: DataFrame, targets: list[float], budget: float | None = None, steps: int = STEPS, tolerance: float = TOLERANCE) -> tuple[list[float], list[float], list[float]]:
-    """g, the totals reached and those wanted, by domain; budget: tokens in all (as many as there are, if None)."""
+def fit(made: DataFrame, targets: list[float], budget: float | None = None, steps: int = STEPS, tolerance: float = TOLERANCE) -> Fit:
+    """Rates for these targets, by class; budget: tokens in all (as many as there are, if None)."""
 
     def totals(g: list[float]) -> list[float]:
         r = rate(g)
@@ -107,7 +155,7 @@ def fit(made: DataFrame, targets: list[float], budget: float | None = None, step
     start = now = totals(g)
     have = [t if s > 0 else 0.0 for t, s in zip(targets, start, strict=True)]
     if sum(have) == 0 or sum(start) == 0:
-        return g, now, now
+        return Fit(g, now, now)
     want = [t / sum(have) * (budget or sum(start)) for t in have]
     for _ in range(steps):
         miss = [n - w for n, w in zip(now, want, strict=True)]
@@ -115,19 +163,18 @@ def fit(made: DataFrame, targets: list[float], budget: float | None = None, step
             break
         g = [x + m / s if s > 0 else x for x, m, s in zip(g, miss, start, strict=True)]
         now = totals(g)
-    return g, now, want
+    return Fit(g, now, want)
 
 
-def fitted(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget: float | None = None) -> tuple[dict, list[float], DataFrame]:
-    """The classifier, g, and the written profiles by doc_id."""
-    model = train(docs, labelled)
-    made = C.written(profiles(docs.withColumn("doc_id", F.col("doc_id").cast("long")), model, "doc_id"))
-    wanted = {n: targets.get(n, 0.0) for n in model}
-    if REST in model:
-        merged = labelled.where(F.col("domain").isin([n for n in targets if n not in model])).select("domain").distinct().collect()
-        wanted[REST] += sum(targets[r["domain"]] for r in merged)
-    g, _, _ = fit(made, list(wanted.values()), budget)
-    return model, g, made
+def fitted(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget: float | None = None) -> tuple[Model, Fit, DataFrame]:
+    """The classifier, the fit, and the written profiles by doc_id and row key."""
+    rows = C.keyed(docs)
+    model = train(rows, labelled, list(targets))
+    made = C.written(profiles(rows, model, "doc_id", *C.ROW))
+    fit_ = fit(made, [targets.get(n, 0.0) for n in model.names], budget)
+    if fit_.missed > MISS:
+        warnings.warn(f"the mixture misses its targets by {fit_.missed:.3f} of all tokens: {dict(zip(model.names, fit_.reached, strict=True))}", stacklevel=2)
+    return model, fit_, made
 
 
 def copies(rate: Column, doc_id: Column) -> Column:
@@ -138,20 +185,19 @@ def copies(rate: Column, doc_id: Column) -> Column:
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget: float | None = None) -> DataFrame:
     """doc_id, tokens, domain (the likeliest), posterior (by domain), rate, copies of every row."""
-    model, g, made = fitted(docs, labelled, targets, budget)
-    names = list(model)
+    model, found, made = fitted(docs, labelled, targets, budget)
+    names = model.names
     posterior = F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*(F.round(f"q{k}", 6) for k in range(len(names)))))
     likeliest = F.array_max(F.array(*(F.struct(F.col(f"q{k}").alias("q"), F.lit(-k).alias("rank"), F.lit(n).alias("name")) for k, n in enumerate(names))))["name"]
-    rows = made.select("doc_id", "tokens", likeliest.alias("domain"), posterior.alias("posterior"), F.round(rate(g), 6).alias("rate"))
+    rows = made.select("doc_id", "tokens", likeliest.alias("domain"), posterior.alias("posterior"), F.round(rate(found.g), 6).alias("rate"))
     return rows.withColumn("copies", copies(F.col("rate"), F.col("doc_id")))
 
 
 def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget: float | None = None) -> DataFrame:
-    """The rows of docs, each as often as its copies say, with its columns; rows that repeat a doc_id take its highest number."""
-    _, g, made = fitted(docs, labelled, targets, budget)
-    often = made.select(F.col("doc_id").alias("_id"), copies(F.round(rate(g), 6), F.col("doc_id")).alias("_n")).groupBy("_id").agg(F.max("_n").alias("_n"))
-    rows = docs.join(often, docs["doc_id"].cast("long") == often["_id"])
-    return rows.where("_n > 0").withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).drop("_id", "_n", "_k")
+    """The rows of docs, each as often as its copies say, with its columns."""
+    _, found, made = fitted(docs, labelled, targets, budget)
+    often = made.select(*C.ROW, copies(F.round(rate(found.g), 6), F.col("doc_id")).alias("_n")).groupBy(*C.ROW).agg(F.max("_n").alias("_n"))
+    return C.keep_rows(docs, often, "_n")
 
 
 def languages(docs: DataFrame, labels: DataFrame) -> DataFrame:

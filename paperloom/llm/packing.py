@@ -53,7 +53,7 @@ class Encoder:
     """Token ids of texts by a `tokenizers` file, with each different part of a word encoded once.
 
     Parts are runs of non-space bytes, cut where the splitter cuts in any case; they are known again
-    by 64-bit hashes. A text with the opening of a special token in it is cut at white space alone.
+    by all their bytes. A text with the opening of a special token in it is cut at white space alone.
     """
 
     def __init__(self, path: str):
@@ -66,11 +66,10 @@ class Encoder:
         vocab = self.tok.get_vocab()
         self.last = np.zeros(max(vocab.values()) + 1, bool)
         self.last[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
-        self.roller = C.Roller(3)
         self.forget()
 
     def forget(self) -> None:
-        self.hash, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.slot: dict[bytes, int] = {}
         self.at, self.n, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
         self.ids, self.filled = np.zeros(1 << 18, np.uint32), 0
 
@@ -112,18 +111,16 @@ class Encoder:
             cut = np.flatnonzero(cut)
             lo, hi = np.sort(np.concatenate((lo, cut))), np.sort(np.concatenate((hi, cut)))
             row = np.searchsorted(at, lo, "right") - 1
-        h = self.roller.span(self.roller.prefix(data), lo, hi)
-        u, first, code = np.unique(h, return_index=True, return_inverse=True)
-        if self.used + len(u) > MOST_KNOWN:
+        parts = C.word_array(data, lo, hi).dictionary_encode()
+        body = parts.dictionary.to_pylist()
+        if self.used + len(body) > MOST_KNOWN:
             self.forget()
-        pos = np.searchsorted(self.hash, u)
-        new = np.flatnonzero(np.append(self.hash, np.uint64(0))[pos] != u) if len(self.hash) else np.arange(len(u))
-        new = np.union1d(new, np.flatnonzero(pos == len(self.hash)))
-        if len(new):
-            body, slot = data.tobytes(), self.used
-            self._learn([body[a:b].decode() for a, b in zip(lo[first[new]].tolist(), hi[first[new]].tolist(), strict=True)])
-            self.hash, self.slot = np.insert(self.hash, pos[new], u[new]), np.insert(self.slot, pos[new], np.arange(slot, self.used))
-        own = self.slot[np.searchsorted(self.hash, u)][code]
+        new = [w for w in body if w not in self.slot]
+        slot = self.used
+        if new:
+            self._learn([w.decode() for w in new])
+            self.slot.update(zip(new, range(slot, self.used), strict=True))
+        own = np.fromiter((self.slot[w] for w in body), np.int64, len(body))[parts.indices.to_numpy(zero_copy_only=False)]
         n = self.n[own]
         ends = np.cumsum(n)
         total = int(ends[-1]) if len(ends) else 0

@@ -24,8 +24,8 @@ from . import common as C
 
 BITS, THRESHOLD = 20, 0.7
 STEMS = (4, 5, 6, 7, 8)
-#: Labelled rows that training takes at most (those with the smallest hash of doc_id), and the features of one of them (those with the smallest hash).
-MOST_ROWS, MOST_FEATURES = 12000, 8000
+#: Labelled rows that training takes at most: those with the smallest hash of doc_id.
+MOST_ROWS = 12000
 #: Places that fewer sampled rows have are not learned: they'd explain single rows by heart.
 LEAST_ROWS = 3
 #: A strong L1 leaves some hundred weights, and held-out recall is the better for it at every size.
@@ -41,42 +41,27 @@ def features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     clean = _LOWER[data]
     clean[_PUNCT[data]] = 32
     lo, hi, row = C.word_bounds(clean, at)
-    roller = _roller()
-    sums = roller.prefix(clean)
-    h = roller.span(sums, lo, hi)
+    h = C.hashes(clean, lo, hi)
     parts, rows = [h], [row]
     for k in STEMS:
         long = hi - lo > k
-        parts.append(C.mix64(roller.span(sums, lo[long], lo[long] + k) + np.uint64(k << 8)))
+        parts.append(C.hashes(clean, lo[long], lo[long] + k, k))
         rows.append(row[long])
     for gap, seed in ((1, 1), (2, 2)):
         if len(h) > gap:
             near = row[:-gap] == row[gap:]
-            parts.append(C.mix64(h[:-gap][near] * np.uint64(3) + h[gap:][near] + np.uint64(seed)))
+            parts.append(C.mix64(C.pair(h[:-gap][near], h[gap:][near]) + np.uint64(seed)))
             rows.append(row[:-gap][near])
     key = (np.concatenate(rows).astype(np.uint64) << np.uint64(BITS)) | (np.concatenate(parts) >> np.uint64(64 - BITS))
     key = np.unique(key)
     return (key >> np.uint64(BITS)).astype(np.int64), (key & np.uint64((1 << BITS) - 1)).astype(np.int64)
 
 
-_ROLLER: list[C.Roller] = []
-
-
-def _roller() -> C.Roller:
-    if not _ROLLER:
-        _ROLLER.append(C.Roller(7))
-    return _ROLLER[0]
-
-
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows, data, at in C.slices(batch):
             row, place = features(data, at)
-            order = np.lexsort((C.mix64(place.astype(np.uint64)), row))
-            row, place = row[order], place[order]
-            rank = np.arange(len(row)) - np.searchsorted(row, row)
-            keep = rank < MOST_FEATURES
-            yield pa.RecordBatch.from_arrays([rows.column("y"), rows.column("h"), C.lists(place[keep].astype(np.int32), np.bincount(row[keep], minlength=rows.num_rows), pa.int32())], names=["y", "h", "x"])
+            yield pa.RecordBatch.from_arrays([rows.column("y"), rows.column("h"), C.lists(place.astype(np.int32), np.bincount(row, minlength=rows.num_rows), pa.int32())], names=["y", "h", "x"])
 
 
 def ftrl(x: list[np.ndarray], y: np.ndarray, passes: int = PASSES) -> np.ndarray:

@@ -24,9 +24,10 @@ from . import common as C
 
 #: (verdict, host and path) of the rules.
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
-DAMPING, STEPS, TOLERANCE = 0.85, 20, 1e-9
+#: Steps go on until no host's score moves by more than TOLERANCE of itself (of FLOOR, if it is less). What is left to move
+#: shrinks by DAMPING a step, so STEPS is never reached below some 10^20 pages; beyond it is an error.
+DAMPING, STEPS, TOLERANCE = 0.85, 400, 1e-6
 #: A host is blocked with distrust above FLOOR (in pages) and above FACTOR times its trust.
-#: TOLERANCE is of each host's own score.
 FLOOR, FACTOR = 1e-6, 1.0
 LINK = r"""(?i)(?:href|src)\s*=\s*["']?((?:https?:)?//[^"'\s<>]+)"""
 
@@ -74,12 +75,13 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, step
         moved = flow.agg(F.sum("flow")).first()[0] or 0.0
         new = flow.join(back, "host", "full_outer").select("host", (damping * F.coalesce("flow", F.lit(0.0)) + (whole - damping * moved) * F.coalesce("seed", F.lit(0.0))).alias("score"))
         new = C.written(new)
-        change = new.join(now.withColumnRenamed("score", "old"), "host", "left").agg(F.max(F.try_divide(F.abs(F.col("score") - F.coalesce("old", F.lit(0.0))), "score"))).first()[0] or 0.0
+        change = new.join(now.withColumnRenamed("score", "old"), "host", "full_outer").agg(F.max(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))) / F.greatest("score", F.lit(FLOOR)))).first()[0] or 0.0
         C.forget(now)
         now = new
         if change < tolerance:
-            break
-    return now
+            C.forget(shares)
+            return now
+    raise RuntimeError(f"scores still move by {change} after {steps} steps")
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, floor: float = FLOOR, factor: float = FACTOR) -> DataFrame:
