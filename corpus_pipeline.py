@@ -4,9 +4,11 @@ STAGES lists (name, function); each function takes (spark, docs, sf_dir), does i
 documents its predecessor kept, and returns documents; the last returns packed pieces. Stages are
 written and read again in between, so each starts from files that no lost executor takes away.
 
-Defined results: rows that repeat a doc_id after the mixture are further copies of it and are packed
-each on their own; an empty table passes through all stages; columns besides doc_id and text are
-carried along, whatever their names.
+Defined results: rows that repeat a doc_id with another text are documents of their own, and a null
+doc_id is one like others; rows that repeat a doc_id and its text are copies, of which one stays;
+rows that repeat a doc_id after the mixture are further copies of it and are packed each on their
+own; an empty table passes through all stages; columns besides doc_id and text are carried along,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from paperloom.llm import common, exact_dedup, jaccard_join, mixing, packing, quality
-from paperloom.session import ensure_workers
+from paperloom.session import delete, ensure_workers, own_folder
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,11 +55,14 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
     ensure_workers(spark)
-    docs = common.table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            path = f"{common.shared_folder(spark)}/paperloom/{uuid.uuid4().hex}-{name}"
-            docs.write.parquet(path)
-            docs = spark.read.schema(docs.schema).parquet(path)
-    return docs
+    docs, before = common.table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES[:-1]:
+        path = f"{own_folder(spark)}/{uuid.uuid4().hex}-{name}"
+        with common.scratch(spark):  # what a stage writes in between goes when its result is written
+            made = stage(spark, docs, sf_dir)
+            made.write.parquet(path)
+        docs = spark.read.schema(made.schema).parquet(path)
+        if before:
+            delete(spark, before)
+        before = path
+    return STAGES[-1][1](spark, docs, sf_dir)
