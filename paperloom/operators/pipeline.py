@@ -36,8 +36,8 @@ def process(pages: DataFrame, ocr: OcrProvider, model: ModelProvider, old_action
     fields = extract.fields(found, model.answer("extraction", extract.prompts(found)))
     fields = fields.withColumns({c: F.lit(None).cast(t) for c, t in (("ocr_value", "string"), ("ocr_confidence", "double"), ("vision_value", "string"), ("vision_confidence", "double"), ("vision_source_text", "string"), ("fallback_reason", "string"))} | {"fallback_attempted": F.lit(False)})
     checked = keep(validate.validate(fields, s))
-    asked = vision.prompts(vision.candidates(checked, s).withColumn("crop", F.lit(None).cast("string")))
-    checked = keep(vision.run(checked, vision.clean(model.answer("vision_fallback", asked)), blocks, found, pages, s))
+    asked = keep(vision.cropped(checked, blocks, found, pages, s))
+    checked = keep(vision.run(checked, vision.clean(model.answer("vision_fallback", vision.prompts(asked))), asked, s))
     issues = keep(validate.issues(checked))
     told = model.answer("summary", insights.context(checked, issues, s).withColumnRenamed("context", "prompt"))
     wanted = model.answer("action_extraction", insights.action_prompts(checked, s))

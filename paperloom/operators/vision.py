@@ -99,10 +99,14 @@ def outcome(rows: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     ).drop("_v", "_c", "_s", "_r", "_e", "_answered")
 
 
-def run(fields: DataFrame, answers: DataFrame, blocks: DataFrame, sections: DataFrame, pages: DataFrame, s: Settings = DEFAULT) -> DataFrame:
-    """Candidates looked up and evaluated, then everything validated again. What vision found unreadable or in conflict stays so, unless s.legacy."""
-    asked = candidates(fields, s)
-    done = evaluate(crops(locate(asked, blocks, sections), pages, s), answers, s).drop("candidate_reason", "crop")
+def cropped(fields: DataFrame, blocks: DataFrame, sections: DataFrame, pages: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+    """The candidates with the crop to read; null where there is nothing to look at, which is never asked for."""
+    return crops(locate(candidates(fields, s), blocks, sections), pages, s)
+
+
+def run(fields: DataFrame, answers: DataFrame, asked: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+    """The answers to `asked` (cropped()) evaluated, then everything validated again. What vision found unreadable or in conflict stays so, unless s.legacy."""
+    done = evaluate(asked, answers, s).drop("candidate_reason", "crop")
     rest = fields.join(asked.select("document_id", "field_ord"), ["document_id", "field_ord"], "left_anti").withColumn("action_taken", F.lit(None).cast("string"))
     every = done.unionByName(rest, allowMissingColumns=True).where("source IS NULL OR source <> 'validation'")
     checked = validate(every, s)
@@ -120,8 +124,9 @@ def counters(done: DataFrame) -> DataFrame:
 
 
 def prompts(asked: DataFrame) -> DataFrame:
+    """One prompt a candidate that has a crop, with that crop."""
     said = F.format_string("Read the field %s in this crop. OCR read: %s. Answer with value, confidence, source_text and reason.", "field_name", F.coalesce("field_value", F.lit("nothing")))
-    return asked.select("document_id", F.col("field_ord").cast("string").alias("item_key"), "crop", said.alias("prompt"))
+    return asked.where("crop IS NOT NULL").select("document_id", F.col("field_ord").cast("string").alias("item_key"), "page_number", "crop", said.alias("prompt"))
 
 
 def latest(fields: DataFrame) -> DataFrame:

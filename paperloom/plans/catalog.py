@@ -10,12 +10,13 @@ from __future__ import annotations
 import datetime
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import normalize as N
 from ..functions import text as T
-from ..operators import audit, classify, ingest, insights, layout, sections, validate, vision
+from ..operators import audit, classify, extract, ingest, insights, layout, sections, validate, vision
+from ..schemas import SECTION_FIELDS, STAGES
 from ..settings import Settings
 from ..streaming import logs as stream
 
@@ -126,20 +127,30 @@ def total_check(spark, d):
     return rows.select("l_orderkey", "l_linenumber", "sub", F.col("base").alias("tax"), "disc", "total", validate.over(F.col("sub") + F.col("base") - F.col("disc"), F.col("total")).alias("flagged"))
 
 
-@query("SELECT o_orderkey, 'Required invoice field ''line_items'' is missing.' AS message FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+def long_fields(rows: DataFrame, kind: str = "invoice") -> DataFrame:
+    """Rows (document_id, field_ord, field_name, field_value) with what else the validator reads."""
+    return rows.select("document_id", F.lit(kind).alias("document_type"), F.col("field_ord").cast("int").alias("field_ord"), "field_name", F.col("field_value").cast("string").alias("field_value"), F.lit(0.9).alias("confidence"), F.lit("model").alias("source"), F.lit("s").alias("section_name"), F.lit(1).alias("page_number"), F.lit(False).alias("fallback_attempted"))
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS document_id, name AS field_name, 'Required invoice field ''' || name || ''' is missing.' AS message, placeholder FROM (SELECT o_orderkey, unnest(['vendor_name', 'invoice_number', 'invoice_date', 'total']) AS name, unnest([2, 3, 5, 7]) AS k, unnest([false, true, true, true]) AS placeholder FROM orders) WHERE o_orderkey % k = 0")
 def required_fields(spark, d):
-    missing = read(spark, d, "orders", "o_orderkey").join(read(spark, d, "lineitem", "l_orderkey"), F.col("o_orderkey") == F.col("l_orderkey"), "left_anti")
-    return missing.withColumn("message", F.lit("Required invoice field 'line_items' is missing."))
+    """Blank fields (vendor_name) and absent ones, which the validator adds as placeholders."""
+    k = F.col("o_orderkey")
+    given = [("vendor_name", F.when(k % 2 == 0, " ").otherwise("Vendor"), None), ("invoice_number", k, 3), ("invoice_date", F.date_format("o_orderdate", "yyyy-MM-dd"), 5), ("total", k, 7)]
+    parts = F.array_compact(F.array(*(F.when(k % n != 0 if n else F.lit(True), F.struct(F.lit(i).alias("field_ord"), F.lit(name).alias("field_name"), v.cast("string").alias("field_value"))) for i, (name, v, n) in enumerate(given))))
+    rows = read(spark, d, "orders", "o_orderkey", "o_orderdate").select(k.cast("string").alias("document_id"), F.explode(parts).alias("f")).select("document_id", "f.*")
+    found = validate.validate(long_fields(rows), S).where("validation_status = 'needs_review'")
+    return found.select("document_id", "field_name", F.col("validation_message").alias("message"), (F.col("source") == "validation").alias("placeholder"))
 
 
 @query(
-    """SELECT l_orderkey, l_linenumber, count(*) AS n, 'Multiple conflicting values detected for ''supplier'': [''' || string_agg(DISTINCT CAST(l_suppkey AS VARCHAR), ''', ''' ORDER BY CAST(l_suppkey AS VARCHAR)) || ''']' AS message
+    """SELECT l_orderkey || '/' || l_linenumber AS document_id, count(*) AS n, 'Multiple conflicting values detected for ''supplier'': [''' || string_agg(DISTINCT CAST(l_suppkey AS VARCHAR), ''', ''' ORDER BY CAST(l_suppkey AS VARCHAR)) || ''']' AS message
 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(DISTINCT l_suppkey) > 1"""
 )
 def conflict_detection(spark, d):
-    rows = read(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_suppkey").groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set(F.col("l_suppkey").cast("string"))).alias("v"))
-    said = F.concat(F.lit("Multiple conflicting values detected for 'supplier': ['"), F.array_join("v", "', '"), F.lit("']"))
-    return rows.where(F.size("v") > 1).select("l_orderkey", "l_linenumber", "n", said.alias("message"))
+    rows = read(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey").select(F.concat_ws("/", "l_orderkey", "l_linenumber").alias("document_id"), F.col("l_partkey").alias("field_ord"), F.lit("supplier").alias("field_name"), F.col("l_suppkey").alias("field_value"))
+    found = validate.validate(long_fields(rows, "unknown"), S).where("validation_status = 'conflict'")
+    return found.groupBy("document_id").agg(F.count(F.lit(1)).alias("n"), F.first("validation_message").alias("message"))
 
 
 def invoice_fields(spark: SparkSession, d: str) -> DataFrame:
@@ -174,7 +185,19 @@ def document_status_summary(spark, d):
     return validate.summary(validate.validate(invoice_fields(spark, d), S)).drop("normalized_fields")
 
 
-@query()
+_TRIM = "regexp_replace(regexp_replace(CAST({} AS VARCHAR), '0+$', ''), '\\.$', '')"
+_LATE = "strftime(o_orderdate + to_days(CAST(o_orderkey % 40 - 5 AS INTEGER)), '%Y-%m-%d')"
+
+
+@query(
+    f"""WITH i AS ({_ITEMS}), m AS (SELECT l_orderkey, CAST(sum(t) AS DECIMAL(18,2)) AS s FROM i GROUP BY l_orderkey), o AS (SELECT * FROM orders LEFT JOIN m ON l_orderkey = o_orderkey),
+x AS (SELECT l_orderkey AS k, l_linenumber * 10 + 2 AS ord, 'line_item_' || l_linenumber || '_line_total' AS field_name, 'Line item total does not match quantity × unit price.' AS message, CAST(t AS VARCHAR) AS original_value, {_TRIM.format("t")} AS normalized_value FROM i WHERE abs(q * p - t) > 0.05
+UNION ALL SELECT o_orderkey, 1000, 'vendor_name', 'Required invoice field ''vendor_name'' is missing.', NULL, NULL FROM o WHERE o_orderkey % 50 = 0
+UNION ALL SELECT o_orderkey, 1003, 'due_date', 'Due date is earlier than invoice date.', {_LATE}, {_LATE} FROM o WHERE o_orderkey % 40 < 5
+UNION ALL SELECT o_orderkey, 1004, 'subtotal', 'Invoice subtotal does not match the sum of line items.', CAST(s + 1 AS VARCHAR), {_TRIM.format("CAST(s + 1 AS DECIMAL(18,2))")} FROM o WHERE o_orderkey % 5 = 0 AND s IS NOT NULL
+UNION ALL SELECT o_orderkey, 1005, 'total', 'Required invoice field ''total'' is missing.', NULL, NULL FROM o WHERE s IS NULL)
+SELECT CAST(k AS VARCHAR) AS document_id, CAST(row_number() OVER (PARTITION BY k ORDER BY ord) AS INTEGER) AS issue_ord, field_name, 'needs_review' AS status, message, CAST(NULL AS VARCHAR) AS code, original_value, normalized_value FROM x"""
+)
 def validation_issues(spark, d):
     return validate.issues(validate.validate(invoice_fields(spark, d), S))
 
@@ -197,10 +220,10 @@ _CENTS = "CAST(round(l_extendedprice * 100) AS BIGINT)"
 @query(
     f"""SELECT l_orderkey, l_linenumber, raw, CASE WHEN raw = 'n/k' THEN NULL ELSE regexp_replace(regexp_replace(printf('%d.%02d', c // 100, c % 100), '0+$', ''), '\\.$', '') END AS value FROM (SELECT l_orderkey, l_linenumber, c, CASE CAST(l_orderkey % 6 AS INTEGER)
 WHEN 0 THEN printf('%d.%02d', c // 100, c % 100) WHEN 1 THEN '₹ ' || format('{{:,}}', c // 100) || printf('.%02d', c % 100) WHEN 2 THEN format('{{:,}}', c // 100) || printf('.%02d', c % 100) || ' %' WHEN 3 THEN 'USD ' || printf('%d.%02d', c // 100, c % 100)
-WHEN 4 THEN '€' || replace(format('{{:,}}', c // 100), ',', '.') || printf(',%02d', c % 100) ELSE 'n/k' END AS raw FROM (SELECT l_orderkey, l_linenumber, {_CENTS} AS c FROM lineitem WHERE l_extendedprice >= 1000))"""
+WHEN 4 THEN '€' || replace(format('{{:,}}', c // 100), ',', '.') || printf(',%02d', c % 100) ELSE 'n/k' END AS raw FROM (SELECT l_orderkey, l_linenumber, {_CENTS} AS c FROM lineitem))"""
 )
 def normalize_number(spark, d):
-    rows = read(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_extendedprice").where("l_extendedprice >= 1000")
+    rows = read(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_extendedprice")
     c = F.round(F.col("l_extendedprice") * 100).cast("long")
     whole, cents = F.floor(c / 100).cast("long"), F.lpad((c % 100).cast("string"), 2, "0")
     grouped = F.format_number(whole, 0)
@@ -243,20 +266,31 @@ def phone_validate(spark, d):
     return read(spark, d, "customer", "c_custkey").select("c_custkey", N.phone(raw)["value"].alias("value")).withColumn("ok", validate.phone_ok(F.col("value")))
 
 
-@query("SELECT doc_id, regexp_replace(trim(split_part(text, chr(10), 1), ' \"'''), '\\s+', ' ', 'g') AS value FROM documents WHERE regexp_replace(trim(split_part(text, chr(10), 1), ' \"'''), '\\s+', ' ', 'g') <> ''")
+_SPACES = "[\\s\\x0B\\x{00A0}]"
+
+
+@query(f"SELECT doc_id, nullif(regexp_replace(regexp_replace(regexp_replace(text, '^{_SPACES}+|{_SPACES}+$', '', 'g'), '^[\"'']+|[\"'']+$', '', 'g'), '{_SPACES}+', ' ', 'g'), '') AS value FROM documents")
 def normalize_text(spark, d):
-    line = F.split("text", "\n")[0]
-    return read(spark, d, "documents", "doc_id", "text").select("doc_id", N.text(line)["value"].alias("value")).where("value IS NOT NULL")
+    return read(spark, d, "documents", "doc_id", "text").select("doc_id", N.text(F.col("text"))["value"].alias("value"))
 
 
-_PARTS = "(1, 'quantity', CAST(q AS VARCHAR)), (2, 'unit_price', CAST(p AS VARCHAR)), (3, 'line_total', CAST(t AS VARCHAR))"
+_NAMES = SECTION_FIELDS["invoice", "line_items"]
 
 
-@query(f"SELECT l_orderkey, 'line_item_' || l_linenumber || '_' || v.name AS field_name, v.value AS field_value FROM ({_LINES}) l, LATERAL (VALUES {_PARTS}) v(i, name, value)")
+@query(
+    f"""SELECT CAST(l_orderkey AS VARCHAR) AS document_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY item, i) AS INTEGER) AS field_ord, 'line_item_' || item || '_' || {_NAMES}[i] AS field_name,
+CASE i WHEN 2 THEN CAST(q AS VARCHAR) WHEN 3 THEN CAST(p AS VARCHAR) WHEN 5 THEN CAST(t AS VARCHAR) END AS field_value, CASE WHEN i IN (2, 3, 5) THEN 'number' ELSE 'null' END AS value_kind
+FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, t, q, p) AS item, unnest(range(1, {len(_NAMES) + 1})) AS i FROM ({_LINES}))"""
+)
 def field_unpivot(spark, d):
-    parts = F.array(*(F.struct(F.lit(n).alias("name"), F.col(c).cast("string").alias("value")) for n, c in (("quantity", "q"), ("unit_price", "p"), ("line_total", "t"))))
-    rows = lines(spark, d).select("l_orderkey", "l_linenumber", F.explode(parts).alias("v"))
-    return rows.select("l_orderkey", F.concat_ws("_", F.lit("line_item"), F.col("l_linenumber").cast("string"), "v.name").alias("field_name"), F.col("v.value").alias("field_value"))
+    """Answers about the line items of every invoice, unpivoted by the extractor."""
+    item = F.create_map(*(x for n, c in (("quantity", "q"), ("unit_price", "p"), ("line_total", "t")) for x in (F.lit(n), F.col(c).cast("string"))))
+    told = lines(spark, d).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "t", "q", "p", F.to_json(item).alias("j")))).alias("a"))
+    key = F.col("l_orderkey").cast("string")
+    body = F.concat(F.lit('{"items": ['), F.array_join(F.transform("a", lambda x: x["j"]), ","), F.lit("]}"))
+    answers = told.select(key.alias("document_id"), F.lit("extraction").alias("stage"), F.lit("items").alias("item_key"), body.alias("response_json"), F.lit(None).cast("string").alias("error"))
+    found = told.select(key.alias("document_id"), F.lit("invoice").alias("document_type"), F.lit("items").alias("section_id"), F.lit(1).alias("section_ord"), F.lit("line_items").alias("section_name"), F.lit(1).alias("page_number"), F.lit("long enough").alias("text"))
+    return extract.fields(found, answers).select("document_id", "field_ord", "field_name", "field_value", "value_kind")
 
 
 def turns(spark: SparkSession, d: str) -> DataFrame:
@@ -302,9 +336,9 @@ def ocr_metrics(spark, d):
     return layout.metrics(layout.lines(tokens(spark, d)))
 
 
-@query(f"SELECT document_id, min(x) AS x, min(y) AS y, CAST(greatest(1, max(x + width) - min(x)) AS INTEGER) AS width, CAST(greatest(1, max(y + height) - min(y)) AS INTEGER) AS height FROM ({_BLOCKS}) WHERE block_index < 5 GROUP BY document_id")
+@query(f"SELECT document_id, min(x) AS x, min(y) AS y, CAST(greatest(1, max(x + width) - min(x)) AS INTEGER) AS width, CAST(greatest(1, max(y + height) - min(y)) AS INTEGER) AS height FROM ({_BLOCKS}) GROUP BY document_id")
 def bbox_union(spark, d):
-    rows = layout.lines(tokens(spark, d)).where("block_index < 5").select("document_id", "bbox.*")
+    rows = layout.lines(tokens(spark, d)).select("document_id", "bbox.*")
     return rows.groupBy("document_id").agg(layout.union_box(1).alias("b")).select("document_id", "b.*")
 
 
@@ -455,6 +489,21 @@ def stage_duration(spark, d):
     return audit.stage_durations(logs(spark, d)).drop("seconds")
 
 
+@query(
+    f"""WITH l AS (SELECT CAST(user_id AS VARCHAR) AS document_id, {STAGES}[CAST(event_id % {len(STAGES)} AS INTEGER) + 1] AS stage, CASE event_type WHEN 'error' THEN 'failed' WHEN 'view' THEN 'started' ELSE 'completed' END AS status, event_id FROM events),
+last AS (SELECT document_id, stage, arg_max(status, event_id) AS s FROM l GROUP BY document_id, stage), d AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS document_id, user_id % 3 = 0 AS unknown FROM events)
+SELECT d.document_id, CAST(i - 1 AS INTEGER) AS step, {STAGES}[i] AS stage, CASE WHEN unknown AND i - 1 > {STAGES.index("classification")} THEN 'skipped' WHEN s = 'started' THEN 'active' ELSE coalesce(s, 'pending') END AS state
+FROM (SELECT *, unnest(range(1, {len(STAGES) + 1})) AS i FROM d) d LEFT JOIN last ON last.document_id = d.document_id AND last.stage = {STAGES}[i]"""
+)
+def stage_stepper(spark, d):
+    rows = read(spark, d, "events", "event_id", "user_id", "event_type")
+    key = F.col("user_id").cast("string").alias("document_id")
+    status = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "view", "started").otherwise("completed")
+    stage = F.element_at(F.array(*map(F.lit, STAGES)), (F.col("event_id") % len(STAGES) + 1).cast("int"))
+    documents = rows.select(key, F.when(F.col("user_id") % 3 == 0, "unknown").otherwise("invoice").alias("document_type")).distinct()
+    return audit.stepper(documents, rows.select(key, stage.alias("stage"), status.alias("status"), F.col("event_id").alias("created_at")))
+
+
 @query(f"SELECT stage, status, count(*) AS n, count(DISTINCT document_id) AS documents FROM ({_LOGS}) GROUP BY stage, status")
 def audit_counts(spark, d):
     return audit.counts(logs(spark, d))
@@ -480,19 +529,12 @@ def upload_checks(spark, d):
     return ingest.check_uploads(rows, S).select("page_id", "reject_reason", "safe_name")
 
 
-@query("SELECT doc_id, n_chars, CASE WHEN n_chars <= 0 THEN '0 Bytes' WHEN n_chars < 1024 THEN CAST(n_chars AS VARCHAR) || ' Bytes' ELSE regexp_replace(regexp_replace(printf('%.2f', round(n_chars / 1024.0, 2)), '0+$', ''), '\\.$', '') || ' KB' END AS shown FROM documents WHERE n_chars < 1048576 AND n_chars NOT BETWEEN 1020 AND 1024 AND n_chars % 100 <> 0 AND n_chars >= 0 AND (n_chars >= 1024 OR n_chars % 10 <> 0)")
+_UNITS = ["Bytes", "KB", "MB", "GB", "TB"]
+_SIZED = "SELECT doc_id, n, CASE WHEN n < 1024 THEN 0 WHEN n < 1048576 THEN 1 WHEN n < 1073741824 THEN 2 WHEN n < 1099511627776 THEN 3 ELSE 4 END AS u FROM (SELECT doc_id, CAST(n_chars AS BIGINT) * [1, 1000, 1000000, 1000000000][CAST(doc_id % 4 AS INTEGER) + 1] AS n FROM documents)"
+
+
+@query(f"SELECT doc_id, n, CASE WHEN n <= 0 OR n IS NULL THEN '0 Bytes' ELSE regexp_replace(regexp_replace((h // 100) || '.' || lpad(CAST(h % 100 AS VARCHAR), 2, '0'), '0+$', ''), '\\.$', '') || ' ' || {_UNITS}[u + 1] END AS shown FROM (SELECT *, (200 * CAST(n AS HUGEINT) + (1::HUGEINT << (10 * u))) // (2 * (1::HUGEINT << (10 * u))) AS h FROM ({_SIZED}))")
 def format_bytes(spark, d):
-    rows = read(spark, d, "documents", "doc_id", "n_chars").where("n_chars < 1048576 AND n_chars NOT BETWEEN 1020 AND 1024 AND n_chars % 100 <> 0 AND n_chars >= 0 AND (n_chars >= 1024 OR n_chars % 10 <> 0)")
-    return rows.withColumn("shown", T.bytes_title(F.col("n_chars")))
-
-
-@query("SELECT vec_id, query_id, similarity FROM (SELECT b.vec_id AS vec_id, a.vec_id AS query_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS similarity, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) DESC, b.vec_id) AS r FROM embeddings a, embeddings b WHERE a.vec_id < 3 AND a.vec_id <> b.vec_id) WHERE r <= 5")
-def embedding_topk(spark, d):
-    """The five nearest vectors of the first three: a stated query set against all rows."""
-    e = read(spark, d, "embeddings", "vec_id", "embedding").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    q = F.broadcast(e.where("vec_id < 3").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")))
-    both = e.join(q, F.col("vec_id") != F.col("query_id"))
-    sim = F.round(dot("v", "q") / F.sqrt(dot("v", "v") * dot("q", "q")), 6)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))
-    return both.select("vec_id", "query_id", sim.alias("similarity")).withColumn("r", rank).where("r <= 5").drop("r")
+    rows = read(spark, d, "documents", "doc_id", "n_chars")
+    times = F.element_at(F.array(*(F.lit(x).cast("long") for x in (1, 1000, 1_000_000, 1_000_000_000))), (F.col("doc_id") % 4 + 1).cast("int"))
+    return rows.select("doc_id", (F.col("n_chars").cast("long") * times).alias("n")).withColumn("shown", T.bytes_title(F.col("n")))

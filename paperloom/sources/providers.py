@@ -41,7 +41,9 @@ class Replay(ModelProvider):
 
 
 class Batched(ModelProvider):
-    """Answers by a function on lists of prompts, in batches on the executors; one that fails gives errors for its batch."""
+    """Answers by a function on lists of prompts, in batches on the executors; one that fails gives errors for its batch.
+
+    Where a stage has crops, the function gets (prompt, page, crop) in place of the prompt."""
 
     name = "batched"
 
@@ -56,13 +58,14 @@ class Batched(ModelProvider):
                 out = b[["document_id", "item_key"]].copy()
                 out.insert(1, "stage", stage)
                 try:
-                    out["response_json"], out["error"] = call(b["prompt"].tolist()), None
+                    asked = list(zip(b["prompt"], b["page_number"], b["crop"], strict=True)) if "crop" in b else b["prompt"].tolist()
+                    out["response_json"], out["error"] = call(asked), None
                 except Exception as e:  # one bad batch must not end the job
                     out["response_json"], out["error"] = None, str(e)
                 yield out
 
         rows = prompts if "item_key" in prompts.columns else prompts.withColumn("item_key", F.lit(""))
-        return rows.select("document_id", "item_key", "prompt").mapInPandas(run, schemas.RESPONSES)
+        return rows.select("document_id", "item_key", "prompt", *(c for c in ("page_number", "crop") if "crop" in prompts.columns)).mapInPandas(run, schemas.RESPONSES)
 
 
 class OcrProvider(ABC):

@@ -39,6 +39,7 @@ class Store:
 
     def read(self, table: str, schema: str | None = None) -> DataFrame:
         kinds = schema or self.TABLES[table]
+        self.recover(table)
         if not self.exists(table):
             return self.spark.createDataFrame([], kinds)
         return self.spark.read.schema(f"{kinds}, bucket int").parquet(self._path(table)).drop("bucket")
@@ -57,18 +58,35 @@ class Store:
 
     def _overwrite(self, table: str, rows: DataFrame, touched: DataFrame) -> None:
         """Put rows (with bucket) in place of the touched buckets. Rows go to a folder of their own first: they may come from the buckets that they replace."""
+        self.recover(table)
         aside = f"{self.root}/_aside/{uuid.uuid4().hex}"
         rows.write.partitionBy("bucket").parquet(aside)
         buckets = [r[0] for r in touched.select("bucket").distinct().collect()]  # at most self.buckets
         fs = self.spark._jvm.org.apache.hadoop.fs.Path(self.root).getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
         at = self.spark._jvm.org.apache.hadoop.fs.Path
-        for b in buckets:
-            fs.delete(at(f"{self._path(table)}/bucket={b}"), True)
-            if fs.exists(at(f"{aside}/bucket={b}")):
-                fs.mkdirs(at(self._path(table)))
-                fs.rename(at(f"{aside}/bucket={b}"), at(f"{self._path(table)}/bucket={b}"))
+        for b in buckets:  # renames alone stand between the old rows and the new: what a crash leaves is put right by recover()
+            now, old, new = at(f"{self._path(table)}/bucket={b}"), at(f"{self.root}/_old/{table}/bucket={b}"), at(f"{aside}/bucket={b}")
+            if fs.exists(now):
+                fs.mkdirs(old.getParent())
+                fs.rename(now, old)
+            if fs.exists(new):
+                fs.mkdirs(now.getParent())
+                fs.rename(new, now)
+            fs.delete(old, True)
         fs.delete(at(aside), True)
 
+    def recover(self, table: str) -> None:
+        """After a crash in a replacement: a bucket that was moved out and has no new rows in its place is moved back."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path
+        fs = at(self.root).getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+        left = at(f"{self.root}/_old/{table}")
+        if fs.exists(left):
+            for status in fs.listStatus(left):
+                name = status.getPath().getName()
+                if not fs.exists(at(f"{self._path(table)}/{name}")):
+                    fs.rename(status.getPath(), at(f"{self._path(table)}/{name}"))
+            fs.delete(left, True)
+
     def replace(self, table: str, rows: DataFrame, documents: DataFrame | None = None) -> None:
         """Rows in place of all rows of their documents, or of `documents` (document_id)."""
         own = rows.withColumn("bucket", bucket(self.buckets))
