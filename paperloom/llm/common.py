@@ -176,15 +176,16 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             delete(spark, path)
 
 
-def written(df: DataFrame, release: bool = False) -> DataFrame:
+def written(df: DataFrame, release: bool = False, out: bool = False) -> DataFrame:
     """The rows, written once to the shared folder and read from there: later steps don't run what made them again, and a lost executor loses nothing.
 
-    release: have the driver collect its garbage, so that Spark deletes the shuffle files of steps that are over."""
+    release: have the driver collect its garbage, so that Spark deletes the shuffle files of steps that are over.
+    out: the table outlives the innermost scratch()."""
     spark = df.sparkSession
     small_batches(spark)
     path = f"{own_folder(spark)}/{uuid.uuid4().hex}"
-    if _SCRATCH:
-        _SCRATCH[-1].append(path)
+    if len(_SCRATCH) > out:
+        _SCRATCH[-1 - out].append(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._paperloom_path = path

@@ -177,11 +177,16 @@ def _verified(pairs: DataFrame, led: DataFrame, rows: DataFrame, reps: DataFrame
 
 
 def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    with C.scratch(docs.sparkSession):
+        return _joined(docs)
+
+
+def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Every row (doc_id, _h, n, sid), and for every set sid, n, row (the key of its first row, those of a null doc_id last), first_id (its smallest doc_id) and component."""
     spark = docs.sparkSession
     rows = C.keyed(docs)
     for seed in range(1, 9):
-        made = C.written(rows.select("doc_id", "_h", "text").mapInArrow(_profiles(seed), "doc_id long, _h long, n long, sid long, check long, part int, counts binary"))
+        made = C.written(rows.select("doc_id", "_h", "text").mapInArrow(_profiles(seed), "doc_id long, _h long, n long, sid long, check long, part int, counts binary"), out=True)
         own = made.where("part IS NULL").select("doc_id", "_h", "n", "sid", "check")
         if own.groupBy("sid").agg(F.min("check").alias("x"), F.max("check").alias("y")).where("x <> y").isEmpty():
             break
@@ -199,15 +204,17 @@ def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     reps = C.written(reps.select("sid", "n", "first_id", "row", "row._k", "row._h"))
     led = C.written(rows.select("text").mapInArrow(read(False), _SET).groupBy("sid").agg(F.first("n").alias("n"), F.first("keys").alias("keys")), release=True)
     entries = lambda: led.select("sid", "n", F.posexplode("keys").alias("at", "key"))
-    entry = C.written(blocked.shared(entries(), entries).select("key", "sid", "n", "at"), release=True)
+    entry = entry_table = C.written(blocked.shared(entries(), entries).select("key", "sid", "n", "at"), release=True)
     # how much of a row other rows share: the source of a group of edited copies has nothing of its own
     shared = entry.groupBy("sid").agg((F.count(F.lit(1)) / F.max("n")).alias("shared"))
     entry = entry.join(shared, "sid")
     # the pivot of a column: the row that shares most; a row's neighbour: one before it by size
     pivot = C.written(entry.groupBy("key").agg(F.min_by(F.struct("sid", "n", "at"), F.struct(-F.col("shared"), "sid")).alias("p")))
     entry = C.written(entry.join(pivot, "key").select("key", "sid", "n", "at", "p", (F.col("sid") == F.col("p.sid")).alias("pivot")))
-    ordered = Window.partitionBy("key", "run").orderBy("n", "sid")
+    C.forget(entry_table)
+    ordered, unordered = Window.partitionBy("key", "run").orderBy("n", "sid"), entry
     entry = C.written(blocked.in_runs(entry).withColumns({"before": F.lag(F.struct("sid", "n", "at")).over(ordered), "rank": F.row_number().over(ordered)}), release=True)
+    C.forget(unordered)
     side = lambda p: entry.where(f"{p} IS NOT NULL").select(F.col(p).alias("p"), "sid", "n", "at")
     pairs = side("p").unionByName(side("before"))
     pairs = pairs.select(F.col("p.sid").alias("a"), F.col("p.n").alias("na"), F.col("p.at").alias("ia"), F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"))
@@ -229,7 +236,7 @@ def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = named(links.unionByName(C.written(blocked.links(wide, inside, sets, reps, NUM, DEN), release=True)))
     for x in (now, near, wide, inside, sets, led):
         C.forget(x)
-    return own, reps.join(found, "sid", "left").select("sid", "n", "row", "first_id", F.coalesce("component", "sid").alias("component"))
+    return own, C.written(reps.join(found, "sid", "left").select("sid", "n", "row", "first_id", F.coalesce("component", "sid").alias("component")), release=True, out=True)
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:

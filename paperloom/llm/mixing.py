@@ -125,7 +125,6 @@ def train(docs: DataFrame, labelled: DataFrame, domains: list[str], most: int =
             losses.append(F.sum(top + F.log(sum((F.exp(s - top) for s in scores), F.lit(0.0))) - mine).alias(f"l{i}"))
         loss = tried.agg(*losses).first()
         made.evidence = min(zip(loss, EVIDENCE, strict=True))[1]
-    C.forget(rows)
     return made
 
 
@@ -169,7 +168,8 @@ def fit(made: DataFrame, targets: list[float], budget: float | None = None, step
 def fitted(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget: float | None = None) -> tuple[Model, Fit, DataFrame]:
     """The classifier, the fit, and the written profiles by doc_id and row key."""
     rows = C.keyed(docs)
-    model = train(rows, labelled, list(targets))
+    with C.scratch(docs.sparkSession):
+        model = train(rows, labelled, list(targets))
     made = C.written(profiles(rows, model, "doc_id", *C.ROW))
     fit_ = fit(made, [targets.get(n, 0.0) for n in model.names], budget)
     if fit_.missed > MISS:

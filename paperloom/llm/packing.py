@@ -198,7 +198,8 @@ def place(made: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     spark = made.sparkSession
     order = ["length", "doc_id", "piece", "ids_crc32"]
     made = C.written(made)  # range bounds are sampled: without this, texts would be encoded for the sample too
-    ranged = C.written(made.repartitionByRange(F.desc("length"), "doc_id", "piece").sortWithinPartitions(F.desc("length"), *order[1:]).withColumn("part", F.spark_partition_id()))
+    ranged = C.written(made.repartitionByRange(F.desc("length"), "doc_id", "piece").sortWithinPartitions(F.desc("length"), *order[1:]).withColumn("part", F.spark_partition_id()), release=True)
+    C.forget(made)
     held = ranged.groupBy("length", "part").count()
     from pyspark.sql import Window
 

@@ -220,12 +220,16 @@ def _passages(docs: DataFrame, made: DataFrame, lines: DataFrame) -> DataFrame:
     piece = made.select(*C.ROW, F.explode("pieces").alias("p")).select(*C.ROW, "p.*")
     place = F.struct(*C.ROW, "lo", "hi")
     several = C.written(piece.groupBy("key").agg(F.min(place).alias("x"), F.max(place).alias("y")).where("x <> y").select("key"), release=True)
-    some = C.written(piece.join(several, "key", "left_semi"), release=True)
-    some = some.groupBy(*C.ROW).agg(F.collect_set(F.struct("lo", "hi", "key")).alias("pieces")).join(gone, C.ROW, "left")
+    repeats = C.written(piece.join(several, "key", "left_semi"), release=True)
+    C.forget(several)
+    some = repeats.groupBy(*C.ROW).agg(F.collect_set(F.struct("lo", "hi", "key")).alias("pieces")).join(gone, C.ROW, "left")
     free = C.written(some.select(*C.ROW, "pieces", "gone").mapInArrow(_free, f"{_KEY}, key long, lo int, hi int"), release=True)
+    C.forget(repeats)
     heads = C.written(free.groupBy("key").agg(F.min(place).alias("head"), F.max(place).alias("last")).where("head <> last").select("key", "head"))
     hits = free.join(heads, "key").where(~place.eqNullSafe(F.col("head")))
     runs = C.written(hits.groupBy(*C.ROW).agg(F.collect_list(F.struct("lo", "hi", "head")).alias("hits")).mapInArrow(_runs, _RUN), release=True)
+    for x in (free, heads):
+        C.forget(x)
     edge = lambda k, h, at, left: runs.where(f"{k} IS NOT NULL").select(F.col(k).alias("_k"), F.col(h).alias("_h"), F.col(at).alias("at"), F.lit(left).alias("left"))
     want = edge("_k", "_h", "lo", True).union(edge("lk", "lh", "ll", True)).union(edge("_k", "_h", "hi", False)).union(edge("rk", "rh", "re", False)).distinct()
     want = want.groupBy(*C.ROW).agg(F.collect_list(F.struct("at", "left")).alias("want")).join(gone, C.ROW, "left")
@@ -249,10 +253,8 @@ def _passages(docs: DataFrame, made: DataFrame, lines: DataFrame) -> DataFrame:
     return runs.groupBy(*C.ROW, "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where(F.col("hi") - F.col("lo") >= LEAST_PASSAGE).drop("run")
 
 
-def repeated(docs: DataFrame, num: int = NUM, den: int = DEN, recall: float = RECALL) -> DataFrame:
-    """Removed units (_k, _h, lo, hi in words, passage) of docs, which has text and its key."""
-    bands, rows = tune(num / den, recall)
-    made = C.written(docs.select(*C.ROW, "text").mapInArrow(_units(bands, rows), f"{_KEY}, units array<{_UNIT}>, pieces array<{_PIECE}>"))
+def _copies(made: DataFrame, docs: DataFrame, num: int, den: int) -> DataFrame:
+    """_k, _h, lo, hi of the paragraphs that are copies of an earlier one; made has units. The table outlives the scratch() around."""
     unit = made.select(*C.ROW, F.explode("units").alias("u")).select(*C.ROW, "u.*").withColumnRenamed("key", "sid")
     first = C.written(unit.groupBy("sid").agg(F.min(F.struct(*C.ROW, "lo", "hi", "n", "bands")).alias("f"), F.count(F.lit(1)).alias("count")).select("sid", "count", "f.*"), release=True)
     entries = lambda: first.select("sid", F.col("n").cast("long").alias("n"), F.explode("bands").alias("key"))
@@ -280,9 +282,15 @@ def repeated(docs: DataFrame, num: int = NUM, den: int = DEN, recall: float = RE
     heads = group.groupBy("component").agg(F.min(place).alias("head"), F.sum("count").alias("all")).where("all > 1")
     keyed = C.written(group.join(heads, "component").select("sid", "head"))
     hit = unit.drop("bands", "n").join(keyed, "sid")
-    lines = C.written(hit.where(~place.eqNullSafe(F.col("head"))).select(*C.ROW, "lo", "hi").distinct(), release=True)
-    for x in (entry, now, near, wide, inside, sets):
-        C.forget(x)
+    return C.written(hit.where(~place.eqNullSafe(F.col("head"))).select(*C.ROW, "lo", "hi").distinct(), release=True, out=True)
+
+
+def repeated(docs: DataFrame, num: int = NUM, den: int = DEN, recall: float = RECALL) -> DataFrame:
+    """Removed units (_k, _h, lo, hi in words, passage) of docs, which has text and its key."""
+    bands, rows = tune(num / den, recall)
+    made = C.written(docs.select(*C.ROW, "text").mapInArrow(_units(bands, rows), f"{_KEY}, units array<{_UNIT}>, pieces array<{_PIECE}>"))
+    with C.scratch(docs.sparkSession):
+        lines = _copies(made, docs, num, den)
     return lines.withColumn("passage", F.lit(False)).unionByName(_passages(docs, made, lines).withColumn("passage", F.lit(True)))
 
 
@@ -309,7 +317,9 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def paragraph_dedup(docs: DataFrame, num: int = NUM, den: int = DEN, recall: float = RECALL) -> DataFrame:
     """doc_id, n_bytes, n_removed (bytes), n_spans, kept_sha256, n_paragraphs and n_passages (removed), spans (from, to, from, to, ... in bytes) of every row."""
     own = C.keyed(docs)
-    gone = repeated(own, num, den, recall).groupBy(*C.ROW).agg(F.array_sort(F.collect_set(F.struct("lo", "hi", "passage"))).alias("gone"))
+    with C.scratch(docs.sparkSession):
+        gone = repeated(own, num, den, recall).groupBy(*C.ROW).agg(F.array_sort(F.collect_set(F.struct("lo", "hi", "passage"))).alias("gone"))
+        gone = C.written(gone, release=True, out=True)
     return own.join(gone, C.ROW, "left").select("doc_id", "text", "gone").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_paragraphs long, n_passages long, spans array<long>")
 
 

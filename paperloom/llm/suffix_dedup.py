@@ -172,7 +172,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (from, to, from, to, ... in bytes) of every row."""
     own = C.keyed(docs)
-    spans = repeated_spans(own, length).groupBy(*C.ROW).agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
+    with C.scratch(docs.sparkSession):
+        spans = C.written(repeated_spans(own, length).groupBy(*C.ROW).agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi")), release=True, out=True)
     return own.join(spans, C.ROW, "left").select("doc_id", "text", "lo", "hi").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
 
 

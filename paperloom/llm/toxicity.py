@@ -6,9 +6,12 @@ a document has each of its features once. Training is sequential
 FTRL-proximal with per-coordinate rates and L1, over a bounded sample of labelled rows; the weights
 that L1 leaves are few and are sent to all workers, which score whole texts.
 
+Training is one task, over MOST_ROWS labelled rows with all their features; everything else is spread.
+
 Defined results: null and empty texts have the bias alone; without labels of both kinds every score
 is the share of toxic labels (0.5 without any); null labels and labels that contradict each other
-are left out; rows that repeat a doc_id are scored each on their own.
+are left out; rows that repeat a doc_id are scored each on their own, a null doc_id is never held
+out; an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -102,7 +105,7 @@ def _train(t: pa.Table) -> pa.Table:
 def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> dict[int, float]:
     """Weights by place; place 2^BITS is the bias. labels: doc_id, y."""
     clear = labels.where("doc_id IS NOT NULL AND y IS NOT NULL").groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z").select("doc_id", F.col("y").cast("double").alias("y"), F.xxhash64("doc_id").alias("h"))
-    sample = C.written(clear.orderBy("h", "doc_id").limit(most_rows))
+    sample = C.at_most(clear, most_rows)
     share = sample.agg(F.avg("y")).first()[0]
     if share in (None, 0.0, 1.0):
         p = min(max(0.5 if share is None else share, 1e-6), 1 - 1e-6)
@@ -135,7 +138,9 @@ def held_out() -> Column:
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted; only labels of rows that aren't held out are learned from."""
     own = labels.where(~held_out()).select("doc_id", F.col("toxic").alias("y"))
-    return score(docs, train(docs, own)).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+    with C.scratch(docs.sparkSession):
+        weights = train(docs, own)
+    return score(docs, weights).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
 def query(spark, sf_dir):
