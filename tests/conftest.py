@@ -10,5 +10,4 @@ from paperloom.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    # tables here are tiny: compiling a stage takes longer than running it
-    return local_session(4, "4g", 2, **{"spark.sql.codegen.wholeStage": "false"})
+    return local_session(4, "4g", 2)
