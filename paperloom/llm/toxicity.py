@@ -7,6 +7,8 @@ FTRL-proximal with per-coordinate rates and L1, over a bounded sample of labelle
 that L1 leaves are few and are sent to all workers, which score whole texts.
 
 Training is one task, over MOST_ROWS labelled rows with all their features; everything else is spread.
+The strength of L1 is chosen among L1S by the log loss of a fifth of those rows, which are all
+learnable: held-out rows take no part.
 
 Defined results: null and empty texts have the bias alone; without labels of both kinds every score
 is the share of toxic labels (0.5 without any); null labels and labels that contradict each other
@@ -29,10 +31,13 @@ BITS, THRESHOLD = 20, 0.7
 STEMS = (4, 5, 6, 7, 8)
 #: Labelled rows that training takes at most: those with the smallest hash of doc_id.
 MOST_ROWS = 12000
-#: Places that fewer sampled rows have are not learned: they'd explain single rows by heart.
-LEAST_ROWS = 3
-#: A strong L1 leaves some hundred weights, and held-out recall is the better for it at every size.
-ALPHA, BETA, L1, L2, PASSES = 1.0, 1.0, 3.0, 1e-3, 5
+#: Places that fewer sampled rows have are not learned; 1 learns all.
+LEAST_ROWS = 1
+ALPHA, BETA, L2, PASSES = 1.0, 1.0, 1e-3, 5
+#: L1 to choose from, and the one where there is nothing to choose by.
+L1S, L1 = (1.0, 2.0, 3.0, 4.0), 3.0
+#: One of so many learnable rows judges the choice of L1.
+INNER = 5
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _PUNCT = np.zeros(256, bool)
@@ -67,37 +72,48 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([rows.column("y"), rows.column("h"), C.lists(place.astype(np.int32), np.bincount(row, minlength=rows.num_rows), pa.int32())], names=["y", "h", "x"])
 
 
-def ftrl(x: list[np.ndarray], y: np.ndarray, passes: int = PASSES) -> np.ndarray:
-    """Weights, the bias last; FTRL-proximal, one row at a time in the order given."""
+def ftrl(x: list[np.ndarray], y: np.ndarray, passes: int = PASSES, strength: float = L1) -> np.ndarray:
+    """Weights, the bias last; FTRL-proximal with an L1 of `strength`, one row at a time in the order given."""
     n_places = (1 << BITS) + 1
     z, n = np.zeros(n_places), np.zeros(n_places)
     bias = n_places - 1
-    rows = np.zeros(n_places, np.int32)
-    for v in x:
-        rows[v] += 1  # a row has a place once
-    often = rows >= LEAST_ROWS
-    x = [v[often[v]] for v in x]
+    if LEAST_ROWS > 1:
+        rows = np.bincount(np.concatenate(x), minlength=n_places)  # a row has a place once
+        x = [v[rows[v] >= LEAST_ROWS] for v in x]
     for _ in range(passes):
         for places, label in zip(x, y, strict=True):
             i = np.append(places, bias)
             zi, ni = z[i], n[i]
             rate = (BETA + np.sqrt(ni)) / ALPHA + L2
-            l1 = np.where(i == bias, 0.0, L1)
+            l1 = np.where(i == bias, 0.0, strength)
             w = np.where(np.abs(zi) <= l1, 0.0, -(zi - np.sign(zi) * l1) / rate)
             p = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35)))
             g = p - label
             z[i] = zi + g - (np.sqrt(ni + g * g) - np.sqrt(ni)) / ALPHA * w
             n[i] = ni + g * g
-    l1 = np.full(n_places, L1)
+    l1 = np.full(n_places, strength)
     l1[bias] = 0
     return np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
 
 
+def strength(x: list[np.ndarray], y: np.ndarray, judge: np.ndarray, among: tuple[float, ...] = L1S) -> float:
+    """The L1 whose weights, learned from the other rows, give the rows of `judge` the least log loss; of equal ones the strongest. L1 itself where either part has labels of one kind alone."""
+    if any(len(np.unique(y[part])) < 2 for part in (judge, ~judge)):
+        return L1
+    losses = []
+    for l1 in among:
+        w = ftrl([v for v, own in zip(x, judge, strict=True) if not own], y[~judge], strength=l1)
+        s = np.array([w[v].sum() + w[-1] for v, own in zip(x, judge, strict=True) if own])
+        losses.append((float(np.logaddexp(0, np.where(y[judge] > 0, -s, s)).mean()), -l1))
+    return -min(losses)[1]
+
+
 def _train(t: pa.Table) -> pa.Table:
     t = t.sort_by("h").combine_chunks()
     lists = t.column("x").combine_chunks()
     at, flat = np.asarray(lists.offsets), np.asarray(lists.values)
-    w = ftrl([flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], t.column("y").to_numpy())
+    x, y = [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], t.column("y").to_numpy()
+    w = ftrl(x, y, strength=strength(x, y, t.column("h").to_numpy() % INNER == 0))
     place = np.flatnonzero(w)
     return pa.table({"place": pa.array(place.astype(np.int64)), "weight": pa.array(w[place])})
 

@@ -217,3 +217,17 @@ def test_odd_columns(spark):
     assert toxicity.toxicity(docs, labels).count() == 3 and toxicity.toxicity(docs.limit(0), labels).count() == 0
     for keep in (exact_dedup.drop_copies, jaccard_join.keep_one, lambda d: quality.keep_good(d, labels), lambda d: mixing.mixed(d, mixing.languages(d, labels), mixing.TARGETS)):
         assert keep(docs).columns == docs.columns and keep(docs.limit(0)).count() == 0
+
+
+def test_strength_of_l1_by_an_inner_part():
+    rng = np.random.default_rng(5)
+    y = (rng.random(200) < 0.4).astype(float)
+    x = [np.unique(np.append(rng.integers(100, 4000, 60), 7 if label else 8)) for label in y]  # one place tells, the others are noise
+    judge = np.arange(200) % toxicity.INNER == 0
+    losses = {}
+    for l1 in toxicity.L1S:
+        w = toxicity.ftrl([v for i, v in enumerate(x) if not judge[i]], y[~judge], strength=l1)
+        p = [1 / (1 + np.exp(-(w[v].sum() + w[-1]))) for i, v in enumerate(x) if judge[i]]
+        losses[l1] = -np.mean([np.log(a if b else 1 - a) for a, b in zip(p, y[judge], strict=True)])
+    assert toxicity.strength(x, y, judge) == min(losses, key=lambda k: (losses[k], -k))
+    assert toxicity.strength(x, y * 0, judge) == toxicity.L1 and toxicity.strength(x, y, judge & False) == toxicity.L1
