@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jaccard_join, mixing, packing, paragraph_dedup, quality, secret_scan, suffix_dedup, toxicity, url_filter
+from . import decontamination, divergence, exact_dedup, filter_audit, jaccard_join, mixing, packing, paragraph_dedup, quality, secret_scan, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_substring_dedup": paragraph_dedup.query,
     "op9_secret_scans": secret_scan.query,
     "op10_toxicity": toxicity.query,
+    "op11_decontamination": decontamination.query,
+    "op12_filter_audit": filter_audit.query,
+    "op13_source_divergence": divergence.query,
 }
-SQL = {"op1_exact_dedup": exact_dedup.SQL}
+SQL = {"op1_exact_dedup": exact_dedup.SQL, "op11_decontamination": decontamination.SQL, "op12_filter_audit": filter_audit.SQL, "op13_source_divergence": divergence.SQL}
