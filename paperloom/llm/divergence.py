@@ -28,6 +28,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Callable, Iterator
+from operator import itemgetter
 
 import ahocorasick
 import numpy as np
@@ -41,7 +42,9 @@ from . import common as C
 
 LEAST_DOCUMENTS, TOP = 10, 10
 #: Counts that a task holds at a time: different terms in the first pass, cells (group by term) in the second.
-MOST_HELD, MOST_CELLS = 200_000, 4_000_000
+MOST_HELD, MOST_CELLS = 400_000, 16_000_000
+#: Terms that a task counts before it gives its counts, so that a cell of four bytes is wide enough.
+MOST_COUNTED = 1 << 30
 #: Bytes of terms, delimiters included, that automata are made of at a time: about 400 MB in a Python worker at worst.
 MOST_BYTES = 8_000_000
 #: Sources and terms of a block of the products, at about that number.
@@ -99,14 +102,15 @@ def _recount(block: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
     """Occurrences of the block's terms by language and source. Bytes are read as one character each, so any text can be read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automata = _automata(block)
+        automata, second = _automata(block), itemgetter(1)
         held: dict[tuple[str, str], np.ndarray] = {}
+        counted = cells = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             for (lang, source), counts in held.items():
                 some = np.flatnonzero(counts)
                 same = lambda x, some=some: pa.array([x] * len(some), pa.string())
-                yield pa.RecordBatch.from_arrays([same(lang), same(source), automata[lang][1].take(pa.array(some)), pa.array(counts[some])], names=["lang", "source", "term", "n"])
+                yield pa.RecordBatch.from_arrays([same(lang), same(source), automata[lang][1].take(pa.array(some)), pa.array(counts[some].astype(np.int64))], names=["lang", "source", "term", "n"])
             held.clear()
             C.tidy()
 
@@ -114,13 +118,16 @@ def _recount(block: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
             if lang not in automata:
                 continue
             auto, terms = automata[lang]
-            found = np.fromiter((i for _, i in auto.iter(f" {text.decode('latin-1')} ")), np.int64)
+            found = np.fromiter(map(second, auto.iter(f" {text.decode('latin-1')} ")), np.int64)
             if len(found):
                 if (lang, source) not in held:
-                    held[lang, source] = np.zeros(len(terms), np.int64)
-                np.add.at(held[lang, source], found, 1)
-            if sum(map(len, held.values())) > MOST_CELLS:
+                    held[lang, source] = np.zeros(len(terms), np.int32)
+                    cells += len(terms)
+                np.add.at(held[lang, source], found, np.int32(1))
+                counted += len(found)
+            if cells > MOST_CELLS or counted > MOST_COUNTED:
                 yield from flush()
+                counted = cells = 0
         yield from flush()
 
     return run
@@ -202,7 +209,7 @@ def pairs(made: DataFrame, groups: DataFrame, langs: DataFrame) -> DataFrame:
     every = F.sequence(F.lit(0).cast("long"), F.col("across") - 1)
     # a source's own block meets each block, itself once
     dealt = lambda rows: rows.withColumn("o", F.explode(every)).select("lang", "source", "term", "p", "block", "bucket", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
-    full = C.attach(made, spread, "lang", by="term").select("lang", "source", "term", "p", block.alias("block"), F.pmod(F.xxhash64("term"), F.col("deep")).alias("bucket"), "across")
+    full = made.join(spread, "lang").select("lang", "source", "term", "p", block.alias("block"), F.pmod(F.xxhash64("term"), F.col("deep")).alias("bucket"), "across")
     bare = groups.join(spread, "lang").select("lang", "source", F.lit(None).cast("string").alias("term"), F.col("zero").alias("p"), block.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("deep") - 1)).alias("bucket"), "across")
     kinds = "lang string, source string, item string, value long, p long, q long, seen long"
     sums = dealt(full.unionByName(bare)).groupBy("lang", "bucket", "i", "j").applyInArrow(_products, kinds)
@@ -224,12 +231,10 @@ def audit(docs: DataFrame, least: int = LEAST_DOCUMENTS, top: int = TOP) -> Data
     groups = there.select("lang", "source").join(found.groupBy("lang", "source").agg(F.sum("n").alias("own")), ["lang", "source"], "left").fillna(0, "own").join(langs, "lang")
     # a language without kept terms has no p; 1 stands for it
     zero = F.when(F.col("terms") > 0, share(F.lit(0), F.col("own"), F.greatest("terms", F.lit(1)))).otherwise(F.lit(1))
-    groups = C.written(groups.select("lang", "source", "own", "terms", "whole", zero.cast("long").alias("zero"), F.struct("lang", "source").alias("group")))
-    own = C.attach(found.withColumn("group", F.struct("lang", "source")), groups.select("group", "own", "terms", "whole"), "group", by="term")
-    own = own.select("lang", "source", "term", "whole", "terms", "n", share(F.col("n"), F.col("own"), F.col("terms")).alias("p"))
-    own = C.written(own)
+    groups = C.written(groups.select("lang", "source", "own", "terms", "whole", zero.cast("long").alias("zero")))
+    own = found.join(groups.drop("zero"), ["lang", "source"]).select("lang", "source", "term", "whole", "terms", "n", share(F.col("n"), F.col("own"), F.col("terms")).alias("p"))
     # terms: the language's count of a term is summed before it meets the sources that have it
-    all_of = own.groupBy("lang", "term").agg(F.sum("n").alias("all"))
+    all_of = found.groupBy("lang", "term").agg(F.sum("n").alias("all"))
     beyond = own.join(all_of, ["lang", "term"]).withColumn("q", share(F.col("all"), F.col("whole"), F.col("terms"))).where("p > q")
     best = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     terms = beyond.select("lang", "source", F.col("term").alias("item"), apart(F.col("p"), F.col("q")).alias("value")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
