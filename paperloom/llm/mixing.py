@@ -5,12 +5,17 @@ words of a text, lower-cased and hashed to PLACES; it gives every document a pos
 that have a target, also those whose own domain is missing or wrong. Words are not independent, so the
 evidence of a text is counted as that of a number of words at most; that number is the one under which a
 held-out fifth of the labelled documents is likeliest, each word of a text having its share. With rate r a document counts r times, so a domain's expected tokens are the sum
-of rate, tokens and posterior over all documents. Nonnegative rates are fitted by projected gradient
-on the squared distance of these totals from the targets, in its lazy form: steps accumulate in the
-unprojected point, which is one number a domain (g), and a document's rate is the projection
-max(0, 1 - posterior . g). A step is one aggregation over all documents and moves each domain by its
-miss over its untouched total, which is below the inverse of the curvature, so steps never diverge.
-Rates start at 1 and stay as near to it as the targets allow.
+of rate, tokens and posterior over all documents. Nonnegative rates minimise the squared distance of these
+totals from the targets, plus DAMPING times how far rates are from 1 (weighted by tokens), which decides
+between rates that do equally well: so rates stay as near to 1 as the targets allow, and where no rates
+meet the targets, totals come as near as nonnegative least squares do (but for the damping's share). It is a
+projected gradient method in its lazy form: steps accumulate in an unprojected point, which is one number
+a domain (g), and a document's rate is the projection max(0, 1 - posterior . g). A step is one
+aggregation over all documents, which gives the gradient and the curvature of the documents whose rate is
+above 0; the gradient is scaled by the curvature and shortened until the objective descends. With more than
+MOST_CURVED domains the curvature's bound is used, domain by domain. The fit ends when the gradient
+is a TOLERANCE of all tokens; the point whose totals are nearest to the targets is returned, so a fit
+is never worse than rates of 1.
 
 Only DataFrame expressions are used; what reaches the driver is one row of sums over all documents,
 of a size set by the number of domains, and once the counts of PLACES by domain.
@@ -20,7 +25,8 @@ null or contradict each other are left out; without labels there is one domain,
 are 1; domains without a target are one class together, REST, and get none (rates of pure members go
 to 0); characters of scripts without spaces are words; target weights of domains without labelled
 documents can't be met and are dropped, the rest scaled up; targets that no rates meet are
-approached, the rest is told by Fit.missed and a warning; rows that repeat a doc_id are documents
+approached as far as least squares do, the rest is told by Fit.missed and a warning; a very long text is
+one row like others; rows that repeat a doc_id are documents
 of their own; an empty table gives an empty result; other columns are not looked at.
 """
 
@@ -30,6 +36,7 @@ import math
 import warnings
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,7 +49,10 @@ BETWEEN = r"[^\p{L}\p{M}]+|(?<=[\u0E00-\u0E7F\u3040-\u30FF\u3400-\u9FFF])"
 MOST_LABELLED, REST = 50_000, "(rest)"
 #: Words that a text's evidence may count as, to choose from; the first where nothing is labelled.
 EVIDENCE = (60.0, 7.5, 15.0, 30.0, 120.0, 240.0, 480.0, 1e12)
-STEPS, TOLERANCE = 60, 1e-4
+#: Aggregations at most; the gradient's length, in shares of all tokens, that ends the fit; the weight of rates' distance from 1.
+STEPS, TOLERANCE, DAMPING = 300, 1e-6, 1e-6
+#: Domains whose curvature is summed pair by pair.
+MOST_CURVED = 24
 #: Share of all tokens that may be missed without a warning.
 MISS = 0.01
 #: Target weights of the registered query, by language.
@@ -145,24 +155,59 @@ def rate(g: list[float]) -> Column:
 
 def fit(made: DataFrame, targets: list[float], budget: float | None = None, steps: int = STEPS, tolerance: float = TOLERANCE) -> Fit:
     """Rates for these targets, by class; budget: tokens in all (as many as there are, if None)."""
-
-    def totals(g: list[float]) -> list[float]:
-        r = rate(g)
-        return [float(x or 0.0) for x in made.agg(*(F.sum(r * F.col("tokens") * F.col(f"q{k}")) for k in range(len(g)))).first()]
-
-    g = [0.0] * len(targets)
-    start = now = totals(g)
-    have = [t if s > 0 else 0.0 for t, s in zip(targets, start, strict=True)]
-    if sum(have) == 0 or sum(start) == 0:
-        return Fit(g, now, now)
-    want = [t / sum(have) * (budget or sum(start)) for t in have]
-    for _ in range(steps):
-        miss = [n - w for n, w in zip(now, want, strict=True)]
-        if sum(map(abs, miss)) <= tolerance * sum(want):
+    n = len(targets)
+    pairs = [(k, m) for k in range(n) for m in range(k, n)] if n <= MOST_CURVED else []
+
+    def sums(g: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
+        """Totals by class, half the weighted squares of the rates, and the curvature of the documents above 0."""
+        r, t = F.col("_r"), F.col("tokens")
+        rows = made.select("tokens", *(f"q{k}" for k in range(n)), rate(g.tolist()).alias("_r"))
+        above = F.when(r > 0, t)
+        found = rows.agg(*(F.sum(r * t * F.col(f"q{k}")) for k in range(n)), F.sum(t * r * r) / 2, *(F.sum(above * F.col(f"q{k}") * F.col(f"q{m}")) for k, m in pairs)).first()
+        values = np.array([float(x or 0.0) for x in found])
+        curve = np.zeros((n, n))
+        for (k, m), x in zip(pairs, values[n + 1 :], strict=True):
+            curve[k, m] = curve[m, k] = x
+        return values[:n], values[n], curve
+
+    g = np.zeros(n)
+    start, half, curve = sums(g)
+    have = np.array([t if s > 0 else 0.0 for t, s in zip(targets, start, strict=True)])
+    whole = start.sum()
+    if have.sum() == 0 or whole == 0:
+        return Fit(g.tolist(), start.tolist(), start.tolist())
+    want = have / have.sum() * (budget or whole)
+    # everything in shares of all tokens; half the squared rates + g . want + damping |g|^2 / 2 is convex, and its gradient is damping g - miss
+    objective = lambda g, half: half / whole + g @ want / whole + DAMPING * (g @ g) / 2
+    best, reached, now = (float(((start - want) ** 2).sum()), g, start), start, objective(g, half)
+    used, open_ = 1, start > 0
+    while used < steps:
+        down = DAMPING * g - (reached - want) / whole
+        down[~open_] = 0.0
+        if np.abs(down).max() <= tolerance * DAMPING or np.abs(down).sum() <= tolerance and np.abs(reached - want).sum() <= tolerance * whole:
+            break
+        bend = curve / whole + DAMPING * np.eye(n) if pairs else np.diag(start / whole + DAMPING)
+        step = np.linalg.solve(bend, down)
+        length, moved = 1.0, False
+        while used < steps and length > 1e-9:
+            trial = g - length * step
+            totals, half, curve_there = sums(trial)
+            used += 1
+            value = objective(trial, half)
+            if value <= now - 1e-4 * length * (down @ step):
+                moved = True
+                break
+            length /= 2
+        if not moved:
+            break
+        flat = now - value <= 1e-13 * max(1.0, abs(now))
+        g, reached, now, curve = trial, totals, value, curve_there
+        far = float(((reached - want) ** 2).sum())
+        if far < best[0]:
+            best = (far, g, reached)
+        if flat:
             break
-        g = [x + m / s if s > 0 else x for x, m, s in zip(g, miss, start, strict=True)]
-        now = totals(g)
-    return Fit(g, now, want)
+    return Fit(best[1].tolist(), best[2].tolist(), want.tolist())
 
 
 def fitted(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget: float | None = None) -> tuple[Model, Fit, DataFrame]:

@@ -327,6 +327,39 @@ def test_mixing_says_what_it_misses(spark):
     assert fit.missed > 0.5
 
 
+def nearest(a, want, rounds=200_000):
+    """The squared distance that nonnegative least squares reach, by an accelerated projected gradient in plain arrays."""
+    step = 1 / np.linalg.eigvalsh(a @ a.T).max()
+    r = y = np.ones(a.shape[1])
+    best, k = np.inf, 1.0
+    for _ in range(rounds):
+        new = np.maximum(0, y - step * (a.T @ (a @ y - want)))
+        far = ((a @ new - want) ** 2).sum()
+        if far > best:
+            k, y = 1.0, new
+        else:
+            best, more = far, (1 + np.sqrt(1 + 4 * k * k)) / 2
+            y, k = new + (k - 1) / more * (new - r), more
+        r = new
+    return best
+
+
+@pytest.mark.parametrize("case", ["absent", "poor", "alike"])
+def test_mixing_on_unreachable_targets(spark, case):
+    """As near to the targets as nonnegative least squares, and never worse than rates of 1."""
+    rng = np.random.default_rng(4)
+    q = {"absent": lambda n: rng.beta(0.3, 90, n), "poor": lambda n: rng.uniform(0.0, 0.2, n), "alike": lambda n: np.full(n, 0.5)}[case](96)
+    tokens = rng.integers(1, 200, 96)
+    made = spark.createDataFrame([(int(t), float(x), float(1 - x)) for t, x in zip(tokens, q, strict=True)], "tokens long, q0 double, q1 double")
+    a = np.array([tokens * q, tokens * (1 - q)])
+    want = np.array([0.73, 0.27]) * tokens.sum()
+    found = mixing.fit(made, [0.73, 0.27])
+    far, ones = ((np.array(found.reached) - want) ** 2).sum(), ((a.sum(1) - want) ** 2).sum()
+    rates = np.maximum(0, 1 - np.stack([q, 1 - q], 1) @ found.g)
+    assert np.allclose(a @ rates, found.reached) and far <= ones
+    assert far <= 1.01 * nearest(a, want, 20_000)
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], KINDS)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
