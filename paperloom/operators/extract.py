@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip
 from ..schemas import LIST_SECTIONS, NUMBER_FIELDS, SECTION_FIELDS
+from . import answers as checks
 
 _ONE = "map<string,struct<value:string,confidence:double,source_text:string>>"
 _MANY = "array<map<string,string>>"
@@ -24,10 +25,15 @@ def prompts(sections: DataFrame) -> DataFrame:
     return gate(sections).select("document_id", F.col("section_id").alias("item_key"), said.alias("prompt"))
 
 
+def checked(sections: DataFrame, responses: DataFrame) -> DataFrame:
+    """The answers about sections, held against their schemas, unless that is done; see answers.check."""
+    return responses if "error_path" in responses.columns else checks.check(gate(sections), responses)
+
+
 def fields(sections: DataFrame, responses: DataFrame) -> DataFrame:
-    """Unpivoted fields in the order of sections, items and the registry; fields without a value are kept as null."""
+    """Unpivoted fields in the order of sections, items and the registry; fields without a value are kept as null. Sections whose answer fails its schema give none."""
     spark = sections.sparkSession
-    answers = responses.where("stage = 'extraction' AND error IS NULL").select("document_id", F.col("item_key").alias("section_id"), "response_json")
+    answers = checked(sections, responses).where("error IS NULL").select("document_id", F.col("item_key").alias("section_id"), "response_json")
     rows = gate(sections).join(answers, ["document_id", "section_id"])
     lists = spark.createDataFrame([(k, *v) for k, v in LIST_SECTIONS.items()], "section_name string, list_key string, prefix string")
     rows = rows.join(F.broadcast(lists), "section_name", "left")
@@ -49,7 +55,14 @@ def fields(sections: DataFrame, responses: DataFrame) -> DataFrame:
 def counters(sections: DataFrame, responses: DataFrame, made: DataFrame) -> DataFrame:
     """Sections processed, those that failed, and fields, by document."""
     asked = gate(sections).select("document_id", F.col("section_id").alias("item_key"), "section_name", "section_ord")
-    state = asked.join(responses.where("stage = 'extraction'").select("document_id", "item_key", "response_json", "error"), ["document_id", "item_key"], "left")
+    state = asked.join(checked(sections, responses).select("document_id", "item_key", "response_json", "error"), ["document_id", "item_key"], "left")
     ok = F.col("error").isNull() & F.col("response_json").isNotNull()
     out = state.groupBy("document_id").agg(F.count_if(ok).alias("sections_processed"), F.transform(F.array_sort(F.collect_list(F.when(~ok, F.struct("section_ord", "section_name")))), lambda x: x["section_name"]).alias("failed_sections"))
     return out.join(made.groupBy("document_id").agg(F.count(F.lit(1)).alias("total_fields")), "document_id", "left").fillna(0, ["total_fields"])
+
+
+def section_data(sections: DataFrame, responses: DataFrame) -> DataFrame:
+    """The answers of each document by section name: of sections that share one, the last in order stays. Sections that fail are left out."""
+    rows = gate(sections).select("document_id", F.col("section_id").alias("item_key"), "section_name", "section_ord")
+    rows = rows.join(checked(sections, responses).where("error IS NULL").select("document_id", "item_key", "response_json"), ["document_id", "item_key"])
+    return rows.groupBy("document_id", "section_name").agg(F.max_by("response_json", "section_ord").alias("section_data"))

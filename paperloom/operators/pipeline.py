@@ -33,12 +33,13 @@ def process(pages: DataFrame, ocr: OcrProvider, model: ModelProvider, old_action
     texts = layout.page_texts(blocks)
     classes = keep(classify.classify(model.answer("classification", classify.prompts(blocks, texts, s)), s))
     found = keep(sections.detect(model.answer("section_detection", sections.prompts(blocks, classes, s)), classes, blocks))
-    fields = extract.fields(found, model.answer("extraction", extract.prompts(found)))
+    told = keep(extract.checked(found, model.answer("extraction", extract.prompts(found))))
+    fields = extract.fields(found, told)
     fields = fields.withColumns({c: F.lit(None).cast(t) for c, t in (("ocr_value", "string"), ("ocr_confidence", "double"), ("vision_value", "string"), ("vision_confidence", "double"), ("vision_source_text", "string"), ("fallback_reason", "string"))} | {"fallback_attempted": F.lit(False)})
     checked = keep(validate.validate(fields, s))
     asked = keep(vision.cropped(checked, blocks, found, pages, s))
     checked = keep(vision.run(checked, vision.clean(model.answer("vision_fallback", vision.prompts(asked))), asked, s))
     issues = keep(validate.issues(checked))
-    told = model.answer("summary", insights.context(checked, issues, s).withColumnRenamed("context", "prompt"))
+    summed = model.answer("summary", insights.context(checked, issues, s).withColumnRenamed("context", "prompt"))
     wanted = model.answer("action_extraction", insights.action_prompts(checked, s))
-    return Result(blocks, classes, found, checked, issues, validate.summary(checked), insights.summaries(classes, checked, told, s), insights.actions(checked, issues, wanted, old_actions, s))
+    return Result(blocks, classes, found, checked, issues, validate.summary(checked), insights.summaries(classes, checked, summed, s), insights.actions(checked, issues, wanted, old_actions, s))

@@ -473,22 +473,20 @@ def action_reconcile(spark, d):
 def logs(spark: SparkSession, d: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").try_cast("int")
     status = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "view", "started").otherwise("completed")
-    return read(spark, d, "events", "event_id", "ts", "user_id", "event_type", "props").select(F.col("user_id").cast("string").alias("document_id"), F.concat(F.lit("stage"), (F.coalesce(k, F.lit(0)) % 3).cast("string")).alias("stage"), status.alias("status"), F.col("ts").alias("created_at"))
+    return read(spark, d, "events", "event_id", "ts", "user_id", "event_type", "props").select(F.col("user_id").cast("string").alias("document_id"), F.get(F.array(*map(F.lit, STAGES)), F.coalesce(k, F.lit(0)) % 3).alias("stage"), status.alias("status"), F.date_trunc("day", "ts").alias("created_at"))
 
 
-_LOGS = "SELECT CAST(user_id AS VARCHAR) AS document_id, 'stage' || coalesce(CAST(json_extract_string(props, '$.k') AS INTEGER), 0) % 3 AS stage, CASE event_type WHEN 'error' THEN 'failed' WHEN 'view' THEN 'started' ELSE 'completed' END AS status, ts AS created_at FROM events"
+_LOGS = f"SELECT CAST(user_id AS VARCHAR) AS document_id, {STAGES}[coalesce(CAST(json_extract_string(props, '$.k') AS INTEGER), 0) % 3 + 1] AS stage, CASE event_type WHEN 'error' THEN 'failed' WHEN 'view' THEN 'started' ELSE 'completed' END AS status, date_trunc('day', ts) AS created_at FROM events"
 
 
-@query(f"SELECT document_id, stage, status, created_at, log_rows FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY created_at DESC, stage DESC, status DESC) AS r, count(*) OVER (PARTITION BY document_id) AS log_rows FROM ({_LOGS})) WHERE r = 1")
+@query(
+    f"""SELECT document_id, stage, status, created_at, log_rows FROM (SELECT *, count(*) OVER (PARTITION BY document_id) AS log_rows,
+row_number() OVER (PARTITION BY document_id ORDER BY created_at DESC, list_position({STAGES}, stage) DESC, status <> 'started' DESC, status DESC) AS r FROM ({_LOGS})) WHERE r = 1"""
+)
 def latest_status(spark, d):
     return audit.latest_status(logs(spark, d))
 
 
-@query(f"SELECT document_id, stage, min(created_at) FILTER (status = 'started') AS started_at, max(created_at) FILTER (status <> 'started') AS ended_at, count(*) FILTER (status = 'failed') AS failures FROM ({_LOGS}) GROUP BY document_id, stage")
-def stage_duration(spark, d):
-    return audit.stage_durations(logs(spark, d)).drop("seconds")
-
-
 @query(
     f"""WITH l AS (SELECT CAST(user_id AS VARCHAR) AS document_id, {STAGES}[CAST(event_id % {len(STAGES)} AS INTEGER) + 1] AS stage, CASE event_type WHEN 'error' THEN 'failed' WHEN 'view' THEN 'started' ELSE 'completed' END AS status, event_id FROM events),
 last AS (SELECT document_id, stage, arg_max(status, event_id) AS s FROM l GROUP BY document_id, stage), d AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS document_id, user_id % 3 = 0 AS unknown FROM events)

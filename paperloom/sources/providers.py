@@ -40,28 +40,44 @@ class Replay(ModelProvider):
         return rows.select("document_id", F.lit(stage).alias("stage"), "item_key", "response_json", F.coalesce("error", F.when(F.col("response_json").isNull(), "no response")).alias("error"))
 
 
+def bisected(call: Callable[[list], list], asked: list, tries: int = 1) -> list[tuple[object, str | None]]:
+    """An (answer, error) for each of the prompts: a call that fails is split in halves until the prompts at fault stand alone, which are
+    asked `tries` times. With k prompts at fault among n, about 2 k log2(n) calls are made."""
+    if not asked:
+        return []
+    for left in range(tries if len(asked) == 1 else 1, 0, -1):
+        try:
+            told = list(call(asked))
+            if len(told) != len(asked):
+                raise ValueError(f"{len(told)} answers to {len(asked)} prompts")
+            return [(x, None if x is not None else "no answer") for x in told]
+        except Exception as e:  # whatever a provider raises is an error of its prompts
+            if len(asked) == 1 and left == 1:
+                return [(None, str(e) or type(e).__name__)]
+    half = len(asked) // 2
+    return bisected(call, asked[:half], tries) + bisected(call, asked[half:], tries)
+
+
 class Batched(ModelProvider):
-    """Answers by a function on lists of prompts, in batches on the executors; one that fails gives errors for its batch.
+    """Answers by a function on lists of prompts, in batches on the executors; a prompt that fails gets an error, and no other one of its batch.
 
     Where a stage has crops, the function gets (prompt, page, crop) in place of the prompt."""
 
     name = "batched"
 
-    def __init__(self, call: Callable[[list[str]], list[str]]):
-        self.call = call
+    def __init__(self, call: Callable[[list[str]], list[str]], tries: int = 1):
+        self.call, self.tries = call, tries
 
     def answer(self, stage: str, prompts: DataFrame) -> DataFrame:
-        call = self.call
+        call, tries = self.call, self.tries
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 out = b[["document_id", "item_key"]].copy()
                 out.insert(1, "stage", stage)
-                try:
-                    asked = list(zip(b["prompt"], b["page_number"], b["crop"], strict=True)) if "crop" in b else b["prompt"].tolist()
-                    out["response_json"], out["error"] = call(asked), None
-                except Exception as e:  # one bad batch must not end the job
-                    out["response_json"], out["error"] = None, str(e)
+                asked = list(zip(b["prompt"], b["page_number"], b["crop"], strict=True)) if "crop" in b else b["prompt"].tolist()
+                told = bisected(call, asked, tries)
+                out["response_json"], out["error"] = [x for x, _ in told], [e for _, e in told]
                 yield out
 
         rows = prompts if "item_key" in prompts.columns else prompts.withColumn("item_key", F.lit(""))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators import audit
 from ..schemas import LOGS
 
 
@@ -25,8 +26,37 @@ def windowed_counts(logs: DataFrame, every: str = "1 hour", late: str = "1 hour"
 
 def latest_status(logs: DataFrame) -> DataFrame:
     """The last status of each document, kept as state: one small row a document."""
-    last = F.max(F.struct("created_at", "stage", "status")).alias("l")
-    return logs.groupBy("document_id").agg(last, F.count(F.lit(1)).alias("log_rows")).select("document_id", F.col("l.stage").alias("stage"), F.col("l.status").alias("status"), F.col("l.created_at").alias("created_at"), "log_rows")
+    return audit.latest_status(logs)
+
+
+def _sides(logs: DataFrame, late: str) -> tuple[DataFrame, DataFrame]:
+    """Starts and ends. The watermark stands before they part: any row of the log moves it for both."""
+    rows = logs.withWatermark("created_at", late) if logs.isStreaming else logs
+    rows = rows.select("document_id", "stage", "created_at", "status")
+    return rows.where("status = 'started'").drop("status"), rows.where("status IN ('completed', 'failed')")
+
+
+def _unmatched(rows: DataFrame, others: DataFrame, near: Column) -> DataFrame:
+    """Rows r without a row o of the same document and stage that is near. In a stream they come out once the watermark says that none can follow."""
+    same = (F.col("r.document_id") == F.col("o.document_id")) & (F.col("r.stage") == F.col("o.stage")) & near
+    if not rows.isStreaming:
+        return rows.alias("r").join(others.alias("o"), same, "left_anti").select("r.*")
+    both = rows.alias("r").join(others.alias("o"), same, "left_outer")
+    return both.where("o.document_id IS NULL").select("r.*")
+
+
+def stalled(logs: DataFrame, within: str = "1 hour", late: str = "1 hour") -> DataFrame:
+    """Starts of stages that no end follows within this time: document_id, stage, created_at."""
+    starts, ends = _sides(logs, late)
+    after = F.col("o.created_at").between(F.col("r.created_at"), F.col("r.created_at") + F.expr(f"INTERVAL {within}"))
+    return _unmatched(starts, ends, after)
+
+
+def orphans(logs: DataFrame, within: str = "1 hour", late: str = "1 hour") -> DataFrame:
+    """Ends of stages that no start precedes within this time: document_id, stage, created_at, status."""
+    starts, ends = _sides(logs, late)
+    before = F.col("o.created_at").between(F.col("r.created_at") - F.expr(f"INTERVAL {within}"), F.col("r.created_at"))
+    return _unmatched(ends, starts, before)
 
 
 def run_available(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None], mode: str = "update") -> StreamingQuery:
