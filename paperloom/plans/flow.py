@@ -11,14 +11,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import audit, extract, machine
+from ..functions.normalize import action_key
+from ..operators import audit, changes, extract, machine, precedence
 from ..schemas import STAGES
 from ..session import own_folder
 from ..sources.ledger import Ledgered
 from ..sources.providers import Batched
 from ..streaming import logs as stream
 from .catalog import query, read
-from .chain import answers, key, orders, pick
+from .chain import answers, key, null, orders, pick
 
 # Answers about sections
 
@@ -171,3 +172,56 @@ AND NOT EXISTS (SELECT 1 FROM ({_L}) s WHERE e.document_id = s.document_id AND e
 )
 def orphan_ends(spark, d):
     return stream.orphans(logs(spark, d), "1 DAY")
+
+
+# What stages have left, and changes of actions
+
+_BODY = ["""{"fields": [{"name": "a", "value": "1"}, {"name": "b"}]}""", "{\"fields\": [{\"name\"", """{"fields": []}""", None, """{"fields": {"name": "a"}}"""]
+_STATES = ["ok", "corrupt", "empty", "missing", "corrupt"]
+
+
+@query(
+    f"""WITH o AS (SELECT CAST(o_orderkey AS VARCHAR) AS document_id, {_STATES}[CAST(o_orderkey % 5 AS INTEGER) + 1] AS v, {_STATES}[CAST(o_orderkey // 5 % 5 AS INTEGER) + 1] AS e, o_orderkey % 3 = 0 AS t FROM orders),
+s AS (SELECT *, CASE WHEN v IN ('ok', 'empty') THEN 'validation' WHEN e IN ('ok', 'empty') THEN 'extraction' WHEN t THEN 'table' ELSE 'none' END AS source FROM o)
+SELECT document_id, source, v AS validation, e AS extraction, CASE WHEN t THEN 'ok' ELSE 'missing' END AS in_table,
+CASE source WHEN 'validation' THEN CASE v WHEN 'ok' THEN 'a,b' ELSE '' END WHEN 'extraction' THEN CASE e WHEN 'ok' THEN 'a,b' ELSE '' END WHEN 'table' THEN 'x,y' ELSE '' END AS names FROM s"""
+)
+def artifact_precedence(spark, d):
+    """Fields of each document from its validation, else its extraction, else the table; corrupt texts are passed over, empty ones aren't."""
+    kind = "struct<name: string, value: string>"
+    rows = orders(spark, d)
+    texts = lambda n: rows.select("document_id", pick(n % 5, *_BODY[:3], null(), _BODY[4]).alias("body")).where("body IS NOT NULL")
+    stored = rows.where(key() % 3 == 0).select("document_id", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(n).alias("name"), null().alias("value")) for i, n in enumerate("xy")))).alias("f"))
+    stored = precedence.table(stored.select("document_id", "f.i", F.struct("f.name", "f.value").alias("r")), "i", "struct<i: int, r: struct<name: string, value: string>>")
+    stored = stored.withColumn("items", F.transform("items", lambda x: x["r"]))
+    levels = [("validation", precedence.level(texts(key()), "fields", kind)), ("extraction", precedence.level(texts(F.floor(key() / 5)), "fields", kind)), ("table", stored)]
+    made = precedence.merge(rows, levels)
+    return made.select("document_id", "source", *(F.col("states")[n].alias(c) for n, c in (("validation", "validation"), ("extraction", "extraction"), ("table", "in_table"))), F.array_join(F.transform("items", lambda x: x["name"]), ",").alias("names"))
+
+
+_CHANGES = """c AS (SELECT CAST(user_id AS VARCHAR) AS document_id, date_trunc('hour', ts)::TIMESTAMP AS tm, CASE WHEN event_id % 3 = 0 THEN 'generated' ELSE 'edit' END AS kind, 'Check  item ' || event_id % 5 AS action, 'checkitem' || event_id % 5 AS key,
+CASE WHEN event_id % 3 = 0 THEN NULL ELSE CASE event_type WHEN 'view' THEN 'completed' WHEN 'click' THEN 'in_progress' WHEN 'signup' THEN 'dismissed' WHEN 'error' THEN 'odd' ELSE 'pending' END END AS status, CASE WHEN event_id % 5 = 4 THEN 'user' ELSE 'ai' END AS source FROM events)"""
+
+
+@query(
+    f"""WITH RECURSIVE {_CHANGES}, g AS (SELECT DISTINCT document_id, tm FROM c WHERE kind = 'generated'), k AS (SELECT DISTINCT document_id, key, source FROM c),
+e AS (SELECT DISTINCT document_id, tm, key, 1 AS o, status, source FROM c WHERE kind = 'edit'
+  UNION ALL SELECT g.document_id, g.tm, k.key, 0, CASE WHEN EXISTS (SELECT 1 FROM c WHERE c.document_id = g.document_id AND c.tm = g.tm AND c.kind = 'generated' AND c.key = k.key) THEN 'made' ELSE 'lacking' END, k.source FROM g JOIN k USING (document_id)),
+l AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY document_id, key ORDER BY tm, o, status) AS n FROM e),
+m AS (SELECT document_id, key, 0::BIGINT AS n, 'none' AS now, NULL::TIMESTAMP AS tm, NULL::VARCHAR AS told, NULL::VARCHAR AS error FROM k
+UNION ALL SELECT l.document_id, l.key, l.n, CASE WHEN o = 1 THEN CASE WHEN now <> 'none' AND l.status <> 'odd' THEN l.status ELSE now END WHEN l.status = 'made' THEN CASE WHEN now IN ('completed', 'in_progress', 'dismissed') THEN now ELSE 'pending' END
+  WHEN now = 'none' OR source = 'user' OR now IN ('completed', 'in_progress') THEN now ELSE 'none' END, l.tm, CASE WHEN o = 1 THEN l.status END, CASE WHEN o = 0 THEN NULL WHEN now = 'none' THEN 'no such action' WHEN l.status = 'odd' THEN 'no such status' END
+  FROM m JOIN l ON l.document_id = m.document_id AND l.key = m.key AND l.n = m.n + 1)
+SELECT document_id, key, told AS status, error, tm AS "at" FROM m WHERE error IS NOT NULL UNION ALL SELECT document_id, key, arg_max(now, n), NULL, NULL FROM m GROUP BY document_id, key HAVING arg_max(now, n) <> 'none'"""
+)
+def action_changes(spark, d):
+    """Actions after a log of generations and edits, and the edits that had no effect."""
+    e, n = F.col("event_id"), F.col("event_id") % 5
+    made = e % 3 == 0
+    status = F.when(F.col("event_type") == "view", "completed").when(F.col("event_type") == "click", "in_progress").when(F.col("event_type") == "signup", "dismissed").when(F.col("event_type") == "error", "odd").otherwise("pending")
+    rows = read(spark, d, "events", "event_id", "ts", "user_id", "event_type").select(
+        F.col("user_id").cast("string").alias("document_id"), F.date_trunc("hour", "ts").alias("at"), F.when(made, "generated").otherwise("edit").alias("kind"), F.when(made, n.cast("int")).alias("action_ord"), F.concat(F.lit("Check  item "), n.cast("string")).alias("action"),
+        F.lit("low").alias("priority"), F.lit(None).cast("date").alias("due_date"), F.when(~made, status).alias("status"), F.when(made, F.when(n == 4, "user").otherwise("ai")).alias("source"), null().alias("reason"),
+    )
+    folded = changes.fold(rows)
+    return folded.select("document_id", action_key(F.col("action")).alias("key"), "status", "error", F.when(F.col("error").isNotNull(), F.col("created_at")).alias("at"))
