@@ -218,12 +218,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: What tells rows apart: doc_id (the least number stands for null) and a hash of the text. Rows that share both have equal texts, but for one chance in 2^64 among the rows of one doc_id.
+def turned(number: Column) -> Column:
+    """A long whose order is the opposite, for all longs; twice gives the number back, null stays null."""
+    return F.bitwise_not(number)
+
+
+#: What tells rows apart: doc_id (the least number stands for null, and the hash then has another seed) and a hash of the text. Rows that share both have equal texts, but for one chance in 2^64 among the rows of one doc_id.
 ROW = ["_k", "_h"]
 
 
 def row_key(doc_id: Column, text: Column) -> list[Column]:
-    return [F.coalesce(doc_id.cast("long"), F.lit(-(1 << 63))).alias("_k"), F.xxhash64(F.coalesce(text.cast("string"), F.lit(""))).alias("_h")]
+    said = F.coalesce(text.cast("string"), F.lit(""))
+    return [F.coalesce(doc_id.cast("long"), F.lit(-(1 << 63))).alias("_k"), F.when(doc_id.isNull(), F.xxhash64(said, F.lit(0))).otherwise(F.xxhash64(said)).alias("_h")]
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -244,10 +250,25 @@ def keep_rows(docs: DataFrame, kept: DataFrame, often: str | None = None) -> Dat
     return rows.select(*names).toDF(*docs.columns)
 
 
+#: Parts of the hash range of which at_most counts the rows.
+PARTS = 1 << 16
+
+
 def at_most(rows: DataFrame, most: int, column: str = "doc_id") -> DataFrame:
-    """The rows whose `column` hashes least, `most` at most: all of them where there are no more. The sort is Spark's top-k, a list of `most` a task; only larger tables get one."""
+    """The rows whose `column` hashes least, `most` at most: all of them where there are no more. The cutoff comes out of a histogram of
+    PARTS counts; only the rows of the part that it falls into are sorted, a PARTS-th of all (more by as many as share one value)."""
     rows = written(rows)
-    return rows if rows.count() <= most else written(rows.orderBy(F.xxhash64(column), column).limit(most))
+    if rows.count() <= most:
+        return rows
+    part = F.shiftrightunsigned(F.xxhash64(column), 48).cast("int")
+    left, cut = most, 0
+    for p, n in sorted((r[0], r[1]) for r in rows.groupBy(part.alias("p")).count().collect()):  # PARTS numbers
+        cut = p
+        if n > left:
+            break
+        left -= n
+    rest = rows.where(part == cut).orderBy(F.shiftrightunsigned(F.xxhash64(column), 0), column).limit(left)
+    return written(rows.where(part < cut).unionByName(rest))
 
 
 def salt(column: str, of: int = 256) -> Column:

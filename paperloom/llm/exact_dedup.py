@@ -77,7 +77,7 @@ def _groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     near = F.coalesce("doc_id", F.lit(0)).alias("_near")
     unsure = made.select(near, "text_sha256", F.explode("recipe").alias("id")).join(clash, "id", "left_semi").select("_near", "text_sha256").distinct().withColumn("unsure", F.lit(True))
     own = made.select("*", near).join(unsure, ["_near", "text_sha256"], "left").select("doc_id", "_h", "code_points", "text_sha256", "recipe", F.when(F.col("unsure"), F.col("digests")).otherwise(F.array().cast("array<binary>")).alias("verified"), C.salt("doc_id", SALTS).alias("salt"))
-    return own, own.groupBy("recipe", "verified", "salt").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("code_points", (-F.col("doc_id")).alias("neg"), "_h")).alias("best"))
+    return own, own.groupBy("recipe", "verified", "salt").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("code_points", C.turned(F.col("doc_id")).alias("neg"), "_h")).alias("best"))
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
@@ -85,7 +85,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     own, parts = _groups(docs)
     key = ["recipe", "verified"]
     whole = parts.groupBy(*key).agg(F.sum("n").alias("group_size"), F.max("best").alias("best"))
-    spread = parts.select(*key, "salt").join(whole, key).select(*key, "salt", "group_size", (-F.col("best.neg")).alias("keep_id"))
+    spread = parts.select(*key, "salt").join(whole, key).select(*key, "salt", "group_size", C.turned(F.col("best.neg")).alias("keep_id"))
     return own.join(spread, [*key, "salt"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", F.size("recipe").cast("long").alias("n_chunks"))
 
 
@@ -93,7 +93,7 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     """One row of each group of equal texts, with the columns of docs: the one that exact_dedup keeps; of several of its doc_id, one of them."""
     _, parts = _groups(docs)
     best = parts.groupBy("recipe", "verified").agg(F.max("best").alias("best"))
-    return C.keep_rows(docs, best.select(F.coalesce(-F.col("best.neg"), F.lit(-(1 << 63))).alias("_k"), F.col("best._h").alias("_h")))
+    return C.keep_rows(docs, best.select(F.coalesce(C.turned(F.col("best.neg")), F.lit(-(1 << 63))).alias("_k"), F.col("best._h").alias("_h")))
 
 
 def query(spark, sf_dir):

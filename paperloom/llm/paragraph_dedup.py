@@ -15,8 +15,8 @@ first stays. Others that touch are one run, and its ends are moved outwards over
 equal beside the first occurrence too. Runs that stay below LEAST_PASSAGE words are left alone.
 
 Defined results: null and empty texts have no paragraphs; words are compared with A-Z lower-cased;
-lines of fewer than LEAST_WORDS words go only as part of a passage (one changed word takes their
-shingles below the threshold, and license and heading lines are no copies of a text); a paragraph
+lines of fewer than LEAST_WORDS words go only as part of a passage; a very long text is one row like
+others; a paragraph
 that repeats within its own document is removed there too; a removed unit goes from its first word's
 first byte to its last word's last; rows that repeat a doc_id are documents of their own if their
 texts differ, and share one result otherwise; a null doc_id is before all others; an empty table
@@ -41,7 +41,7 @@ N, NUM, DEN, RECALL = 5, 4, 5, 0.999
 #: Shingles of which the least is a cut, and words of such a shingle.
 WINDOW, SEED = 18, 10
 #: Words of a paragraph and of a passage, at least.
-LEAST_WORDS, LEAST_PASSAGE = 20, 2 * WINDOW + SEED - 1
+LEAST_WORDS, LEAST_PASSAGE = 12, 2 * WINDOW + SEED - 1
 #: Words that are compared beside a run: of 2 * WINDOW more equal ones, some would be a piece.
 BESIDE = 2 * WINDOW
 _LOWER = np.arange(256, dtype=np.uint8)

@@ -151,8 +151,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     C.forget(left)
     # full length: contexts that occur twice, then the windows of those that don't
     contexts = C.written(left2.groupBy("class", "name", "near", "far").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*C.ROW, "a")).alias("at")))
-    whole = contexts.where("n > 1").select("name")
-    settled = C.written(left2.join(whole, "name", "left_semi").select(*C.ROW, (F.col("a") - F.col("far")).alias("lo"), (F.col("a") - F.col("near") + length).alias("hi")), release=True)
+    whole = contexts.where("n > 1").select("class", "name")
+    settled = C.written(left2.join(whole, ["class", "name"], "left_semi").select(*C.ROW, (F.col("a") - F.col("far")).alias("lo"), (F.col("a") - F.col("near") + length).alias("hi")), release=True)
     C.forget(left2)
     mixed = contexts.groupBy("class").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least")).where("k > 1 AND least = 1").select("class")
     want = contexts.join(mixed, "class", "left_semi").select("at._k", "at._h", F.struct(F.col("at.a").alias("a"), "near", "far", "class", (F.col("n") > 1).alias("settled")).alias("want"))

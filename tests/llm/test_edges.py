@@ -231,3 +231,25 @@ def test_strength_of_l1_by_an_inner_part():
         losses[l1] = -np.mean([np.log(a if b else 1 - a) for a, b in zip(p, y[judge], strict=True)])
     assert toxicity.strength(x, y, judge) == min(losses, key=lambda k: (losses[k], -k))
     assert toxicity.strength(x, y * 0, judge) == toxicity.L1 and toxicity.strength(x, y, judge & False) == toxicity.L1
+
+
+def test_the_least_id_is_no_null(spark):
+    """doc_id of the least long is an id like others, apart from rows without one."""
+    text, low = words(150, 77), -(1 << 63)
+    docs = table(spark, [(low, text), (None, text), (3, text), (low, "alone"), (None, "alone")])
+    got = {(r.doc_id, r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(docs).collect()}
+    assert got == {(low, low, 3), (None, low, 3), (3, low, 3), (low, low, 2), (None, low, 2)}
+    assert sorted((r.doc_id, r.text) for r in exact_dedup.drop_copies(docs).collect()) == sorted([(low, text), (low, "alone")])
+    assert suffix_dedup.remove_repeats(docs).count() == 5
+    keys = docs.select(*common.row_key(F.col("doc_id"), F.col("text"))).distinct().count()
+    assert keys == 5
+
+
+def test_at_most(spark):
+    """The rows whose key hashes least, whatever the limit; keys that many rows share."""
+    rows = spark.range(3000).select((F.col("id") % 1000).alias("doc_id"), F.lit("x").alias("y"))
+    order = [r[0] for r in rows.select("doc_id").orderBy(F.shiftrightunsigned(F.xxhash64("doc_id"), 48), F.shiftrightunsigned(F.xxhash64("doc_id"), 0)).collect()]
+    for most in (1, 7, 100, 2999):
+        got = sorted(r.doc_id for r in common.at_most(rows, most).collect())
+        assert len(got) == most and set(got) <= set(order) and collections.Counter(got) - collections.Counter(order) == collections.Counter()
+    assert common.at_most(rows, 3000).count() == 3000
