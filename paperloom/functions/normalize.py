@@ -129,10 +129,23 @@ def field_kind(name: Column) -> Column:
     return F.when(_any(n, DATE_NAMES), "date").when(_any(n, NUMBER_NAMES) | ends, "number").when(n == "currency", "currency").when(_any(n, EMAIL_NAMES), "email").when(_any(n, PHONE_NAMES), "phone").otherwise("text")
 
 
+#: Values that are their own normal form, or nearly so: numerals of at most 15 digits, two behind the point; dates; words with single spaces between.
+_PLAIN_NUMBER, _PLAIN_DATE, _PLAIN_TEXT = r"^-?([1-9][0-9]{0,12}(\.[0-9]{1,2})?|0)$", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$", r"^[A-Za-z0-9._#/-]+( [A-Za-z0-9._#/-]+)*$"
+
+
+def field_of(kind: Column, value: Column) -> Column:
+    """The normal form of a value of a kind. Plain values, nearly all there are, take expressions that Spark compiles; the rest go through lambdas, which it doesn't."""
+    rest = F.when(kind == "date", date(value)).when(kind == "number", number(value)).when(kind == "currency", currency(value)).when(kind == "email", email(value)).when(kind == "phone", phone(value)).otherwise(text(value))
+    numeral = F.when(F.instr(value, ".") > 0, F.regexp_replace(value, r"\.?0+$", "")).when(value == "-0", "0").otherwise(value)
+    return (
+        F.when(value.isNull(), _result(F.lit(None))).when((kind == "number") & value.rlike(_PLAIN_NUMBER), _result(numeral))
+        .when((kind == "date") & value.rlike(_PLAIN_DATE) & F.try_to_timestamp(value, F.lit("yyyy-MM-dd")).isNotNull(), _result(value)).when((kind == "text") & value.rlike(_PLAIN_TEXT), _result(value)).otherwise(rest)
+    )
+
+
 def field(name: Column, value: Column) -> Column:
     """The normal form of a field's value by the kind that its name has."""
-    made = lambda kind: F.when(kind == "date", date(value)).when(kind == "number", number(value)).when(kind == "currency", currency(value)).when(kind == "email", email(value)).when(kind == "phone", phone(value)).otherwise(text(value))
-    return F.when(value.isNull(), _result(F.lit(None))).otherwise(let(field_kind(name), made))
+    return let(field_kind(name), lambda kind: field_of(kind, value))
 
 
 def action_key(c: Column) -> Column:

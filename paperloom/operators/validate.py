@@ -2,8 +2,8 @@
 
 Every rule computes its own flag; the last rule that speaks decides a field's status, in the order
 base, conflict, format, required, dates, line math, subtotal, tax, total. Rules on a name look at the
-last field of that name (field_ord). Fields are shuffled once, by document; conflicts, facts and line
-items are windows over that, and placeholders come out of a document's first row.
+last field of that name (field_ord). Fields are shuffled once, by document, and sorted once; conflicts, facts
+and line items are windows over that order, and placeholders come out of a document's first row.
 """
 
 from __future__ import annotations
@@ -45,9 +45,13 @@ def tax_expected(subtotal: Column, rate: Column) -> Column:
 
 
 def normalize_fields(fields: DataFrame) -> DataFrame:
-    made = fields.withColumn("_n", N.field(F.col("field_name"), F.col("field_value")))
+    made = fields.withColumn("_kind", N.field_kind(F.col("field_name"))).withColumn("_n", N.field_of(F.col("_kind"), F.col("field_value")))
     base = F.when(F.col("field_value").isNull() | ~F.col("_n.failed"), "valid").otherwise("needs_review")
-    return made.withColumns({"normalized_value": F.col("_n.value"), "_base": base, "_base_message": F.when(base != "valid", F.coalesce("_n.message", F.lit("Field format is invalid or ambiguous.")))}).drop("_n")
+    return made.withColumns({"normalized_value": F.col("_n.value"), "_base": base, "_base_message": F.when(base != "valid", F.coalesce("_n.message", F.lit("Field format is invalid or ambiguous.")))}).drop("_n", "_kind")
+
+
+#: Fields of one name; their line number follows from the name, so rows in order of document, line and name serve all windows.
+_NAMED = ("document_id", "_idx", "_lname")
 
 
 def _conflicts(s: Settings) -> Column:
@@ -56,21 +60,24 @@ def _conflicts(s: Settings) -> Column:
     out = name.startswith("line_item_") | name.startswith("agreement_") | name.startswith("identity_doc_")
     if not s.legacy:
         out = out | name.startswith("id_doc_")
-    values = F.array_sort(F.collect_set("normalized_value").over(Window.partitionBy("document_id", "_lname")))
-    return F.when(~out & (F.size(values) > 1), values)
+    named = Window.partitionBy(*_NAMED)
+    many = ~out & (F.min("normalized_value").over(named) < F.max("normalized_value").over(named))
+    # nothing is collected where all are alike
+    return F.when(many, F.array_sort(F.collect_set(F.when(~out, F.col("normalized_value"))).over(named)))
 
 
 def validate(fields: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """The fields with normalized_value, validation_status and validation_message, and placeholders for what is missing."""
     columns = [c for c in fields.columns if c not in ("normalized_value", "validation_status", "validation_message")]
-    document, named, line = Window.partitionBy("document_id"), Window.partitionBy("document_id", "_lname"), Window.partitionBy("document_id", "_idx")
+    document, line = Window.partitionBy("document_id"), Window.partitionBy("document_id", "_idx")
     name, order, normal = F.col("_lname"), F.col("field_ord"), F.col("normalized_value")
-    rows = normalize_fields(fields).withColumn("_lname", F.lower("field_name")).repartition("document_id")
-    rows = rows.withColumns({"_values": _conflicts(s), "_last": order.eqNullSafe(F.max(order).over(named)), "_idx": F.regexp_extract("_lname", _LINE, 1), "_prop": F.regexp_extract("_lname", _LINE, 2)})
+    rows = normalize_fields(fields).withColumn("_lname", F.lower("field_name")).withColumns({"_idx": F.regexp_extract("_lname", _LINE, 1), "_prop": F.regexp_extract("_lname", _LINE, 2)})
+    rows = rows.repartition("document_id").sortWithinPartitions(*_NAMED)  # the only sort: every window's order is a part of it
+    rows = rows.withColumns({"_values": _conflicts(s), "_last": order.eqNullSafe(F.max(order).over(Window.partitionBy(*_NAMED)))})
     part = lambda p: F.max_by(F.when(F.col("_prop") == p, normal), F.when(F.col("_prop") == p, order)).over(line)
     fact = lambda n: F.max_by(F.when(name == n, F.struct("normalized_value", "field_value")), F.when(name == n, order)).over(document)
     rows = rows.withColumns({f"_p_{p}": part(p) for p in ("quantity", "unit_price", "line_total")})
-    rows = rows.withColumns({f"f_{n}": fact(n) for n in _FACTS} | {"_lines": F.sum(F.when(F.col("_last") & (F.col("_prop") == "line_total"), money(normal))).over(document), "_first": F.row_number().over(document.orderBy("field_ord")) == 1})
+    rows = rows.withColumns({f"f_{n}": fact(n) for n in _FACTS} | {"_lines": F.sum(F.when(F.col("_last") & (F.col("_prop") == "line_total"), money(normal))).over(document), "_first": F.row_number().over(document.orderBy("_idx", "_lname")) == 1})
     amount = lambda n: money(F.col(f"f_{n}.normalized_value"))
     has, value = lambda n: F.col(f"f_{n}").isNotNull(), lambda n: F.col(f"f_{n}.field_value")
     rate, zero = F.col("f_tax_rate.normalized_value").try_cast("decimal(18,4)"), F.lit(0).cast("decimal(18,2)")
@@ -114,7 +121,7 @@ def validate(fields: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     is_invoice, is_form = F.col("document_type") == "invoice", F.col("document_type") == "onboarding_form"
     added = [missing(is_invoice & ~has(n), i, n, "invoice_metadata", f"Required invoice field '{n}' is missing.") for i, n in enumerate(REQUIRED_INVOICE)]
     added += [missing(is_form & ~has("full_name"), 4, "full_name", "personal_information", "Required full name is missing."), missing(is_form & neither & ~has("email") & ~has("phone"), 5, "email", "contact_information", _NO_CONTACT)]
-    every = F.array_compact(F.array(F.struct(*out), *added))
+    every = F.when(F.col("_first"), F.array_compact(F.array(F.struct(*out), *added))).otherwise(F.array(F.struct(*out)))
     return own.select(F.explode(every).alias("r")).select("r.*")
 
 
