@@ -13,34 +13,64 @@ whatever their names.
 
 from __future__ import annotations
 
+import functools
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from paperloom.llm import common, exact_dedup, jaccard_join, mixing, packing, quality
 from paperloom.session import delete, ensure_workers, own_folder
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Tables in between of the last stage, by application: its result is read from them until it is written.
+_LEFT: dict[str, list[str]] = {}
 
+
+def stage(work: Stage, first: bool = False) -> Stage:
+    """A stage begins when its predecessor's result is written, so it deletes what that one's tables in between still hold. The first one
+    has no predecessor: the last stage of another run may not be written yet."""
+
+    @functools.wraps(work)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        app = spark.sparkContext.applicationId
+        left = _LEFT.pop(app, [])
+        for path in [] if first else left:
+            delete(spark, path)
+        with common.kept_tables() as made:
+            try:
+                return work(spark, docs, sf_dir)
+            finally:
+                _LEFT[app] = made
+
+    return run
+
+
+@functools.partial(stage, first=True)
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base rules nor the risk-controlled cutoffs of their language reject."""
     return quality.keep_good(docs, common.table(spark, sf_dir, "labels"))
 
 
+@stage
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each text, white space aside."""
     return exact_dedup.drop_copies(docs)
 
 
+@stage
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by five-word shingles."""
     return jaccard_join.keep_one(docs)
 
 
+@stage
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the target weights of the languages ask for."""
     return mixing.mixed(docs, mixing.languages(docs, common.table(spark, sf_dir, "labels")), mixing.TARGETS)
 
 
+@stage
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their places in sequences of 4096 tokens."""
     return packing.pack(docs)
@@ -56,11 +86,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
     ensure_workers(spark)
     docs, before = common.table(spark, sf_dir, "documents"), None
-    for name, stage in STAGES[:-1]:
+    for name, step in STAGES[:-1]:
         path = f"{own_folder(spark)}/{uuid.uuid4().hex}-{name}"
-        with common.scratch(spark):  # what a stage writes in between goes when its result is written
-            made = stage(spark, docs, sf_dir)
-            made.write.parquet(path)
+        made = step(spark, docs, sf_dir)
+        made.write.parquet(path)
         docs = spark.read.schema(made.schema).parquet(path)
         if before:
             delete(spark, before)

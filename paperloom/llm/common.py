@@ -176,6 +176,17 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             delete(spark, path)
 
 
+@contextmanager
+def kept_tables() -> Iterator[list[str]]:
+    """The paths of the tables written inside, which stay: a result is still read from them."""
+    made: list[str] = []
+    _SCRATCH.append(made)
+    try:
+        yield made
+    finally:
+        del _SCRATCH[next(i for i, own in enumerate(_SCRATCH) if own is made)]
+
+
 def written(df: DataFrame, release: bool = False, out: bool = False) -> DataFrame:
     """The rows, written once to the shared folder and read from there: later steps don't run what made them again, and a lost executor loses nothing.
 
