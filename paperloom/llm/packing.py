@@ -1,14 +1,12 @@
 """Best-fit packing of tokenised documents into sequences of at most `capacity` tokens.
 
-Bulk-synchronous best fit. Documents are range-sorted by descending length, and each gets its rank
-among the pieces of its length from per-partition counts. The state of a round is the sorted list
-of document lengths and gaps with the number of each: at most `capacity` of both, whatever the
-input, so it is small by construction and the documents themselves never leave the executors. A
-round sweeps from the longest length down: the pieces of a length go to the smallest gaps that
-take them (the successor), rank decides which piece gets which of equal gaps, filled gaps shrink,
-and what finds no gap opens sequences; the sweep ends when every length is placed, with the result
-of best-fit decreasing. Matches are intervals of ranks, at most a few per length, and pieces find
-theirs by a join on (length, interval).
+Best-fit decreasing over a histogram. Documents are sorted by length in ranges, and each gets its rank
+among the pieces of its length from counts by partition. How many pieces have each length goes to the driver, at
+most `capacity` numbers whatever the input, and a sequential loop there sweeps from the longest length
+down: the pieces of a length go to the smallest gaps that take them, rank decides which piece gets
+which of equal gaps, filled gaps shrink, and what finds no gap opens sequences. This replaces distributed rounds
+with conflicts and gap updates, and gives best-fit decreasing exactly. Placements are intervals of ranks, a
+few for each length, and pieces find theirs by a join on (length, interval); documents never leave the executors.
 
 Defined results: null text is empty, which is one piece of the end token alone; only documents of
 more than `capacity` tokens are cut; rows that repeat a doc_id are packed each on their own; an
