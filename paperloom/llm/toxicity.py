@@ -6,9 +6,11 @@ a document has each of its features once. Training is sequential
 FTRL-proximal with per-coordinate rates and L1, over a bounded sample of labelled rows; the weights
 that L1 leaves are few and are sent to all workers, which score whole texts.
 
-Training is one task, over MOST_ROWS labelled rows with all their features; everything else is spread.
-The strength of L1 is chosen among L1S by the log loss of a fifth of those rows, which are all
-learnable: held-out rows take no part.
+Training is one task, over MOST_ROWS labelled rows of MOST_BYTES of text at most, with all their
+features; everything else is spread. The strength of L1 is chosen among L1S by the log loss of a fifth
+of those rows, which are all learnable. STEMS, ALPHA and PASSES were chosen the same way, by the log
+loss of a fifth of the learnable rows; MOST_ROWS and MOST_BYTES say what one task can hold and are
+no choice by quality. Held-out rows take no part in any of them.
 
 Defined results: null and empty texts have the bias alone; without labels of both kinds every score
 is the share of toxic labels (0.5 without any); null labels and labels that contradict each other
@@ -30,10 +32,12 @@ from . import common as C
 BITS, THRESHOLD = 20, 0.7
 STEMS = (4, 5, 6, 7, 8)
 #: Labelled rows that training takes at most: those with the smallest hash of doc_id.
-MOST_ROWS = 12000
+MOST_ROWS = 1 << 14
+#: Bytes of their texts at most, by rising hash: a row that no longer fits is passed over. A byte of text makes 16 bytes of features at most.
+MOST_BYTES = 64 << 20
 #: Places that fewer sampled rows have are not learned; 1 learns all.
 LEAST_ROWS = 1
-ALPHA, BETA, L2, PASSES = 1.0, 1.0, 1e-3, 5
+ALPHA, BETA, L2, PASSES = 1.0, 1.0, 1e-3, 3
 #: L1 to choose from, and the one where there is nothing to choose by.
 L1S, L1 = (1.0, 2.0, 3.0, 4.0), 3.0
 #: One of so many learnable rows judges the choice of L1.
@@ -118,7 +122,17 @@ def _train(t: pa.Table) -> pa.Table:
     return pa.table({"place": pa.array(place.astype(np.int64)), "weight": pa.array(w[place])})
 
 
-def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> dict[int, float]:
+def fitting(sizes: list[tuple[int, int]], most_bytes: int) -> list[int]:
+    """Of (hash, bytes), the hashes that fit into most_bytes, taken by rising hash; one that doesn't fit any more is passed over."""
+    out, left = [], most_bytes
+    for h, size in sorted(sizes):
+        if size <= left:
+            out.append(h)
+            left -= size
+    return out
+
+
+def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, most_bytes: int = MOST_BYTES) -> dict[int, float]:
     """Weights by place; place 2^BITS is the bias. labels: doc_id, y."""
     clear = labels.where("doc_id IS NOT NULL AND y IS NOT NULL").groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z").select("doc_id", F.col("y").cast("double").alias("y"), F.xxhash64("doc_id").alias("h"))
     sample = C.at_most(clear, most_rows)
@@ -127,6 +141,10 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> dic
         p = min(max(0.5 if share is None else share, 1e-6), 1 - 1e-6)
         return {1 << BITS: float(np.log(p / (1 - p)))}
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(sample), "doc_id")  # at most most_rows rows of three numbers
+    sizes = [(r[0], r[1] or 0) for r in texts.groupBy("h").agg(F.sum(F.octet_length("text"))).collect()]  # at most most_rows pairs
+    if sum(size for _, size in sizes) > most_bytes:
+        fit = docs.sparkSession.createDataFrame([(h,) for h in fitting(sizes, most_bytes)], "h long")
+        texts = texts.join(F.broadcast(fit), "h", "left_semi")
     made = texts.select("y", "h", "text").mapInArrow(_featured, "y double, h long, x array<int>")
     return {r[0]: r[1] for r in made.withColumn("one", F.lit(1)).groupBy("one").applyInArrow(_train, "place long, weight double").collect()}
 

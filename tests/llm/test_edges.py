@@ -233,6 +233,20 @@ def test_strength_of_l1_by_an_inner_part():
     assert toxicity.strength(x, y * 0, judge) == toxicity.L1 and toxicity.strength(x, y, judge & False) == toxicity.L1
 
 
+def test_toxicity_bytes(spark):
+    """Training stays within its bytes: rows by rising hash, a text too long for the rest is passed over, and none that fits after it."""
+    assert toxicity.fitting([(3, 5), (-1, 6), (2, 90), (1, 4)], 10) == [-1, 1]
+    assert toxicity.fitting([(3, 5), (-1, 6), (2, 90), (1, 2)], 13) == [-1, 1, 3]
+    assert toxicity.fitting([], 10) == []
+    rows = [(i, f"{'vile' if i % 2 else 'kind'} word{i % 7} " * 3) for i in range(60)]
+    docs = spark.createDataFrame([*rows, (1000, "vile " * 50000), (1000, "vile again"), (1001, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(1000, 0), (1001, 0)], "doc_id long, y int")
+    whole = toxicity.train(docs, labels)
+    without = toxicity.train(docs, labels.where("doc_id <> 1000"))
+    assert toxicity.train(docs, labels, most_bytes=100_000) == without != whole
+    assert toxicity.train(docs, labels, most_bytes=0).keys() == {1 << toxicity.BITS}
+
+
 def test_the_least_id_is_no_null(spark):
     """doc_id of the least long is an id like others, apart from rows without one."""
     text, low = words(150, 77), -(1 << 63)
