@@ -10,6 +10,7 @@ from ..functions.text import blank, strip
 from ..settings import DEFAULT, Settings
 from .classify import clamped
 from .layout import crop_box, union_box
+from .postings import holding
 from .validate import validate
 
 _ANSWER = "struct<value:string,confidence:string,source_text:string,reason:string>"
@@ -32,14 +33,31 @@ def candidates(fields: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     return fields.withColumn("candidate_reason", candidate_reason(s)).where("candidate_reason IS NOT NULL")
 
 
-def locate(fields: DataFrame, blocks: DataFrame, sections: DataFrame) -> DataFrame:
-    """fields with crop: around the blocks whose text holds the source text (or is held by it, or holds the value), else the section's box, else the box of its blocks."""
+#: Pages of more blocks look for texts by postings; on smaller ones each field is compared with each block, which costs less there.
+MANY_BLOCKS = 1000
+
+
+def _posted(own: DataFrame, blocks: DataFrame, page: list[str]) -> DataFrame:
+    """Boxes of the blocks that hit a field, by postings: _t or _v in a block, or a block in _t."""
+    fields = own.join(blocks.select(*page).distinct(), page, "left_semi")
+    words = fields.select(*page, "field_ord", F.explode(F.array("_t", F.when(F.length("_v") >= 3, F.col("_v")))).alias("_w"))
+    down = holding(words.withColumnRenamed("_w", "sought"), blocks.withColumnRenamed("_b", "text"), page).withColumnsRenamed({"sought": "_w", "text": "_b"})
+    up = holding(blocks.withColumnRenamed("_b", "sought"), fields.withColumnRenamed("_t", "text"), page).withColumnsRenamed({"sought": "_b", "text": "_t"})
+    hits = words.join(down, [*page, "_w"]).select(*page, "field_ord", "_b").unionByName(fields.join(up, [*page, "_t"]).select(*page, "field_ord", "_b")).distinct()
+    return hits.join(blocks, [*page, "_b"])
+
+
+def locate(fields: DataFrame, blocks: DataFrame, sections: DataFrame, many: int = MANY_BLOCKS) -> DataFrame:
+    """fields with crop: around the blocks whose text holds the source text (or is held by it, or holds the value), else the section's box, else the box of its blocks. Pages of more than `many` blocks go by postings, with the same result."""
     text, value = F.lower(strip(F.coalesce("source_text", F.lit("")))), F.lower(strip(F.coalesce("field_value", F.lit(""))))
     page = ["document_id", "page_number"]
     own = fields.select(*page, "field_ord", "section_name", text.alias("_t"), value.alias("_v"))
     b = blocks.select(*page, "block_index", F.lower(strip(F.col("text"))).alias("_b"), "bbox.*")
     hit = ((F.col("_t") != "") & (F.col("_b") != "") & (F.col("_b").contains(F.col("_t")) | F.col("_t").contains(F.col("_b")))) | ((F.length("_v") >= 3) & F.col("_b").contains(F.col("_v")))
-    first = own.join(b, page).where(hit).groupBy("document_id", "field_ord").agg(union_box(None).alias("_one"))
+    counted = b.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*page)))  # dealt by page, as the join needs it
+    box = ["document_id", "field_ord", "x", "y", "width", "height"]
+    hits = own.join(counted.where(F.col("_n") <= many), page).where(hit).select(*box).unionByName(_posted(own, counted.where(F.col("_n") > many).drop("_n"), page).select(*box))
+    first = hits.groupBy("document_id", "field_ord").agg(union_box(None).alias("_one"))
     around = sections.select("document_id", "section_ord", "page_number", F.explode("block_ids").alias("block_index")).join(b.drop("_b"), [*page, "block_index"]).groupBy("document_id", "section_ord").agg(union_box(None).alias("_blocks"))
     boxed = sections.join(around, ["document_id", "section_ord"], "left")
     box = F.when((F.col("bbox.width") > 0) & (F.col("bbox.height") > 0), F.col("bbox"))
