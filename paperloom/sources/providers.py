@@ -6,7 +6,7 @@ from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -99,6 +99,8 @@ class OcrProvider(ABC):
 class ReplayOcr(OcrProvider):
     """Tokens out of a table."""
 
+    name = "replay"
+
     def __init__(self, table: DataFrame):
         self.table = table
 
@@ -106,7 +108,48 @@ class ReplayOcr(OcrProvider):
         return self.table.join(pages.select("document_id", "page_number"), ["document_id", "page_number"], "left_semi")
 
 
-def binary_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Uploads in a folder: document_id (hash of the path), filename, file_size, content."""
-    rows = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-    return rows.select(F.sha2("path", 256).alias("document_id"), F.element_at(F.split("path", "/"), -1).alias("filename"), F.col("length").alias("file_size"), "content")
+class BatchedOcr(OcrProvider):
+    """Reads pages by a function on lists of (document_id, page_number, image): it gives for each page a list of tokens, dicts with names of schemas.TOKENS.
+    A page that fails gets an error and no other one of its batch."""
+
+    name = "batched"
+
+    def __init__(self, call: Callable[[list], list], tries: int = 1):
+        self.call, self.tries = call, tries
+
+    def read(self, pages: DataFrame) -> DataFrame:
+        """schemas.TOKENS with an error column; a page without words gives no rows, one that can't be read a row with its error alone. Write it before it
+        is used twice: each use reads the pages anew."""
+        call, tries = self.call, self.tries
+        names = [part.split()[0] for part in schemas.TOKENS.split(", ")]
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                asked = list(zip(b["document_id"], b["page_number"], b["image"], strict=True))
+                out = []
+                for (document, number, _), (tokens, error) in zip(asked, bisected(call, asked, tries), strict=True):
+                    if error is not None:
+                        out.append(dict.fromkeys(names) | {"document_id": document, "page_number": number, "error": error})
+                    for i, t in enumerate(tokens or []):
+                        out.append(dict.fromkeys(names) | {k: t[k] for k in names if k in t} | {"document_id": document, "page_number": number, "token_ord": i, "error": None})
+                yield pd.DataFrame(out, columns=[*names, "error"]).astype({c: "Int32" for c in names if c not in ("document_id", "conf", "text")})
+
+        return pages.select("document_id", "page_number", "image").mapInPandas(run, f"{schemas.TOKENS}, error string")
+
+    def tokens(self, pages: DataFrame) -> DataFrame:
+        return self.read(pages).where("error IS NULL").drop("error")
+
+    def errors(self, pages: DataFrame) -> DataFrame:
+        """document_id, page_number and error of pages that can't be read."""
+        return self.read(pages).where("error IS NOT NULL").select("document_id", "page_number", "error")
+
+
+def engine(made: dict[str, Callable[[], OcrProvider]], name: str) -> OcrProvider:
+    """The provider of this name; an unknown or unavailable one is an error that says why."""
+    if name not in made:
+        raise ValueError(f"unknown engine {name!r}: one of {', '.join(sorted(made))}")
+    own = made[name]()
+    good, why = own.available()
+    if not good:
+        raise RuntimeError(f"engine {name!r} is not available: {why}")
+    return own
