@@ -9,6 +9,8 @@ block. Records grow with rows, and a block's size has a bound.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -47,14 +49,26 @@ def grouped(entries: DataFrame, found: DataFrame) -> DataFrame:
     return now.join(several, "key")
 
 
-def by_length(now: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows with long (whether their column has more than LONG rows); and, with the column as `to`, (sid, to) of the rows in long columns whose component has up to SMALL rows.
+def by_length(now: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows with long (whether their column has more than LONG rows), and (sid, to), twice, for the rows in long columns whose component has up
+    to SMALL rows: those to compare, and those to compare them with.
 
-    In a long column such rows may be many that don't link with each other; they are multiplied with
-    one another in blocks, where candidates would be their pairs."""
+    A column of more than LONG rows is first divided by size. Rows that link have sizes of num to den or closer, which lie in one band or in two that
+    follow each other; so a row is in the column of its own band, and a guest in that of the next. Bands are a little wider than den to num, so rounding loses nothing.
+    Small components that are still many in one column may be many that don't link with each other; they are multiplied with
+    one another in blocks, where candidates would be their pairs. Guests needn't be compared with guests."""
     size = now.groupBy("key").agg(F.count(F.lit(1)).alias("_rows"))
-    rows = C.written(now.join(size, "key").withColumn("long", F.col("_rows") > LONG).drop("_rows"))
-    return rows, rows.where(F.col("long") & (F.col("size") <= SMALL)).select("sid", F.col("key").alias("to"))
+    rows = now.join(size, "key")
+    band = F.floor(F.log("n") / math.log(1.01 * den / num)).cast("int")
+    few = rows.where(F.col("_rows") <= LONG).drop("_rows").withColumns({"long": F.lit(False), "own": F.lit(True)})
+    many = rows.where(F.col("_rows") > LONG).drop("_rows").withColumn("_band", band).withColumn("_at", F.explode(F.array(F.col("_band"), F.col("_band") + 1)))
+    many = C.written(many.withColumns({"key": F.xxhash64("key", "_at"), "own": F.col("_at") == F.col("_band")}).drop("_at", "_band"))
+    size = many.groupBy("key").agg(F.count(F.lit(1)).alias("_rows"), F.min("group").alias("x"), F.max("group").alias("y"), F.max("own").alias("z")).where("x <> y AND z").select("key", "_rows")
+    many = many.join(size, "key").withColumn("long", F.col("_rows") > LONG).drop("_rows")
+    rows = C.written(few.unionByName(many), release=True)
+    alone = rows.where(F.col("long") & (F.col("size") <= SMALL))
+    one = lambda some: some.select("sid", F.col("key").alias("to"))
+    return rows, one(alone.where("own")), one(alone)
 
 
 def candidates(now: DataFrame, may: Column) -> DataFrame:

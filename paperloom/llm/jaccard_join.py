@@ -148,9 +148,8 @@ def _least(a: str, b: str) -> Column:
 
 
 def _sets(nodes: DataFrame, rows: DataFrame, reps: DataFrame, read) -> DataFrame:
-    """sid, keys: the whole sets of these rows. A text is fetched by its row key and names its set itself."""
-    need = reps.join(nodes, "sid", "left_semi").select(*C.ROW)
-    texts = rows.join(need, C.ROW, "left_semi").select("text")
+    """sid, keys: the whole sets of these rows, and few others. A text is found by its row key where it is read, and names its set itself; only sets are shuffled."""
+    texts = C.among(rows, reps.join(nodes, "sid", "left_semi").select(*C.ROW)).select("text")
     return C.written(texts.mapInArrow(read(True), _SET).select("sid", "keys").dropDuplicates(["sid"]), release=True)
 
 
@@ -226,12 +225,12 @@ def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     named = lambda links: C.written(C.components(links).select(F.col("node").alias("sid"), "component"))
     found = named(links)
     may = (DEN * F.col("n") >= NUM * F.col("n_min")) & (NUM * F.col("n") <= DEN * F.col("n_max")) & ((NUM + DEN) * (F.col("at") + F.col("at_min")) <= (DEN - NUM) * (F.col("n") + F.col("n_max")))
-    now, alone = blocked.by_length(blocked.grouped(entry.drop("p", "before"), found))
+    now, base, alone = blocked.by_length(blocked.grouped(entry.drop("p", "before"), found), NUM, DEN)
     near = C.written(blocked.candidates(now, may), release=True)
     C.forget(entry)
     pairs, wide = blocked.small(near, found, reps)
     links = links.unionByName(_verified(pairs.where(DEN * F.col("na") >= NUM * F.col("nb")), led, rows, reps, read))
-    wide, inside = C.written(wide.unionByName(alone)), C.written(blocked.members(wide, found).unionByName(alone))
+    wide, inside = C.written(wide.unionByName(base)), C.written(blocked.members(wide, found).unionByName(alone))
     sets = _sets(wide.select("sid").union(inside.select("sid")).distinct(), rows, reps, read)
     found = named(links.unionByName(C.written(blocked.links(wide, inside, sets, reps, NUM, DEN), release=True)))
     for x in (now, near, wide, inside, sets, led):

@@ -142,7 +142,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _whole(nodes: DataFrame, docs: DataFrame, first: DataFrame) -> DataFrame:
     """sid, keys: the shingles of these paragraphs."""
     want = first.join(nodes, "sid", "left_semi").groupBy(*C.ROW).agg(F.collect_list(F.struct("lo", "hi")).alias("want"))  # of one document
-    made = docs.select(*C.ROW, "text").join(want, C.ROW).select("text", "want").mapInArrow(_sets, "sid long, keys array<long>")
+    want = C.written(want)
+    made = C.among(docs.select(*C.ROW, "text"), want).join(want, C.ROW).select("text", "want").mapInArrow(_sets, "sid long, keys array<long>")
     return C.written(made.dropDuplicates(["sid"]), release=True)
 
 
@@ -270,11 +271,11 @@ def _copies(made: DataFrame, docs: DataFrame, num: int, den: int) -> DataFrame:
     named = lambda links: C.written(C.components(links).select(F.col("node").alias("sid"), "component"))
     found = named(links)
     may = (den * F.col("n") >= num * F.col("n_min")) & (num * F.col("n") <= den * F.col("n_max"))
-    now, alone = blocked.by_length(blocked.grouped(entry.drop("before", "p"), found))
+    now, base, alone = blocked.by_length(blocked.grouped(entry.drop("before", "p"), found), num, den)
     near = C.written(blocked.candidates(now, may), release=True)
     pairs, wide = blocked.small(near, found, first)
     links = links.unionByName(_verified(pairs.where(den * F.col("na") >= num * F.col("nb")).select("a", "b"), docs, first, num, den))
-    wide, inside = C.written(wide.unionByName(alone)), C.written(blocked.members(wide, found).unionByName(alone))
+    wide, inside = C.written(wide.unionByName(base)), C.written(blocked.members(wide, found).unionByName(alone))
     sets = _whole(wide.select("sid").union(inside.select("sid")).distinct(), docs, first)
     found = named(links.unionByName(C.written(blocked.links(wide, inside, sets, first, num, den).where("a <> b"), release=True)))
     place = F.struct(*C.ROW, "lo")

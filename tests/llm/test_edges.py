@@ -111,6 +111,30 @@ def test_words_that_polynomial_hashes_confuse(spark, n):
     assert len(set(common.windows(common.eights(raw)[: 2 * n - 7], n - 7)[[0, n]].tolist())) == 2
 
 
+def test_texts_are_found_where_they_are_read(spark):
+    rows = common.keyed(table(spark, [(i, f"text {i}") for i in range(2000)]))
+    need = rows.where("doc_id % 97 = 0").select(*common.ROW)
+    got = {r.doc_id for r in common.among(rows, need).collect()}
+    assert got >= {i for i in range(2000) if i % 97 == 0} and len(got) < 40
+    plan = common.among(rows, need)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("hashpartitioning") <= 1
+    assert common.among(rows, need.limit(0)).isEmpty()
+
+
+def test_long_columns_are_divided_by_size(spark, monkeypatch):
+    """Rows whose sizes rule out a link meet in no block, and all pairs whose sizes allow one meet in one."""
+    monkeypatch.setattr(blocked, "LONG", 4)
+    sizes = [1, 1, 4, 5, 5, 16, 20, 25, *range(95, 125, 3), 1000, 1249, 1250, 1250, 1600, 2000]
+    rows = spark.createDataFrame([(7, i, n, 0, i == 0, 0, i + 1, i, 1) for i, n in enumerate(sizes)], "key long, sid long, n long, at int, pivot boolean, run int, rank int, group long, size long")
+    now, base, alone = blocked.by_length(rows, 4, 5)
+    met = lambda x, y: {tuple(sorted((a, b))) for a in x for b in y if a != b}
+    some = lambda d: {r.to: set(r.sids) for r in d.groupBy("to").agg(F.collect_set("sid").alias("sids")).collect()}
+    left, right = some(base), some(alone)
+    got = set().union(*(met(x, right[k]) for k, x in left.items()), *(met(x, x) for x in some(now.where("NOT long").select("sid", F.col("key").alias("to"))).values()))
+    assert all(max(sizes[i], sizes[j]) <= 1.7 * min(sizes[i], sizes[j]) for i, j in got)
+    assert got >= {(i, j) for j, b in enumerate(sizes) for i, a in enumerate(sizes[:j]) if 5 * min(a, b) >= 4 * max(a, b)}
+
+
 def test_hot_columns(spark, monkeypatch):
     """Long columns, runs and blocks give the links that all pairs have, in the join and among paragraphs."""
     base, rows = words(120, 5).split(), []
