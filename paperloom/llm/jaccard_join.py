@@ -157,20 +157,29 @@ def _nodes(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.select(F.col(a).alias("sid")).union(pairs.select(F.col(b).alias("sid"))).distinct()
 
 
-def _verified(pairs: DataFrame, led: DataFrame, rows: DataFrame, reps: DataFrame, read) -> DataFrame:
-    """The links among pairs (a, na, b, nb): first block, bound, rest of the product."""
+def _held(led: DataFrame, entry: DataFrame) -> DataFrame:
+    """sid, keys and ats (the leading keys that several rows have, and their places), end (the last leading key, shared or not) of every row with such keys."""
+    own = entry.groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("key", "at"))).alias("held"))
+    return own.join(led.select("sid", F.element_at("keys", -1).alias("end")), "sid").select("sid", F.col("held.key").alias("keys"), F.col("held.at").alias("ats"), "end")
+
+
+def _verified(pairs: DataFrame, held: DataFrame, rows: DataFrame, reps: DataFrame, read) -> DataFrame:
+    """The links among pairs (a, na, b, nb): first block, bound, rest of the product. Keys of a single row are in no overlap; of the first block, only shared keys are sent."""
     pairs = C.written(pairs.distinct())
-    own = C.written(led.join(_nodes(pairs, "a", "b"), "sid", "left_semi").select("sid", "keys"))
-    side = lambda rows, s: rows.select(F.col("sid").alias(s), F.col("keys").alias(f"k{s}"))
-    both = pairs.join(side(own, "a"), "a").join(side(own, "b"), "b")
-    last = F.least(F.element_at("ka", -1), F.element_at("kb", -1))
-    after = lambda s: F.col(f"n{s}") - F.size(F.filter(f"k{s}", lambda v: v <= F.col("last")))
-    both = both.withColumn("last", last).where(F.size(F.array_intersect("ka", "kb")) + F.least(after("a"), after("b")) >= _least("na", "nb"))
-    left = C.written(both.select("a", "na", "b", "nb"))
+    side = lambda rows, s: rows.select(F.col("sid").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in rows.columns if c != "sid"))
+    both = pairs.join(side(held, "a"), "a").join(side(held, "b"), "b").withColumn("last", F.least("end_a", "end_b"))
+
+    def after(s: str) -> Column:  # entries behind `last`, at most: all but the leading ones, or all but those up to the last shared key before it
+        n = F.col(f"n{s}")
+        before = F.size(F.filter(f"keys_{s}", lambda v: v <= F.col("last")))
+        return F.when(F.col(f"end_{s}") == F.col("last"), F.floor((NUM * n + DEN - 1) / DEN).cast("long") - 1).when(before > 0, n - F.element_at(f"ats_{s}", before) - 1).otherwise(n)
+
+    both = both.where(F.size(F.array_intersect("keys_a", "keys_b")) + F.least(after("a"), after("b")) >= _least("na", "nb"))
+    left = C.written(both.select("a", "na", "b", "nb"), release=True)
     whole = _sets(_nodes(left, "a", "b"), rows, reps, read)
     both = left.join(side(whole, "a"), "a").join(side(whole, "b"), "b")
-    out = C.written(both.where(F.size(F.array_intersect("ka", "kb")) >= _least("na", "nb")).select("a", "b"), release=True)
-    for x in (pairs, own, left, whole):
+    out = C.written(both.where(F.size(F.array_intersect("keys_a", "keys_b")) >= _least("na", "nb")).select("a", "b"), release=True)
+    for x in (pairs, left, whole):
         C.forget(x)
     return out
 
@@ -204,6 +213,8 @@ def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     led = C.written(rows.select("text").mapInArrow(read(False), _SET).groupBy("sid").agg(F.first("n").alias("n"), F.first("keys").alias("keys")), release=True)
     entries = lambda: led.select("sid", "n", F.posexplode("keys").alias("at", "key"))
     entry = entry_table = C.written(blocked.shared(entries(), entries).select("key", "sid", "n", "at"), release=True)
+    held = C.written(_held(led, entry), release=True)
+    C.forget(led)
     # how much of a row other rows share: the source of a group of edited copies has nothing of its own
     shared = entry.groupBy("sid").agg((F.count(F.lit(1)) / F.max("n")).alias("shared"))
     entry = entry.join(shared, "sid")
@@ -221,7 +232,7 @@ def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x)).alias(x)
     pairs = pairs.where("a <> b").select(pick("a", "b"), pick("na", "nb"), pick("ia", "ib"), pick("b", "a"), pick("nb", "na"), pick("ib", "ia"))
     fits = (DEN * F.col("na") >= NUM * F.col("nb")) & (F.col("ia") + F.col("ib") <= F.col("na") + F.col("nb") - 2 * _least("na", "nb"))
-    links = _verified(pairs.where(fits).select("a", "na", "b", "nb"), led, rows, reps, read)
+    links = _verified(pairs.where(fits).select("a", "na", "b", "nb"), held, rows, reps, read)
     named = lambda links: C.written(C.components(links).select(F.col("node").alias("sid"), "component"))
     found = named(links)
     may = (DEN * F.col("n") >= NUM * F.col("n_min")) & (NUM * F.col("n") <= DEN * F.col("n_max")) & ((NUM + DEN) * (F.col("at") + F.col("at_min")) <= (DEN - NUM) * (F.col("n") + F.col("n_max")))
@@ -229,11 +240,11 @@ def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     near = C.written(blocked.candidates(now, may), release=True)
     C.forget(entry)
     pairs, wide = blocked.small(near, found, reps)
-    links = links.unionByName(_verified(pairs.where(DEN * F.col("na") >= NUM * F.col("nb")), led, rows, reps, read))
+    links = links.unionByName(_verified(pairs.where(DEN * F.col("na") >= NUM * F.col("nb")), held, rows, reps, read))
     wide, inside = C.written(wide.unionByName(base)), C.written(blocked.members(wide, found).unionByName(alone))
     sets = _sets(wide.select("sid").union(inside.select("sid")).distinct(), rows, reps, read)
     found = named(links.unionByName(C.written(blocked.links(wide, inside, sets, reps, NUM, DEN), release=True)))
-    for x in (now, near, wide, inside, sets, led):
+    for x in (now, near, wide, inside, sets, held):
         C.forget(x)
     return own, C.written(reps.join(found, "sid", "left").select("sid", "n", "row", "first_id", F.coalesce("component", "sid").alias("component")), release=True, out=True)
 
