@@ -10,9 +10,9 @@ with probability 1 - error, no stratum's rules reject more than `limit` of its g
 the cutoffs that passed, the one rejecting the most bad labelled documents is used; ties go to the
 most lenient; one that rejects no bad document isn't used at all.
 
-Any number of strata is judged. A cutoff can pass only where so many good documents are labelled that
-none of them beyond it is evidence enough (least_good), so strata with cutoffs are at most MOST_LABELLED
-over that number: a few thousand rows, whatever the documents, which go to the driver and to all tasks.
+Every labelled document counts, and any number of strata is judged. A cutoff can pass only where so many good documents are labelled that
+none of them beyond it is evidence enough (least_good), so of the strata with cutoffs, which go to all tasks, there is one for some
+hundreds of labels at most; cutoffs are chosen in tasks, by stratum.
 
 Defined results: null text has no words and fails the base rules; a null language is a stratum of
 its own; strata with few labels get no cutoffs (their documents are kept unless the base rules fail
@@ -35,8 +35,6 @@ from . import common as C
 WINDOW = 8
 #: Share of good documents that a stratum may lose, and the chance that any stratum loses more.
 LIMIT, ERROR = 0.05, 0.05
-#: Labelled documents that learning takes at most, those with the smallest hash of doc_id.
-MOST_LABELLED = 1_000_000
 SYMBOLS = b"#*$%&|<>"
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 _COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long"
@@ -170,30 +168,34 @@ def choose(counts: list[dict], names: dict[str, list[float]], limit: float = LIM
     return out
 
 
-def learn(measured: DataFrame, labels: DataFrame, limit: float = LIMIT, error: float = ERROR) -> dict[tuple[str | None, str], float]:
-    """The cutoffs by (stratum, metric)."""
+def learn(measured: DataFrame, labels: DataFrame, limit: float = LIMIT, error: float = ERROR) -> DataFrame:
+    """The cutoffs, a row for each stratum that has any: _s, and _m_<metric>, null where a metric isn't used."""
     with C.scratch(measured.sparkSession):
         return _learned(measured, labels, limit, error)
 
 
-def _learned(measured: DataFrame, labels: DataFrame, limit: float, error: float) -> dict[tuple[str | None, str], float]:
+def _learned(measured: DataFrame, labels: DataFrame, limit: float, error: float) -> DataFrame:
     made = metrics()
     clear = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).where("quality = other")
-    clear = C.at_most(clear, MOST_LABELLED)
     rows = measured.where("NOT base_failed").join(clear.select("doc_id", "quality"), "doc_id")
     sums = [F.sum(F.when((v > c) & (F.col("quality") == q), 1).otherwise(0)).alias(f"{name}_{m}_{i}") for m, (v, grid) in made.items() for i, c in enumerate(grid) for name, q in (("good", 1), ("bad", 0))]
     counts = C.written(rows.groupBy("stratum").agg(F.sum(F.when(F.col("quality") == 1, 1).otherwise(0)).alias("good"), *sums))
-    strata = counts.count()
-    enough = counts.where(F.col("good") >= least_good(strata, len(made), limit, error)).collect()  # at most MOST_LABELLED / least_good rows
-    return choose([r.asDict() for r in enough], {m: grid for m, (_, grid) in made.items()}, limit, error, strata)
+    strata, names = counts.count(), {m: grid for m, (_, grid) in made.items()}
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of = [(r["stratum"], choose([r], names, limit, error, strata)) for r in batch.to_pylist()]
+            of = [(s, found) for s, found in of if found]
+            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in of], pa.string()), *(pa.array([found.get((s, m)) for s, found in of], pa.float64()) for m in names)], names=["_s", *(f"_m_{m}" for m in names)])
 
-def rejected(rows: DataFrame, stratum: str, cutoffs: dict[tuple[str | None, str], float]) -> DataFrame:
+    enough = counts.where(F.col("good") >= least_good(strata, len(made), limit, error))
+    return C.written(enough.mapInArrow(cut, f"_s string, {', '.join(f'_m_{m} double' for m in names)}"), out=True)
+
+
+def rejected(rows: DataFrame, stratum: str, cutoffs: DataFrame) -> DataFrame:
     """rows with _rejected: whether a metric is beyond the cutoff of the row's stratum."""
     made = metrics()
-    kind = f"_s string, {', '.join(f'_m_{m} double' for m in made)}"
-    table = rows.sparkSession.createDataFrame([(s, *(cutoffs.get((s, m)) for m in made)) for s in {s for s, _ in cutoffs}], kind)
-    found = rows.join(F.broadcast(table), F.col(stratum).eqNullSafe(F.col("_s")), "left")  # a row for each stratum with cutoffs: see learn
+    found = rows.join(F.broadcast(cutoffs), F.col(stratum).eqNullSafe(F.col("_s")), "left")  # a row for each stratum with least_good labelled documents
     bad = F.lit(False)
     for m, (value, _) in made.items():
         bad = bad | F.coalesce(value > F.col(f"_m_{m}"), F.lit(False))

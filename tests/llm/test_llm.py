@@ -187,6 +187,16 @@ def test_quality_cutoffs_hold_their_limit():
     assert quality.choose([row | {"good": 20}], {"m": [0.9, 0.5, 0.3, 0.1]}) == {}
 
 
+def test_quality_learns_from_every_label(spark, monkeypatch):
+    monkeypatch.setattr(quality, "MOST_LABELLED", 100, raising=False)
+    of = "id AS doc_id, CASE WHEN id % 3 = 0 THEN 'en' END AS stratum, 100L AS n_words, 500L AS word_chars, CASE WHEN id % 5 = 0 THEN 400L ELSE 0L END AS n_symbols, 0L AS n_dup_lines, 0L AS n_repeat_words, 10L AS n_lines, 5L AS n_upper, false AS base_failed"
+    measured = spark.range(9000).selectExpr(*of.split(", "))
+    labels = spark.range(9000).selectExpr("id AS doc_id", "CAST(id % 5 <> 0 AS INT) AS quality")
+    assert {(r._s, r._m_symbols) for r in quality.learn(measured, labels).collect()} == {("en", 0.7), (None, 0.7)}
+    got = quality.judge(measured, labels).groupBy("kept").count().collect()
+    assert {r.kept: r["count"] for r in got} == {True: 7200, False: 1800}
+
+
 def test_toxicity_held_out(spark):
     rng = np.random.default_rng(3)
     rows, labels = [], []
