@@ -22,9 +22,10 @@ def _runs(text: Column, n: int) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
 
 
-def grams(text: Column) -> Column:
-    """What a text is found by: its distinct runs of 1 to GRAM characters."""
-    return F.flatten(F.array(*(_runs(text, n) for n in range(1, GRAM + 1))))
+def grams(text: Column, lengths: Column | None = None) -> Column:
+    """What a text is found by: its distinct runs of 1 to GRAM characters, or of those `lengths` alone."""
+    wanted = lambda n: _runs(text, n) if lengths is None else F.when(F.array_contains(lengths, n), _runs(text, n)).otherwise(F.array().cast("array<string>"))
+    return F.flatten(F.array(*(wanted(n) for n in range(1, GRAM + 1))))
 
 
 def key_grams(text: Column) -> Column:
@@ -33,8 +34,9 @@ def key_grams(text: Column) -> Column:
 
 
 def postings(texts: DataFrame, scope: list[str]) -> DataFrame:
-    """scope, gram and _id of texts (scope, _id, text)."""
-    return texts.select(*scope, "_id", F.explode(grams(F.col("text"))).alias("gram"))
+    """scope, gram and _id of texts (scope, _id, text; _lengths, where only runs of those are sought)."""
+    lengths = F.col("_lengths") if "_lengths" in texts.columns else None
+    return texts.select(*scope, "_id", F.explode(grams(F.col("text"), lengths)).alias("gram"))
 
 
 def bucket(gram: Column, of: int) -> Column:
@@ -61,5 +63,7 @@ def named(texts: DataFrame, scope: list[str]) -> DataFrame:
 def holding(sought: DataFrame, texts: DataFrame, scope: list[str]) -> DataFrame:
     """scope, sought, text: each pair of a string (scope, sought) and a text (scope, text) that holds it."""
     own, all_ = sought.select(*scope, "sought").where("sought <> ''").distinct(), named(texts, scope)
-    found = candidates(own, postings(all_, scope), scope)
+    lengths = own.groupBy(*scope).agg(F.collect_set(F.least(F.length("sought"), F.lit(GRAM))).alias("_lengths"))  # in each scope, GRAM numbers at most
+    asked = all_.join(lengths, scope) if scope else all_.crossJoin(F.broadcast(lengths))
+    found = candidates(own, postings(asked, scope), scope)
     return found.join(all_, [*scope, "_id"]).where(F.col("text").contains(F.col("sought"))).drop("_id")

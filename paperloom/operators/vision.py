@@ -38,12 +38,15 @@ MANY_BLOCKS = 1000
 
 
 def _posted(own: DataFrame, blocks: DataFrame, page: list[str]) -> DataFrame:
-    """Boxes of the blocks that hit a field, by postings: _t or _v in a block, or a block in _t."""
+    """Boxes of the blocks that hit a field, by postings: _t or _v in a block, or a block in _t. Both ways are sought at once, each in a scope of its own."""
     fields = own.join(blocks.select(*page).distinct(), page, "left_semi")
+    way = lambda rows, name, text, down: rows.select(*page, F.lit(down).alias("_down"), F.col(text).alias(name))
     words = fields.select(*page, "field_ord", F.explode(F.array("_t", F.when(F.length("_v") >= 3, F.col("_v")))).alias("_w"))
-    down = holding(words.withColumnRenamed("_w", "sought"), blocks.withColumnRenamed("_b", "text"), page).withColumnsRenamed({"sought": "_w", "text": "_b"})
-    up = holding(blocks.withColumnRenamed("_b", "sought"), fields.withColumnRenamed("_t", "text"), page).withColumnsRenamed({"sought": "_b", "text": "_t"})
-    hits = words.join(down, [*page, "_w"]).select(*page, "field_ord", "_b").unionByName(fields.join(up, [*page, "_t"]).select(*page, "field_ord", "_b")).distinct()
+    held = holding(way(words, "sought", "_w", True).unionByName(way(blocks, "sought", "_b", False)), way(blocks, "text", "_b", True).unionByName(way(fields, "text", "_t", False)), [*page, "_down"])
+    block, word = F.when(F.col("_down"), F.col("text")).otherwise(F.col("sought")), F.when(F.col("_down"), F.col("sought")).otherwise(F.col("text"))
+    found = held.select(*page, "_down", block.alias("_b"), word.alias("_w"))
+    both = words.withColumn("_down", F.lit(True)).unionByName(fields.select(*page, "field_ord", F.col("_t").alias("_w"), F.lit(False).alias("_down")))
+    hits = both.join(found, [*page, "_down", "_w"]).select(*page, "field_ord", "_b").distinct()
     return hits.join(blocks, [*page, "_b"])
 
 
