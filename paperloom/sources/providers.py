@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..session import small_batches
 
 
 class ModelProvider(ABC):
@@ -108,9 +109,26 @@ class ReplayOcr(OcrProvider):
         return self.table.join(pages.select("document_id", "page_number"), ["document_id", "page_number"], "left_semi")
 
 
+#: An engine gets pages of so many bytes at once, or LEAST_PAGES; tokens are sent on by so many rows, however many a page has.
+PAGE_BYTES, LEAST_PAGES, SEND_ROWS = 1 << 20, 8, 10_000
+
+
+def portions(pages: list[tuple]) -> Iterator[list[tuple]]:
+    """Pages (.., image) in turn, in lists of up to PAGE_BYTES, or of LEAST_PAGES where those are more."""
+    some, held = [], 0
+    for page in pages:
+        if len(some) >= LEAST_PAGES and held + len(page[-1] or b"") > PAGE_BYTES:
+            yield some
+            some, held = [], 0
+        some.append(page)
+        held += len(page[-1] or b"")
+    if some:
+        yield some
+
+
 class BatchedOcr(OcrProvider):
     """Reads pages by a function on lists of (document_id, page_number, image): it gives for each page a list of tokens, dicts with names of schemas.TOKENS.
-    A page that fails gets an error and no other one of its batch."""
+    A page that fails gets an error and no other one of its batch. A task holds one portion of pages with its tokens, and SEND_ROWS rows to send."""
 
     name = "batched"
 
@@ -125,15 +143,20 @@ class BatchedOcr(OcrProvider):
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                asked = list(zip(b["document_id"], b["page_number"], b["image"], strict=True))
-                out = []
-                for (document, number, _), (tokens, error) in zip(asked, bisected(call, asked, tries), strict=True):
-                    if error is not None:
-                        out.append(dict.fromkeys(names) | {"document_id": document, "page_number": number, "error": error})
-                    for i, t in enumerate(tokens or []):
-                        out.append(dict.fromkeys(names) | {k: t[k] for k in names if k in t} | {"document_id": document, "page_number": number, "token_ord": i, "error": None})
-                yield pd.DataFrame(out, columns=[*names, "error"]).astype({c: "Int32" for c in names if c not in ("document_id", "conf", "text")})
-
+                for asked in portions(list(zip(b["document_id"], b["page_number"], b["image"], strict=True))):
+                    out = []
+                    for (document, number, _), (tokens, error) in zip(asked, bisected(call, asked, tries), strict=True):
+                        if error is not None:
+                            out.append(dict.fromkeys(names) | {"document_id": document, "page_number": number, "error": error})
+                        for i, t in enumerate(tokens or []):
+                            out.append(dict.fromkeys(names) | {k: t[k] for k in names if k in t} | {"document_id": document, "page_number": number, "token_ord": i, "error": None})
+                            if len(out) >= SEND_ROWS:
+                                yield frame(out)
+                                out = []
+                    yield frame(out)
+
+        frame = lambda out: pd.DataFrame(out, columns=[*names, "error"]).astype({c: "Int32" for c in names if c not in ("document_id", "conf", "text")})
+        small_batches(pages.sparkSession)
         return pages.select("document_id", "page_number", "image").mapInPandas(run, f"{schemas.TOKENS}, error string")
 
     def tokens(self, pages: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from paperloom import schemas
 from paperloom.operators import layout
-from paperloom.sources import pages
+from paperloom.sources import pages, providers
 from paperloom.sources.providers import BatchedOcr, ReplayOcr, engine
 from paperloom.sources.store import Store
 
@@ -141,3 +141,17 @@ def test_engines_by_name(spark):
         engine(made, "x")
     with pytest.raises(RuntimeError, match="not available: not installed"):
         engine(made, "off")
+
+
+def test_a_task_holds_a_portion_of_pages_and_of_tokens(spark, monkeypatch):
+    """However many pages a batch has, an engine gets few at once; a page of very many tokens is sent in parts."""
+    monkeypatch.setattr(providers, "PAGE_BYTES", 1000)
+    pages = [(str(i), 1, b"x" * (10 if i % 50 else 3000)) for i in range(400)]
+    parts = list(providers.portions(pages))
+    assert [p for part in parts for p in part] == pages
+    assert max(len(p) for p in parts) <= 100 and all(sum(len(x[2]) for x in p) <= 1000 or len(p) <= 8 for p in parts)
+    call = lambda asked: [[{"text": "w"}] * 25_000 if len(asked) <= 100 else 1 / 0 for _ in asked]
+    rows = spark.createDataFrame([("d", k, b"y" * 100) for k in range(3)], "document_id string, page_number int, image binary")
+    told = BatchedOcr(call).read(rows)
+    got = told.groupBy("page_number").agg(F.count("text").alias("n"), F.max("token_ord").alias("last"), F.count("error").alias("bad")).collect()
+    assert sorted(map(tuple, got)) == [(k, 25_000, 24_999, 0) for k in range(3)]
