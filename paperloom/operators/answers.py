@@ -26,8 +26,13 @@ NUMERAL = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 ERRORS = "array<struct<path:string,message:string>>"
 
 
-def _text(x: Column) -> Column:
-    return F.try_variant_get(x, "$", "string")
+def _object(x: Column) -> Column:
+    """The members of a value that is an object, else null. Members are looked up in this map: a path that differs by row is parsed for every row and member."""
+    return F.try_variant_get(x, "$", "map<string,variant>")
+
+
+def _list(x: Column) -> Column:
+    return F.try_variant_get(x, "$", "array<variant>")
 
 
 def _absent(kind: Column) -> Column:
@@ -40,7 +45,7 @@ def _number(kind: Column) -> Column:
 
 def _seen(x: Column) -> Column:
     """A value with its kind and text. As lambdas evaluate what they name each time, whatever is named often is bound to a variable by let."""
-    return let(x, lambda v: F.struct(v.alias("v"), F.schema_of_variant(v).alias("kind"), _text(v).alias("text")))
+    return let(x, lambda v: F.struct(F.schema_of_variant(v).alias("kind"), F.try_variant_get(v, "$", "string").alias("text")))
 
 
 def _wrong(x: Column, want: Column) -> Column:
@@ -51,18 +56,20 @@ def _wrong(x: Column, want: Column) -> Column:
         value = F.when(_number(kind), text.try_cast("double")).when(kind == "BOOLEAN", F.when(text == "true", 1.0).otherwise(0.0)).when((kind == "STRING") & text.rlike(NUMERAL), F.trim(text).try_cast("double"))
         truth = (kind == "BOOLEAN") | F.coalesce(_number(kind) & value.isin(0.0, 1.0), F.lit(False)) | ((kind == "STRING") & F.lower(text).isin(TRUTHS))
         figure = let(value, lambda n: F.when(n.isNull(), "number expected").when((want == "share") & ~n.between(0.0, 1.0), "not from 0 to 1"))
-        return F.when(_absent(kind), None).when(want == "text", F.when(kind != "STRING", "text expected")).when(want == "truth", F.when(~truth, "truth value expected")).otherwise(figure)
+        return F.when(_absent(kind), None).when(want == "truth", F.when(~truth, "truth value expected")).otherwise(figure)
 
-    return let(_seen(x), of)
+    told = F.when(~F.schema_of_variant(x).isin("STRING", "VOID"), "text expected")
+    return F.when(want == "text", told).otherwise(let(_seen(x), of))
 
 
 def _kind_of(name: Column) -> Column:
     return F.when(name.isin(NUMBER_FIELDS), "number").when(name == "accepted", "truth").otherwise("text")
 
 
-def _parts(at: Column, x: Column, parts: Column) -> Column:
+def _parts(at: Column, members: Column, parts: Column) -> Column:
     """Errors in the members of an object: parts is an array of (name, kind)."""
-    told = F.transform(parts, lambda p: F.struct(F.concat(at, F.lit("."), p["name"]).alias("path"), _wrong(F.try_variant_get(x, F.concat(F.lit("$."), p["name"]), "variant"), p["kind"]).alias("message")))
+    given = F.filter(parts, lambda p: F.map_contains_key(members, p["name"]))  # what is absent is no error
+    told = F.transform(given, lambda p: F.struct(F.concat(at, F.lit("."), p["name"]).alias("path"), _wrong(F.try_element_at(members, p["name"]), p["kind"]).alias("message")))
     return F.filter(told, lambda e: e["message"].isNotNull())
 
 
@@ -79,33 +86,38 @@ def errors(answer: Column, names: Column, list_key: Column) -> Column:
     none = F.array().cast(ERRORS)
     tail = F.array(_part(F.lit("confidence"), F.lit("share")), _part(F.lit("source_text"), F.lit("text")))
 
-    def single(v: Column) -> Column:
+    def single(members: Column) -> Column:
         def of(name: Column) -> Column:
-            def told(s: Column) -> Column:
-                inside = _parts(F.concat(F.lit("$."), name), s["v"], F.concat(F.array(_part(F.lit("value"), _kind_of(name))), tail))
-                return F.when(_absent(s["kind"]), none).when(~s["kind"].startswith("OBJECT"), _one(F.concat(F.lit("$."), name), "object expected")).otherwise(inside)
+            at = F.concat(F.lit("$."), name)
+            parts = F.concat(F.array(_part(F.lit("value"), _kind_of(name))), tail)
 
-            return let(_seen(F.try_variant_get(v, F.concat(F.lit("$."), name), "variant")), told)
+            def told(x: Column) -> Column:
+                return let(_object(x), lambda inside: F.when(inside.isNotNull(), _parts(at, inside, parts)).when(F.schema_of_variant(x) == "VOID", none).otherwise(_one(at, "object expected")))
 
-        return F.flatten(F.transform(names, of))
+            return let(F.try_element_at(members, name), told)
 
-    def many(v: Column) -> Column:
+        return F.flatten(F.transform(F.filter(names, lambda n: F.map_contains_key(members, n)), of))
+
+    def many(members: Column) -> Column:
         at = F.concat(F.lit("$."), list_key)
-        parts = F.concat(F.transform(names, lambda n: _part(n, _kind_of(n))), tail)
 
-        def of(item: Column, i: Column) -> Column:
+        def of(item: Column, i: Column, parts: Column) -> Column:
             here = F.concat(at, F.lit("["), i.cast("string"), F.lit("]"))
-            return F.when(~F.coalesce(F.schema_of_variant(item).startswith("OBJECT"), F.lit(False)), _one(here, "object expected")).otherwise(_parts(here, item, parts))
+            return let(_object(item), lambda inside: F.when(inside.isNull(), _one(here, "object expected")).otherwise(_parts(here, inside, parts)))
 
-        def told(s: Column) -> Column:
-            items = F.flatten(F.transform(F.try_variant_get(s["v"], "$", "array<variant>"), of))
-            return F.when(s["kind"].isNull(), none).when(~s["kind"].startswith("ARRAY"), _one(at, "list expected")).otherwise(items)
+        def told(items: Column) -> Column:
+            parts = F.concat(F.transform(names, lambda n: _part(n, _kind_of(n))), tail)
+            every = let(parts, lambda p: F.flatten(F.transform(items, lambda item, i: of(item, i, p))))
+            return F.when(items.isNull(), _one(at, "list expected")).otherwise(every)
 
-        return let(_seen(F.try_variant_get(v, at, "variant")), told)
+        return F.when(F.map_contains_key(members, list_key), let(_list(F.try_element_at(members, list_key)), told)).otherwise(none)
 
     def whole(v: Column) -> Column:
-        root = F.when(list_key.isNull(), single(v)).otherwise(many(v))
-        return F.when(v.isNull(), _one(F.lit("$"), "no JSON")).when(~F.schema_of_variant(v).startswith("OBJECT"), _one(F.lit("$"), "object expected")).otherwise(root)
+        def told(members: Column) -> Column:
+            root = F.when(list_key.isNull(), single(members)).otherwise(many(members))
+            return F.when(members.isNull(), _one(F.lit("$"), "object expected")).otherwise(root)
+
+        return F.when(v.isNull(), _one(F.lit("$"), "no JSON")).otherwise(let(_object(v), told))
 
     # the parsed answer is a lambda's variable, so that it is parsed once
     told = let(F.try_parse_json(answer), whole)
@@ -119,12 +131,23 @@ def list_key(section_name: Column) -> Column:
     return out
 
 
+def _held(asked: DataFrame, responses: DataFrame) -> tuple[DataFrame, Column]:
+    """The sections asked about with the answers about them, and the errors of these."""
+    told = responses.where("stage = 'extraction'").select("document_id", F.col("item_key").alias("section_id"), "stage", "response_json", "error")
+    return asked.join(told, ["document_id", "section_id"]), F.when(F.col("error").isNull(), errors(F.col("response_json"), F.col("names"), list_key(F.col("section_name"))))
+
+
+def passed(asked: DataFrame, responses: DataFrame) -> DataFrame:
+    """The sections whose answers have no errors, with response_json; errors are counted once, in the filter."""
+    rows, found = _held(asked, responses)
+    return rows.where(F.size(found) == 0).drop("stage", "error")
+
+
 def check(asked: DataFrame, responses: DataFrame) -> DataFrame:
     """The answers about the sections asked about (document_id, section_id, section_name, names): document_id, stage, item_key, response_json,
     error, error_path, errors. An answer with errors counts as none: its error is that of the provider, or else its first one."""
-    told = responses.where("stage = 'extraction'").withColumnRenamed("item_key", "section_id")
-    rows = asked.select("document_id", "section_id", "section_name", "names").join(told, ["document_id", "section_id"])
-    rows = rows.withColumn("errors", F.when(F.col("error").isNull(), errors(F.col("response_json"), F.col("names"), list_key(F.col("section_name")))))
+    rows, found = _held(asked, responses)
+    rows = rows.withColumn("errors", found)
     first = F.get("errors", F.lit(0))
     good = F.coalesce(F.size("errors") == 0, F.lit(False))
     return rows.select(

@@ -30,25 +30,33 @@ def checked(sections: DataFrame, responses: DataFrame) -> DataFrame:
     return responses if "error_path" in responses.columns else checks.check(gate(sections), responses)
 
 
+def _passed(sections: DataFrame, responses: DataFrame) -> DataFrame:
+    """The sections whose answers hold, with response_json."""
+    if "error_path" not in responses.columns:
+        return checks.passed(gate(sections), responses)
+    return gate(sections).join(responses.where("error IS NULL").select("document_id", F.col("item_key").alias("section_id"), "response_json"), ["document_id", "section_id"])
+
+
 def fields(sections: DataFrame, responses: DataFrame) -> DataFrame:
     """Unpivoted fields in the order of sections, items and the registry; fields without a value are kept as null. Sections whose answer fails its schema give none."""
     spark = sections.sparkSession
-    answers = checked(sections, responses).where("error IS NULL").select("document_id", F.col("item_key").alias("section_id"), "response_json")
-    rows = gate(sections).join(answers, ["document_id", "section_id"])
+    rows = _passed(sections, responses)
     lists = spark.createDataFrame([(k, *v) for k, v in LIST_SECTIONS.items()], "section_name string, list_key string, prefix string")
     rows = rows.join(F.broadcast(lists), "section_name", "left")
-    keep = ["document_id", "document_type", "section_id", "section_ord", "section_name", "page_number"]
-    single = rows.where("prefix IS NULL").select(*keep, F.lit(0).alias("item"), F.from_json("response_json", _ONE).alias("m"), F.posexplode("names").alias("at", "field_name"))
-    value = F.try_element_at("m", F.col("field_name"))
-    single = single.select(*keep, "item", "at", "field_name", value["value"].alias("field_value"), value["confidence"].alias("confidence"), value["source_text"].alias("source_text"))
-    items = F.from_json(F.expr("get_json_object(response_json, concat('$.', list_key))"), _MANY)
-    many = rows.where("prefix IS NOT NULL").select(*keep, "prefix", "names", F.posexplode(items).alias("item", "m")).select(*keep, "prefix", "item", "m", F.posexplode("names").alias("at", "name"))
-    of = lambda k: F.try_element_at("m", F.lit(k))
-    many = many.select(*keep, "item", "at", F.concat_ws("_", "prefix", (F.col("item") + 1).cast("string"), "name").alias("field_name"), F.try_element_at("m", F.col("name")).alias("field_value"), of("confidence").try_cast("double").alias("confidence"), of("source_text").alias("source_text"))
+    keep, one = ["document_id", "document_type", "section_id", "section_ord", "section_name", "page_number", "prefix"], F.col("prefix").isNull()
+    # sections of one item and of many go one way, so that an answer is held against its schema once
+    many = F.from_json(F.expr("get_json_object(response_json, concat('$.', list_key))"), _MANY)
+    items = F.when(one, F.array(F.lit(None).cast("map<string,string>"))).otherwise(many)
+    rows = rows.select(*keep, "names", F.when(one, F.from_json("response_json", _ONE)).alias("s"), F.posexplode(items).alias("item", "m"))
+    rows = rows.select(*keep, "item", "s", "m", F.posexplode("names").alias("at", "name"))
+    value, of = F.try_element_at("s", F.col("name")), lambda k: F.try_element_at("m", F.lit(k))
+    told = F.when(one, value["value"]).otherwise(F.try_element_at("m", F.col("name")))
+    sure = F.when(one, value["confidence"]).otherwise(of("confidence").try_cast("double"))
+    rows = rows.select(*keep, "item", "at", F.when(one, F.col("name")).otherwise(F.concat_ws("_", "prefix", (F.col("item") + 1).cast("string"), "name")).alias("field_name"), told.alias("field_value"), sure.alias("confidence"), F.when(one, value["source_text"]).otherwise(of("source_text")).alias("source_text"))
     order = Window.partitionBy("document_id").orderBy("section_ord", "item", "at")
     name = F.regexp_replace("field_name", r"^(line_item|id_doc|agreement)_\d+_", "")
     kind = F.when(F.col("field_value").isNull(), "null").when(name.isin(NUMBER_FIELDS), "number").when(name == "accepted", "bool").otherwise("string")
-    out = single.unionByName(many).withColumn("field_ord", F.row_number().over(order))
+    out = rows.withColumn("field_ord", F.row_number().over(order))
     return out.select("document_id", "document_type", "field_ord", F.sha2(F.concat_ws("|", "document_id", "field_ord", "field_name"), 256).alias("field_id"), "section_id", "field_name", "field_value", kind.alias("value_kind"), "confidence", F.lit("model").alias("source"), "source_text", "section_name", "page_number")
 
 
@@ -63,6 +71,4 @@ def counters(sections: DataFrame, responses: DataFrame, made: DataFrame) -> Data
 
 def section_data(sections: DataFrame, responses: DataFrame) -> DataFrame:
     """The answers of each document by section name: of sections that share one, the last in order stays. Sections that fail are left out."""
-    rows = gate(sections).select("document_id", F.col("section_id").alias("item_key"), "section_name", "section_ord")
-    rows = rows.join(checked(sections, responses).where("error IS NULL").select("document_id", "item_key", "response_json"), ["document_id", "item_key"])
-    return rows.groupBy("document_id", "section_name").agg(F.max_by("response_json", "section_ord").alias("section_data"))
+    return _passed(sections, responses).groupBy("document_id", "section_name").agg(F.max_by("response_json", "section_ord").alias("section_data"))

@@ -75,3 +75,11 @@ def test_lists_of_forms(spark, kind, count, values, monkeypatch):
     prefix = {"identity_documents": "id_doc", "agreements": "agreement"}[kind]
     assert {k: v for k, v in got.items() if v} == {f"{prefix}_1_{k}": str(v).lower() if v is True else v for k, v in values.items()}
     assert len(got) == 2 * len([k for k in got if k.startswith(f"{prefix}_1_")])
+
+
+def test_answers_are_parsed_once_for_their_fields(spark):
+    """Neither again for what the filter let through, nor through paths that differ by row."""
+    made = extract.fields(sections_of(spark, [("1", "s", 1, "vendor_information")]), told_of(spark, [("1", "s", '{"vendor_name": {"value": "x"}}', None)]))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 1
+    assert made.where("field_value = 'x'").count() == 1
