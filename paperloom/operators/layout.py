@@ -24,11 +24,12 @@ def union_box(least: int | None = 1, x: str = "x", y: str = "y", width: str = "w
 
 
 def lines(tokens: DataFrame) -> DataFrame:
-    """One block a line (block, paragraph, line number), in reading order: by y, x, then first token; block_index from 0 on a page. Tokens are shuffled once, by page: lists of words don't shrink before a shuffle, and both the lines and their order need a page together."""
+    """One block a line (block, paragraph, line number), in reading order: by y, x, then first token; block_index from 0 on a page. Tokens are shuffled once, by page: lists of words don't shrink before a shuffle, and both the lines and their order need a page together. The shuffle goes by a hash of the page, which Spark knows again behind it even where page numbers are constant. What a line's tokens share is put side by side, which compresses better."""
     key = ["document_id", "page_number", "block_num", "par_num", "line_num"]
+    tokens = clean_tokens(tokens).select(F.xxhash64("document_id", "page_number").alias("_page"), *key, "top", "height", "width", "left", "token_ord", "conf", "text")
     words = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("token_ord", "text"))), lambda t: t["text"]), " ")
-    made = clean_tokens(tokens).repartition("document_id", "page_number").groupBy(*key).agg(words.alias("text"), F.round(F.avg("conf"), 2).alias("confidence"), union_box(1, "left", "top").alias("bbox"), F.min("token_ord").alias("_first"))
-    order = Window.partitionBy("document_id", "page_number").orderBy("bbox.y", "bbox.x", "_first")
+    made = tokens.repartition("_page").groupBy("_page", *key).agg(words.alias("text"), F.round(F.avg("conf"), 2).alias("confidence"), union_box(1, "left", "top").alias("bbox"), F.min("token_ord").alias("_first"))
+    order = Window.partitionBy("_page", "document_id", "page_number").orderBy("bbox.y", "bbox.x", "_first")
     return made.select("document_id", "page_number", (F.row_number().over(order) - 1).alias("block_index"), "text", "confidence", "bbox")
 
 

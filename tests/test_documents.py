@@ -32,6 +32,12 @@ def test_layout(spark):
     assert (m.block_count, m.page_count, m.average_confidence) == (3, 2, 85.0)
 
 
+def test_tokens_are_shuffled_once(spark):
+    """Also where all pages have one number, which Spark folds out of its keys."""
+    made = layout.lines(tokens(spark).withColumn("page_number", F.lit(1)))
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
 def test_boxes(spark):
     rows = spark.createDataFrame([(80, 100, 100, 30), (100, 150, 320, 40), (90, 200, 10, 20)], "x int, y int, width int, height int")
     assert tuple(rows.agg(layout.union_box().alias("b")).first().b) == (80, 100, 340, 120)
