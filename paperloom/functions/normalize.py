@@ -120,15 +120,19 @@ def phone(v: Column) -> Column:
     return _result(F.when(digits == "", F.lit(None)).otherwise(F.concat(F.when(s.startswith("+"), "+").otherwise(""), digits)))
 
 
-def field_kind(name: Column) -> Column:
-    """date, number, currency, email, phone or text, by the field's name."""
-    n = F.lower(name)
+def kind_of(n: Column) -> Column:
+    """date, number, currency, email, phone or text, by the field's name in lower case."""
     ends = F.lit(False)
     for e in NUMBER_ENDS:
         ends = ends | n.endswith(e)
     return F.when(_any(n, DATE_NAMES), "date").when(_any(n, NUMBER_NAMES) | ends, "number").when(n == "currency", "currency").when(_any(n, EMAIL_NAMES), "email").when(_any(n, PHONE_NAMES), "phone").otherwise("text")
 
 
+def field_kind(name: Column) -> Column:
+    """The kind by the name in any case."""
+    return kind_of(F.lower(name))
+
+
 #: Values that are their own normal form, or nearly so: numerals of at most 15 digits, two behind the point; dates; words with single spaces between.
 _PLAIN_NUMBER, _PLAIN_DATE, _PLAIN_TEXT = r"^-?([1-9][0-9]{0,12}(\.[0-9]{1,2})?|0)$", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$", r"^[A-Za-z0-9._#/-]+( [A-Za-z0-9._#/-]+)*$"
 

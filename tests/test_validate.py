@@ -94,3 +94,14 @@ def test_rules_use_the_last_of_a_name(spark):
 def test_empty(spark):
     none = fields(spark, {"x": ("invoice", CLEAN)}).limit(0)
     assert V.validate(none).count() == 0 and V.summary(V.validate(none)).count() == 0
+
+
+def test_no_step_is_too_long_to_be_compiled(spark):
+    """The JVM interprets methods of more than 8000 bytes, whatever Spark makes of them."""
+    df = V.issues(V.validate(fields(spark, {d: (k, v) for d, (k, v, _) in CASES.items()})))
+    plan = df._jdf.queryExecution()
+    assert plan.executedPlan().executeCollect()
+    made = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$").codegenStringSeq(plan.executedPlan())
+    sizes = [made.apply(i)._3().maxMethodCodeSize() for i in range(made.size())]
+    assert sizes and max(sizes) <= 8000, sizes
+    assert plan.executedPlan().toString().count("Window [") <= 8  # three and that of issues, in the plan as it was and as it ran
