@@ -139,15 +139,14 @@ def _product(num: int, den: int):
 def links(near: DataFrame, inside: DataFrame, sets: DataFrame, sizes: DataFrame, num: int, den: int, block: int = BLOCK_ITEMS) -> DataFrame:
     """Pairs (a, b), a of near and b of inside with the same `to`, with overlap / union >= num / den, as many as it takes to link all rows of a block that such pairs link; sets: sid, keys; sizes: sid, n."""
 
-    def deal(rows: DataFrame, name: str) -> DataFrame:
-        weighed = rows.join(sizes.select("sid", "n"), "sid").groupBy("to").agg(F.ceil(F.sum("n") / block).cast("int").alias(f"n_{name}"))
-        return rows.join(weighed, "to")
+    def weighed(rows: DataFrame, name: str) -> DataFrame:
+        return rows.join(sizes.select("sid", "n"), "sid").groupBy("to").agg(F.ceil(F.sum("n") / block).cast("int").alias(f"n_{name}"))
 
+    # a row for each `to`; near and inside are joined with it once each
+    blocks = C.written(weighed(near, "x").join(weighed(inside, "y"), "to"), release=True)
     spot = lambda name: F.pmod(F.xxhash64("sid"), F.col(f"n_{name}")).cast("int").alias(name)
-    xs, ys = deal(near, "x"), deal(inside, "y")
-    x_many, y_many = xs.select("to", "n_x").distinct(), ys.select("to", "n_y").distinct()
     every = lambda name: F.explode(F.sequence(F.lit(0), F.col(f"n_{name}") - 1)).alias(name)
-    x = xs.join(y_many, "to").select("sid", "to", spot("x"), every("y"), F.lit(True).alias("left"))
-    y = ys.join(x_many, "to").select("sid", "to", every("x"), spot("y"), F.lit(False).alias("left"))
+    x = near.join(blocks, "to").select("sid", "to", spot("x"), every("y"), F.lit(True).alias("left"))
+    y = inside.join(blocks, "to").select("sid", "to", every("x"), spot("y"), F.lit(False).alias("left"))
     rows = x.unionByName(y).join(sets, "sid")
     return rows.groupBy("to", "x", "y").applyInArrow(_product(num, den), "a long, b long")

@@ -291,3 +291,19 @@ def test_at_most(spark):
         got = sorted(r.doc_id for r in common.at_most(rows, most).collect())
         assert len(got) == most and set(got) <= set(order) and collections.Counter(got) - collections.Counter(order) == collections.Counter()
     assert common.at_most(rows, 3000).count() == 3000
+
+
+def test_blocks_are_dealt_once(spark):
+    """Rows on either side meet the blocks of their component in one join, and their sets in another."""
+    sets = {i: list(range(i // 4 * 100, i // 4 * 100 + 9)) + [1000 + i] for i in range(1, 17)}  # four alike in a row
+    held = spark.createDataFrame([(i, v) for i, v in sets.items()], "sid long, keys array<long>")
+    sizes = spark.createDataFrame([(i, len(v)) for i, v in sets.items()], "sid long, n long")
+    every = spark.createDataFrame([(i, to) for i in sets for to in (1, 2) if (i + to) % 3], "sid long, to long")
+    with common.scratch(spark):
+        made = blocked.links(every, every, held, sizes, 4, 5, block=40)
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        found = {frozenset(r) for r in made.select("a", "b").collect()}
+    assert plan.count("Join ") == 3, plan
+    assert found and all(min(p) // 4 == max(p) // 4 for p in found)
+    linked = {x for p in found for x in p}
+    assert linked == set(sets) - {16}
