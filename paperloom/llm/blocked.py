@@ -41,31 +41,32 @@ def shared(entries: DataFrame, source) -> DataFrame:
 
 
 def grouped(entries: DataFrame, found: DataFrame) -> DataFrame:
-    """entries (key, sid, n, at, run, rank, pivot) with the row's component and its size; only of columns with several components. found: sid, component."""
+    """entries (key, sid, n, at, run, rank, pivot) with the row's component and its size. found: sid, component."""
     sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     own = found.join(sizes, "component").select("sid", F.col("component").alias("group"), "size")
-    now = entries.join(own, "sid", "left").withColumn("group", F.coalesce("group", "sid")).withColumn("size", F.coalesce("size", F.lit(1)))
-    several = now.groupBy("key").agg(F.min("group").alias("x"), F.max("group").alias("y")).where("x <> y").select("key")
-    return now.join(several, "key")
+    return entries.join(own, "sid", "left").withColumn("group", F.coalesce("group", "sid")).withColumn("size", F.coalesce("size", F.lit(1)))
 
 
 def by_length(now: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The rows with long (whether their column has more than LONG rows), and (sid, to), twice, for the rows in long columns whose component has up
+    """The rows of columns with several components, with long (whether their column has more than LONG rows), and (sid, to), twice, for the rows in long columns whose component has up
     to SMALL rows: those to compare, and those to compare them with.
 
     A column of more than LONG rows is first divided by size. Rows that link have sizes of num to den or closer, which lie in one band or in two that
     follow each other; so a row is in the column of its own band, and a guest in that of the next. Bands are a little wider than den to num, so rounding loses nothing.
     Small components that are still many in one column may be many that don't link with each other; they are multiplied with
     one another in blocks, where candidates would be their pairs. Guests needn't be compared with guests."""
-    size = now.groupBy("key").agg(F.count(F.lit(1)).alias("_rows"))
-    rows = now.join(size, "key")
+    now = C.written(now, release=True)  # each table is read twice below
+    size = now.groupBy("key").agg(F.count(F.lit(1)).alias("_rows"), F.min("group").alias("x"), F.max("group").alias("y")).where("x <> y").select("key", "_rows")
+    rows = sized = C.written(now.join(size, "key"), release=True)
+    C.forget(now)
     band = F.floor(F.log("n") / math.log(1.01 * den / num)).cast("int")
     few = rows.where(F.col("_rows") <= LONG).drop("_rows").withColumns({"long": F.lit(False), "own": F.lit(True)})
     many = rows.where(F.col("_rows") > LONG).drop("_rows").withColumn("_band", band).withColumn("_at", F.explode(F.array(F.col("_band"), F.col("_band") + 1)))
-    many = C.written(many.withColumns({"key": F.xxhash64("key", "_at"), "own": F.col("_at") == F.col("_band")}).drop("_at", "_band"))
+    many = many.withColumns({"key": F.xxhash64("key", "_at"), "own": F.col("_at") == F.col("_band")}).drop("_at", "_band")
     size = many.groupBy("key").agg(F.count(F.lit(1)).alias("_rows"), F.min("group").alias("x"), F.max("group").alias("y"), F.max("own").alias("z")).where("x <> y AND z").select("key", "_rows")
     many = many.join(size, "key").withColumn("long", F.col("_rows") > LONG).drop("_rows")
     rows = C.written(few.unionByName(many), release=True)
+    C.forget(sized)
     alone = rows.where(F.col("long") & (F.col("size") <= SMALL))
     one = lambda some: some.select("sid", F.col("key").alias("to"))
     return rows, one(alone.where("own")), one(alone)
@@ -136,8 +137,38 @@ def _product(num: int, den: int):
     return run
 
 
-def links(near: DataFrame, inside: DataFrame, sets: DataFrame, sizes: DataFrame, num: int, den: int, block: int = BLOCK_ITEMS) -> DataFrame:
-    """Pairs (a, b), a of near and b of inside with the same `to`, with overlap / union >= num / den, as many as it takes to link all rows of a block that such pairs link; sets: sid, keys; sizes: sid, n."""
+def _likely(num: int, den: int):
+    def run(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        left, sid, n, end, group = (t.column(c).to_numpy(zero_copy_only=False) for c in ("left", "sid", "n", "end", "group"))
+        left = left.astype(bool)
+        sets = t.column("keys").combine_chunks() if isinstance(t.column("keys"), pa.ChunkedArray) else t.column("keys")
+        counts = np.diff(np.asarray(sets.offsets))
+        _, ids = np.unique(np.asarray(sets.flatten()), return_inverse=True)
+        begin = np.cumsum(counts) - counts
+        right, row = np.flatnonzero(~left), np.repeat(np.arange(len(counts)), counts)
+        flat, owner = ids[~left[row]], np.repeat(np.arange(len(right)), counts[right])
+        seen = np.zeros(int(ids.max()) + 1 if len(ids) else 1, bool)
+        rest = -(-num * n // den) - 1  # entries behind the leading ones
+        m, until, of, after = n[right], end[right], group[right], rest[right]
+        stays = np.zeros(len(left), bool)
+        for i in np.flatnonzero(left).tolist():
+            own = ids[begin[i] : begin[i] + counts[i]]
+            seen[own] = True
+            both = np.bincount(owner[seen[flat]], minlength=len(right))
+            seen[own] = False
+            more = np.where(until < end[i], after, np.where(until > end[i], rest[i], np.minimum(after, rest[i])))
+            fits = (both > 0) & (of != group[i]) & (den * np.minimum(m, n[i]) >= num * np.maximum(m, n[i]))
+            hit = right[fits & ((both + more) * (num + den) >= num * (m + n[i]))]
+            stays[hit] = True
+            stays[i] = len(hit) > 0
+        return t.select(["sid", "to", "left"]).filter(pa.array(stays))
+
+    return run
+
+
+def _dealt(near: DataFrame, inside: DataFrame, sizes: DataFrame, block: int) -> DataFrame:
+    """The rows of near (left) and of inside for each pair of blocks (to, x, y); sizes: sid, n."""
 
     def weighed(rows: DataFrame, name: str) -> DataFrame:
         return rows.join(sizes.select("sid", "n"), "sid").groupBy("to").agg(F.ceil(F.sum("n") / block).cast("int").alias(f"n_{name}"))
@@ -148,5 +179,22 @@ def links(near: DataFrame, inside: DataFrame, sets: DataFrame, sizes: DataFrame,
     every = lambda name: F.explode(F.sequence(F.lit(0), F.col(f"n_{name}") - 1)).alias(name)
     x = near.join(blocks, "to").select("sid", "to", spot("x"), every("y"), F.lit(True).alias("left"))
     y = inside.join(blocks, "to").select("sid", "to", every("x"), spot("y"), F.lit(False).alias("left"))
-    rows = x.unionByName(y).join(sets, "sid")
+    return x.unionByName(y)
+
+
+def likely(near: DataFrame, inside: DataFrame, held: DataFrame, found: DataFrame, num: int, den: int, block: int = BLOCK_ITEMS // 2) -> tuple[DataFrame, DataFrame]:
+    """The rows (sid, to) of near and of inside that may link to a row of the other with the same `to` and of another component: by their leading keys alone, a small part of their sets.
+
+    held: sid, n, keys (the leading ones that several rows have), end (the last leading key). What two rows share up to the lesser `end` is among these keys;
+    behind it, the row that ends there has no more than its entries that aren't leading."""
+    group = held.join(found.select("sid", F.col("component").alias("group")), "sid", "left")
+    group = group.select("sid", "n", "keys", "end", F.coalesce("group", "sid").alias("group"))
+    rows = _dealt(near, inside, held.select("sid", F.size("keys").alias("n")), block).join(group, "sid")
+    stay = C.written(rows.groupBy("to", "x", "y").applyInArrow(_likely(num, den), "sid long, to long, left boolean").distinct(), release=True)
+    return stay.where("left").select("sid", "to"), stay.where("NOT left").select("sid", "to")
+
+
+def links(near: DataFrame, inside: DataFrame, sets: DataFrame, sizes: DataFrame, num: int, den: int, block: int = BLOCK_ITEMS) -> DataFrame:
+    """Pairs (a, b), a of near and b of inside with the same `to`, with overlap / union >= num / den, as many as it takes to link all rows of a block that such pairs link; sets: sid, keys; sizes: sid, n."""
+    rows = _dealt(near, inside, sizes, block).join(sets, "sid")
     return rows.groupBy("to", "x", "y").applyInArrow(_product(num, den), "a long, b long")

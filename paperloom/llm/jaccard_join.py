@@ -9,9 +9,10 @@ the product is accumulated for the remaining pairs alone, exactly.
 
 How rare a column is comes from a count sketch of fixed size; any global order gives the same
 result. A column that many rows share is not expanded to all its pairs: its rows are first compared
-with a pivot and a neighbour by size, and links so found are merged to components. Then rows
-are multiplied, in blocks, with the other components that they share a leading column with; links
-within a component are not needed.
+with a pivot and a neighbour by size, and links so found are merged to components. A column of two
+rows is over with that. In the others rows are multiplied, in blocks, with the other components that
+they share a leading column with; links within a component are not needed. A block is first
+multiplied by leading columns alone, and whole sets are sent only of rows that may link by those.
 
 Rows are known by their sets, never by doc_id: the pass that reads a text names its set.
 
@@ -147,6 +148,12 @@ def _least(a: str, b: str) -> Column:
     return F.floor((NUM * (F.col(a) + F.col(b)) + (NUM + DEN - 1)) / (NUM + DEN)).cast("long")
 
 
+def _fits(na: str, ia: str, nb: str, ib: str) -> Column:
+    """Whether rows of these sizes may link if the first key that they share is at these places."""
+    sizes = DEN * F.least(na, nb) >= NUM * F.greatest(na, nb)
+    return sizes & (F.col(ia) + F.col(ib) <= F.col(na) + F.col(nb) - 2 * _least(na, nb))
+
+
 def _sets(nodes: DataFrame, rows: DataFrame, reps: DataFrame, read) -> DataFrame:
     """sid, keys: the whole sets of these rows, and few others. A text is found by its row key where it is read, and names its set itself; only sets are shuffled."""
     texts = C.among(rows, reps.join(nodes, "sid", "left_semi").select(*C.ROW)).select("text")
@@ -158,16 +165,17 @@ def _nodes(pairs: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def _held(led: DataFrame, entry: DataFrame) -> DataFrame:
-    """sid, keys and ats (the leading keys that several rows have, and their places), end (the last leading key, shared or not) of every row with such keys."""
+    """sid, n, keys and ats (the leading keys that several rows have, and their places), end (the last leading key, shared or not) of every row with such keys."""
     own = entry.groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("key", "at"))).alias("held"))
-    return own.join(led.select("sid", F.element_at("keys", -1).alias("end")), "sid").select("sid", F.col("held.key").alias("keys"), F.col("held.at").alias("ats"), "end")
+    return own.join(led.select("sid", "n", F.element_at("keys", -1).alias("end")), "sid").select("sid", "n", F.col("held.key").alias("keys"), F.col("held.at").alias("ats"), "end")
 
 
 def _verified(pairs: DataFrame, held: DataFrame, rows: DataFrame, reps: DataFrame, read) -> DataFrame:
     """The links among pairs (a, na, b, nb): first block, bound, rest of the product. Keys of a single row are in no overlap; of the first block, only shared keys are sent."""
     pairs = C.written(pairs.distinct())
     side = lambda rows, s: rows.select(F.col("sid").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in rows.columns if c != "sid"))
-    both = pairs.join(side(held, "a"), "a").join(side(held, "b"), "b").withColumn("last", F.least("end_a", "end_b"))
+    leading = held.drop("n")
+    both = pairs.join(side(leading, "a"), "a").join(side(leading, "b"), "b").withColumn("last", F.least("end_a", "end_b"))
 
     def after(s: str) -> Column:  # entries behind `last`, at most: all but the leading ones, or all but those up to the last shared key before it
         n = F.col(f"n{s}")
@@ -211,30 +219,33 @@ def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     reps = own.where("n > 0").groupBy("sid").agg(F.min(place).alias("row"), F.max("n").alias("n"), F.min("doc_id").alias("first_id"))
     reps = C.written(reps.select("sid", "n", "first_id", "row", "row._k", "row._h"))
     led = C.written(rows.select("text").mapInArrow(read(False), _SET).groupBy("sid").agg(F.first("n").alias("n"), F.first("keys").alias("keys")), release=True)
-    entries = lambda: led.select("sid", "n", F.posexplode("keys").alias("at", "key"))
-    entry = entry_table = C.written(blocked.shared(entries(), entries).select("key", "sid", "n", "at"), release=True)
+    entries = lambda: led.select("sid", F.posexplode("keys").alias("at", "key"))
+    entry = C.written(blocked.shared(entries(), entries).select("key", "sid", "at"), release=True)
     held = C.written(_held(led, entry), release=True)
     C.forget(led)
+    C.forget(entry)
     # how much of a row other rows share: the source of a group of edited copies has nothing of its own
-    shared = entry.groupBy("sid").agg((F.count(F.lit(1)) / F.max("n")).alias("shared"))
-    entry = entry.join(shared, "sid")
+    entry = held.select("sid", "n", (F.size("keys") / F.col("n")).alias("shared"), F.explode(F.arrays_zip(F.col("keys").alias("key"), F.col("ats").alias("at"))).alias("e")).select("e.key", "sid", "n", "e.at", "shared")
     # the pivot of a column: the row that shares most; a row's neighbour: one before it by size
-    pivot = C.written(entry.groupBy("key").agg(F.min_by(F.struct("sid", "n", "at"), F.struct(-F.col("shared"), "sid")).alias("p")))
-    entry = C.written(entry.join(pivot, "key").select("key", "sid", "n", "at", "p", (F.col("sid") == F.col("p.sid")).alias("pivot")))
-    C.forget(entry_table)
-    ordered, unordered = Window.partitionBy("key", "run").orderBy("n", "sid"), entry
-    entry = C.written(blocked.in_runs(entry).withColumns({"before": F.lag(F.struct("sid", "n", "at")).over(ordered), "rank": F.row_number().over(ordered)}), release=True)
-    C.forget(unordered)
-    side = lambda p: entry.where(f"{p} IS NOT NULL").select(F.col(p).alias("p"), "sid", "n", "at")
-    pairs = side("p").unionByName(side("before"))
+    pivot = entry.groupBy("key").agg(F.min(F.struct((-F.col("shared")).alias("less"), "sid", "n", "at")).alias("p"), F.count(F.lit(1)).alias("rows"))
+    pivot = C.written(pivot.select("key", F.struct("p.sid", "p.n", "p.at").alias("p"), "rows"))
+    # the pair of a column of two rows is all that it has to say: such columns are over with it
+    met = entry.drop("shared").join(pivot, "key").where((F.col("rows") > 2) | (F.col("sid") != F.col("p.sid")) & _fits("p.n", "p.at", "n", "at"))
+    met = C.written(met.select("key", "sid", "n", "at", "p", (F.col("sid") == F.col("p.sid")).alias("pivot"), (F.col("rows") == 2).alias("two")), release=True)
+    C.forget(pivot)
+    two, ordered = met.where("two"), Window.partitionBy("key", "run").orderBy("n", "sid")
+    entry = blocked.in_runs(met.where("NOT two").drop("two"))
+    entry = C.written(entry.withColumns({"before": F.lag(F.struct("sid", "n", "at")).over(ordered), "rank": F.row_number().over(ordered)}), release=True)
+    side = lambda p, rows: rows.where(f"{p} IS NOT NULL").select(F.col(p).alias("p"), "sid", "n", "at")
+    pairs = side("p", two).unionByName(side("p", entry)).unionByName(side("before", entry))
     pairs = pairs.select(F.col("p.sid").alias("a"), F.col("p.n").alias("na"), F.col("p.at").alias("ia"), F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"))
     swap = F.struct("na", "a") > F.struct("nb", "b")
     pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x)).alias(x)
     pairs = pairs.where("a <> b").select(pick("a", "b"), pick("na", "nb"), pick("ia", "ib"), pick("b", "a"), pick("nb", "na"), pick("ib", "ia"))
-    fits = (DEN * F.col("na") >= NUM * F.col("nb")) & (F.col("ia") + F.col("ib") <= F.col("na") + F.col("nb") - 2 * _least("na", "nb"))
-    links = _verified(pairs.where(fits).select("a", "na", "b", "nb"), held, rows, reps, read)
+    links = _verified(pairs.where(_fits("na", "ia", "nb", "ib")).select("a", "na", "b", "nb"), held, rows, reps, read)
     named = lambda links: C.written(C.components(links).select(F.col("node").alias("sid"), "component"))
     found = named(links)
+    C.forget(met)
     may = (DEN * F.col("n") >= NUM * F.col("n_min")) & (NUM * F.col("n") <= DEN * F.col("n_max")) & ((NUM + DEN) * (F.col("at") + F.col("at_min")) <= (DEN - NUM) * (F.col("n") + F.col("n_max")))
     now, base, alone = blocked.by_length(blocked.grouped(entry.drop("p", "before"), found), NUM, DEN)
     near = C.written(blocked.candidates(now, may), release=True)
@@ -242,9 +253,10 @@ def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs, wide = blocked.small(near, found, reps)
     links = links.unionByName(_verified(pairs.where(DEN * F.col("na") >= NUM * F.col("nb")), held, rows, reps, read))
     wide, inside = C.written(wide.unionByName(base)), C.written(blocked.members(wide, found).unionByName(alone))
+    wide, inside = blocked.likely(wide, inside, held, found, NUM, DEN)
     sets = _sets(wide.select("sid").union(inside.select("sid")).distinct(), rows, reps, read)
     found = named(links.unionByName(C.written(blocked.links(wide, inside, sets, reps, NUM, DEN), release=True)))
-    for x in (now, near, wide, inside, sets, held):
+    for x in (now, near, sets, held):
         C.forget(x)
     return own, C.written(reps.join(found, "sid", "left").select("sid", "n", "row", "first_id", F.coalesce("component", "sid").alias("component")), release=True, out=True)
 

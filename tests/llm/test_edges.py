@@ -307,3 +307,57 @@ def test_blocks_are_dealt_once(spark):
     assert found and all(min(p) // 4 == max(p) // 4 for p in found)
     linked = {x for p in found for x in p}
     assert linked == set(sets) - {16}
+
+
+def test_whole_sets_are_sent_of_rows_that_may_link(spark, monkeypatch):
+    """Rows that share a long column and little else are in no product of whole sets; columns of two rows are over with their pair."""
+    rows, n = [], 0
+    for group in range(12):
+        shared = words(30, 100 + group, 100000)
+        for k in range(6):
+            rows.append((n, f"{shared} {words(70, 1000 + n, 100000)}"))
+            n += 1
+    edited = [" ".join(w if k % 50 else f"z{k}" for k, w in enumerate(rows[i][1].split())) for i in range(0, 72, 12)]
+    rows += [(100 + i, t) for i, t in enumerate(edited)]
+    sent, columns = [], []
+    links, grouped = blocked.links, blocked.grouped
+
+    def counted(near, inside, sets, *more):
+        sent.append(sets.count())
+        return links(near, inside, sets, *more)
+
+    def seen(entries, found):
+        columns.extend(r[0] for r in entries.groupBy("key").count().select("count").collect())
+        return grouped(entries, found)
+
+    monkeypatch.setattr(blocked, "LONG", 4)
+    monkeypatch.setattr(blocked, "links", counted)
+    monkeypatch.setattr(blocked, "grouped", seen)
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(96)} for i, t in rows}
+    want = {i: min([j for j in sets if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]) for i in sets}
+    assert {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(table(spark, rows)).collect()} == want
+    assert sum(i != j for i, j in want.items()) == 6
+    assert columns and min(columns) > 2
+    assert sent == [0]
+
+
+def test_likely_loses_no_link(spark):
+    """Leading keys alone tell which rows of other components may link; all that do are among them."""
+    rng = np.random.default_rng(3)
+    base = rng.choice(10**6, 60, replace=False)
+    sets = {}
+    for i in range(40):
+        own = set(base.tolist()) if i < 20 else set(rng.choice(10**6, 58, replace=False).tolist()) | set(base[:2].tolist())
+        for k in rng.choice(60, i % 9, replace=False):
+            own.discard(int(base[k]))
+        sets[i] = sorted(own | set(rng.integers(10**6, 2 * 10**6, i % 5).tolist()))
+    lead = {i: s[: len(s) - -(-4 * len(s) // 5) + 1] for i, s in sets.items()}
+    held = spark.createDataFrame([(i, len(sets[i]), v, v[-1]) for i, v in lead.items()], "sid long, n long, keys array<long>, end long")
+    found = spark.createDataFrame([(i, i % 3) for i in range(6)], "sid long, component long")
+    group = {i: i % 3 if i < 6 else i for i in sets}
+    every = spark.createDataFrame([(i, 7) for i in sets], "sid long, to long")
+    with common.scratch(spark):
+        near, inside = ({r.sid for r in d.collect()} for d in blocked.likely(every, every, held, found, 4, 5, block=50))
+    linked = {i for i in sets for j in sets if group[i] != group[j] and 5 * len(set(sets[i]) & set(sets[j])) >= 4 * len(set(sets[i]) | set(sets[j]))}
+    assert linked and linked <= near and linked <= inside
+    assert not (near | inside) & set(range(20, 40))
