@@ -23,6 +23,8 @@ BLOCK_ITEMS = 1 << 17
 SMALL = 16
 #: Columns of more rows are multiplied as a whole; shorter ones make no more candidates of a row than that.
 LONG = 32
+#: Likely pairs that a block tells for each of its rows; where there are more, it tells the rows.
+PAIRS = 16
 #: Rows of a column that are put in order together.
 RUN = 4096
 
@@ -151,7 +153,7 @@ def _likely(num: int, den: int):
         seen = np.zeros(int(ids.max()) + 1 if len(ids) else 1, bool)
         rest = -(-num * n // den) - 1  # entries behind the leading ones
         m, until, of, after = n[right], end[right], group[right], rest[right]
-        stays = np.zeros(len(left), bool)
+        stays, a, b, pairs = np.zeros(len(left), bool), [], [], 0
         for i in np.flatnonzero(left).tolist():
             own = ids[begin[i] : begin[i] + counts[i]]
             seen[own] = True
@@ -162,7 +164,16 @@ def _likely(num: int, den: int):
             hit = right[fits & ((both + more) * (num + den) >= num * (m + n[i]))]
             stays[hit] = True
             stays[i] = len(hit) > 0
-        return t.select(["sid", "to", "left"]).filter(pa.array(stays))
+            pairs += len(hit)
+            if pairs <= PAIRS * len(left):
+                a.append(np.full(len(hit), sid[i]))
+                b.append(sid[hit])
+        none = np.zeros(0, np.int64)
+        if pairs <= PAIRS * len(left):
+            a, b = np.concatenate([*a, none]), np.concatenate([*b, none])
+            return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "to": pa.array(np.full(len(a), t.column("to")[0].as_py()), pa.int64()), "left": pa.nulls(len(a), pa.bool_())})
+        rows = t.filter(pa.array(stays))
+        return pa.table({"a": rows.column("sid"), "b": pa.nulls(rows.num_rows, pa.int64()), "to": rows.column("to"), "left": rows.column("left")})
 
     return run
 
@@ -186,12 +197,17 @@ def likely(near: DataFrame, inside: DataFrame, held: DataFrame, found: DataFrame
     """The rows (sid, to) of near and of inside that may link to a row of the other with the same `to` and of another component: by their leading keys alone, a small part of their sets.
 
     held: sid, n, keys (the leading ones that several rows have), end (the last leading key). What two rows share up to the lesser `end` is among these keys;
-    behind it, the row that ends there has no more than its entries that aren't leading."""
+    behind it, the row that ends there has no more than its entries that aren't leading.
+    Two rows that are likely in many columns are left in one of them, the least `to`, so that whole sets aren't sent for each."""
     group = held.join(found.select("sid", F.col("component").alias("group")), "sid", "left")
     group = group.select("sid", "n", "keys", "end", F.coalesce("group", "sid").alias("group"))
     rows = _dealt(near, inside, held.select("sid", F.size("keys").alias("n")), block).join(group, "sid")
-    stay = C.written(rows.groupBy("to", "x", "y").applyInArrow(_likely(num, den), "sid long, to long, left boolean").distinct(), release=True)
-    return stay.where("left").select("sid", "to"), stay.where("NOT left").select("sid", "to")
+    stay = C.written(rows.groupBy("to", "x", "y").applyInArrow(_likely(num, den), "a long, b long, to long, left boolean"), release=True)
+    pairs = stay.where("b IS NOT NULL").groupBy("a", "b").agg(F.min("to").alias("to"))
+    some = lambda own, left: C.written(pairs.select(F.col(own).alias("sid"), "to").union(stay.where(left).select("a", "to")).distinct(), release=True)
+    out = some("a", "left"), some("b", "NOT left")
+    C.forget(stay)
+    return out
 
 
 def links(near: DataFrame, inside: DataFrame, sets: DataFrame, sizes: DataFrame, num: int, den: int, block: int = BLOCK_ITEMS) -> DataFrame:

@@ -341,8 +341,10 @@ def test_whole_sets_are_sent_of_rows_that_may_link(spark, monkeypatch):
     assert sent == [0]
 
 
-def test_likely_loses_no_link(spark):
-    """Leading keys alone tell which rows of other components may link; all that do are among them."""
+@pytest.mark.parametrize("most", [0, 16])
+def test_likely_loses_no_link(spark, monkeypatch, most):
+    """Leading keys alone tell which rows of other components may link; all that do are among them, told by pairs once for all columns, or by rows."""
+    monkeypatch.setattr(blocked, "PAIRS", most)
     rng = np.random.default_rng(3)
     base = rng.choice(10**6, 60, replace=False)
     sets = {}
@@ -355,9 +357,11 @@ def test_likely_loses_no_link(spark):
     held = spark.createDataFrame([(i, len(sets[i]), v, v[-1]) for i, v in lead.items()], "sid long, n long, keys array<long>, end long")
     found = spark.createDataFrame([(i, i % 3) for i in range(6)], "sid long, component long")
     group = {i: i % 3 if i < 6 else i for i in sets}
-    every = spark.createDataFrame([(i, 7) for i in sets], "sid long, to long")
+    every = spark.createDataFrame([(i, to) for i in sets for to in (7, 8, 9)], "sid long, to long")
     with common.scratch(spark):
-        near, inside = ({r.sid for r in d.collect()} for d in blocked.likely(every, every, held, found, 4, 5, block=50))
+        near, inside = ([tuple(r) for r in d.collect()] for d in blocked.likely(every, every, held, found, 4, 5, block=500 if most else 50))
+    assert {to for _, to in near + inside} == ({7} if most else {7, 8, 9}) and len(set(near)) == len(near)
+    near, inside = {i for i, _ in near}, {i for i, _ in inside}
     linked = {i for i in sets for j in sets if group[i] != group[j] and 5 * len(set(sets[i]) & set(sets[j])) >= 4 * len(set(sets[i]) | set(sets[j]))}
     assert linked and linked <= near and linked <= inside
     assert not (near | inside) & set(range(20, 40))
