@@ -37,29 +37,27 @@ def candidates(fields: DataFrame, s: Settings = DEFAULT) -> DataFrame:
 MANY_BLOCKS = 1000
 
 
-def _posted(own: DataFrame, blocks: DataFrame, page: list[str]) -> DataFrame:
-    """Boxes of the blocks that hit a field, by postings: _t or _v in a block, or a block in _t. Both ways are sought at once, each in a scope of its own."""
-    fields = own.join(blocks.select(*page).distinct(), page, "left_semi")
-    way = lambda rows, name, text, down: rows.select(*page, F.lit(down).alias("_down"), F.col(text).alias(name))
-    words = fields.select(*page, "field_ord", F.explode(F.array("_t", F.when(F.length("_v") >= 3, F.col("_v")))).alias("_w"))
-    held = holding(way(words, "sought", "_w", True).unionByName(way(blocks, "sought", "_b", False)), way(blocks, "text", "_b", True).unionByName(way(fields, "text", "_t", False)), [*page, "_down"])
-    block, word = F.when(F.col("_down"), F.col("text")).otherwise(F.col("sought")), F.when(F.col("_down"), F.col("sought")).otherwise(F.col("text"))
-    found = held.select(*page, "_down", block.alias("_b"), word.alias("_w"))
-    both = words.withColumn("_down", F.lit(True)).unionByName(fields.select(*page, "field_ord", F.col("_t").alias("_w"), F.lit(False).alias("_down")))
-    hits = both.join(found, [*page, "_down", "_w"]).select(*page, "field_ord", "_b").distinct()
-    return hits.join(blocks, [*page, "_b"])
+def _posted(own: DataFrame, blocks: DataFrame, box: list[str]) -> DataFrame:
+    """_page, field_ord and the boxes of the blocks that hit a field, by postings: _t or _v in a block, or a block in _t; a box may come twice. Only blocks as short as the page's longest _t are sought in one."""
+    words = own.select("_page", "field_ord", F.explode(F.array("_t", F.when(F.length("_v") >= 3, F.col("_v")))).alias("sought"))
+    short = blocks.join(own.groupBy("_page").agg(F.max(F.length("_t")).alias("_most")), "_page").where(F.length("_b") <= F.col("_most"))
+    down = holding(words, blocks.withColumnRenamed("_b", "text"), ["_page"], (["field_ord"], box))
+    up = holding(short.withColumnRenamed("_b", "sought"), own.withColumnRenamed("_t", "text"), ["_page"], (box, ["field_ord"]))
+    return down.select("_page", "field_ord", *box).unionByName(up.select("_page", "field_ord", *box))
 
 
 def locate(fields: DataFrame, blocks: DataFrame, sections: DataFrame, many: int = MANY_BLOCKS) -> DataFrame:
     """fields with crop: around the blocks whose text holds the source text (or is held by it, or holds the value), else the section's box, else the box of its blocks. Pages of more than `many` blocks go by postings, with the same result."""
     text, value = F.lower(strip(F.coalesce("source_text", F.lit("")))), F.lower(strip(F.coalesce("field_value", F.lit(""))))
-    page = ["document_id", "page_number"]
-    own = fields.select(*page, "field_ord", "section_name", text.alias("_t"), value.alias("_v"))
+    page, box = ["document_id", "page_number"], ["x", "y", "width", "height"]
     b = blocks.select(*page, "block_index", F.lower(strip(F.col("text"))).alias("_b"), "bbox.*")
+    # Fields and blocks are dealt once, by one column for their page: page numbers may be constant, and then Spark does not know them again behind a shuffle. All that reads
+    # blocks needs their boxes, by a condition that always holds: with the same columns it is the same shuffle, else texts would be sent again for each set of them.
+    dealt = lambda rows, *c: rows.where("document_id IS NOT NULL AND page_number IS NOT NULL").select(F.struct("document_id", F.col("page_number").cast("long").alias("page_number")).alias("_page"), *c).repartition("_page")
+    own = dealt(fields, "field_ord", text.alias("_t"), value.alias("_v"))
+    counted = dealt(b, "_b", *box).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("_page"))).where(F.length(F.concat_ws(" ", *box)) >= 0)
     hit = ((F.col("_t") != "") & (F.col("_b") != "") & (F.col("_b").contains(F.col("_t")) | F.col("_t").contains(F.col("_b")))) | ((F.length("_v") >= 3) & F.col("_b").contains(F.col("_v")))
-    counted = b.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*page)))  # dealt by page, as the join needs it
-    box = ["document_id", "field_ord", "x", "y", "width", "height"]
-    hits = own.join(counted.where(F.col("_n") <= many), page).where(hit).select(*box).unionByName(_posted(own, counted.where(F.col("_n") > many).drop("_n"), page).select(*box))
+    hits = own.join(counted.where(F.col("_n") <= many), "_page").where(hit).select("_page", "field_ord", *box).unionByName(_posted(own, counted.where(F.col("_n") > many).drop("_n"), box)).select("_page.document_id", "field_ord", *box)
     first = hits.groupBy("document_id", "field_ord").agg(union_box(None).alias("_one"))
     around = sections.select("document_id", "section_ord", "page_number", F.explode("block_ids").alias("block_index")).join(b.drop("_b"), [*page, "block_index"]).groupBy("document_id", "section_ord").agg(union_box(None).alias("_blocks"))
     boxed = sections.join(around, ["document_id", "section_ord"], "left")
